@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard_join, kernels, quality_rules
+from plumbline.llm import jaccard_join, kernels, quality_rules, secret_scan, source_mix, window_packing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.deduplicate(docs)
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mix.mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return window_packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("packing", packing),
+]
 
 #: Perplexity models, LSH forests and bin packing have no SQL.
 ORACLE_SQL = None
