@@ -3,8 +3,8 @@
 1. Every window of ``words`` words holds a minimizer, the least of its hashed
    word 8-grams, and equal windows hold equal ones. Minimizers met in two
    documents or more are kept; all others can't lie in a repeated window.
-2. The words around each kept minimizer (all windows that may hold it) go to
-   the shard of its hash. Equal contexts are merged there.
+2. The words of each kept minimizer's windows, its context, go to the shard of
+   its hash. Equal contexts are merged there.
 3. A shard's contexts are one text, whose suffixes are sorted by induction:
    S*-substrings are named by sorting, their order is found by recursion, and
    two passes of a monotone bucket queue carry (suffix, common prefix) tuples
@@ -217,71 +217,72 @@ def _induce(text, kind, seeds, seed_common, run, cap, limit, folder, descending)
         seed_common = [0, *seed_common[:0:-1]] if seed_common else []
     heads = sorted({text[s] for s in seeds} | set(text), reverse=descending)
     at, total = 0, len(seeds)
-    limit_stack = cap
-
-    def visit(i: int, common: int) -> None:
-        nonlocal rank
-        while lows and lows[-1] >= common:
-            lows.pop()
-            ranks.pop()
-        ranks.append(rank)
-        lows.append(common)
-        if i > 0 and kind[i - 1] == want:
-            c = text[i - 1]
-            before = last_rank.get(c)
-            if before is None:
-                got = 0
-            else:
-                k = bisect_right(ranks, before)
-                got = lows[k] + 1
-                if got > limit_stack:
-                    got = limit_stack
-            last_rank[c] = rank
-            queue.push(c, (i - 1) << 8 | got)
-        rank += 1
-
+    push, take, held = queue.push, queue.take, queue.held
+    pending = queue.files
     try:
         if not descending and kind[n - 1] == want:
-            queue.push(text[n - 1], (n - 1) << 8)  # induced by the empty suffix
+            push(text[n - 1], (n - 1) << 8)  # induced by the empty suffix
             last_rank[text[n - 1]] = -1
             ranks.append(-1)
             lows.append(0)
         for c in heads:
-            first = True
+            start = rank  # what was induced from before this bucket has one word in common, no more
             previous = -1
+            common = 0
+            seeded = False
             while True:
-                items = queue.take(c)
-                if not items:
+                # the bucket's queue, then its seeds; each is (suffix, common prefix with the one before it)
+                if c in held or c in pending:
+                    items = take(c)
+                elif at < total and text[seeds[at]] == c:
+                    items, seeded = [], True
+                    i = seeds[at]
+                    items.append(i << 8 | (min(int(run[previous]), int(run[i]), cap) if previous >= 0 else 0))
+                    at += 1
+                    while at < total and text[seeds[at]] == c:
+                        items.append(seeds[at] << 8 | seed_common[at])
+                        at += 1
+                else:
                     break
+                if not seeded and previous < 0:
+                    items[0] = items[0] >> 8 << 8
                 for item in items:
-                    i, common = item >> 8, item & 255
-                    if first:
-                        common, first = 0, False
-                    out.append(i)
-                    out_common.append(common)
-                    visit(i, common)
-                    previous = i
-            head = True
-            while at < total and text[seeds[at]] == c:
-                i = seeds[at]
-                if head:
-                    common = min(int(run[previous]), int(run[i]), cap) if previous >= 0 else 0
-                    head = False
-                else:
-                    common = seed_common[at]
-                visit(i, common)
-                at += 1
+                    i = item >> 8
+                    common = item & 255
+                    if not seeded:
+                        out.append(i)
+                        out_common.append(common)
+                    while lows and lows[-1] >= common:
+                        lows.pop()
+                        ranks.pop()
+                    ranks.append(rank)
+                    lows.append(common)
+                    if i and kind[i - 1] == want:
+                        b = text[i - 1]
+                        before = last_rank.get(b)
+                        if before is None:
+                            got = 0
+                        elif before < start:
+                            got = 1
+                        else:
+                            got = lows[bisect_right(ranks, before)] + 1
+                            if got > cap:
+                                got = cap
+                        last_rank[b] = rank
+                        push(b, (i - 1) << 8 | got)
+                    rank += 1
+                previous = items[-1] >> 8
     finally:
         queue.close()
     return out, out_common
 
 
-def minimizers(w: Words, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word) of the least 8-gram of every window of ``words`` words, leftmost where equal."""
+def minimizers(w: Words, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, windows) of each run of windows with one minimizer: their least 8-gram, leftmost where equal."""
     span = words - gram + 1
     m = len(w.hash) - words + 1
     if m <= 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = w.hash[: len(w.hash) - gram + 1].copy()
     for j in range(1, gram):
         g = mix(g * U64(0x100000001B3) + w.hash[j : len(g) + j])
@@ -294,10 +295,10 @@ def minimizers(w: Words, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarr
         least = np.minimum(least[: len(least) - have], least[have:])
         have *= 2
     least = np.minimum(least[:m], least[span - have : span - have + m])
-    least = least[w.doc[:m] == w.doc[words - 1 :]]
-    at = (least & U64((1 << 24) - 1)).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return g[at], at
+    window = np.flatnonzero(w.doc[:m] == w.doc[words - 1 :])
+    at = (least[window] & U64((1 << 24) - 1)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    return g[at[new]], window[new], np.diff(np.append(new, len(at)))
 
 
 def _minimizers(words: int, gram: int):
@@ -305,44 +306,41 @@ def _minimizers(words: int, gram: int):
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 w = Words(part.column("text"))
-                h, at = minimizers(w, words, gram)
+                h, at, n = minimizers(w, words, gram)
                 ids = part.column("doc_id").take(pa.array(w.doc[at]))
                 hashes = part.column("text_hash").take(pa.array(w.doc[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), ids, hashes, pa.array((at - w.first[w.doc[at]]).astype(np.int32))], names=["m", "doc_id", "text_hash", "at"])
+                where = (at - w.first[w.doc[at]]) << 16 | n
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), ids, hashes, pa.array(where)], names=["m", "doc_id", "text_hash", "at"])
 
     return run
 
 
 def _contexts(words: int, gram: int):
-    reach = words - gram
+    """Of each kept minimizer the words of its windows, and their hash; ``m`` comes with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 w = Words(part.column("text"))
-                lists = part.column("at")
-                at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lists = part.column("places")
+                at = lists.flatten().field("at").to_numpy(zero_copy_only=False)
+                m = lists.flatten().field("m")
                 size = np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(part.num_rows), size)
-                first, last = w.first[doc], w.first[doc + 1]
-                place = first + at
-                a, b = np.maximum(first, place - reach), np.minimum(last, place + words)
+                first = w.first[doc]
+                a = first + (at >> 16)
+                length = (at & 0xFFFF) + words - 1
                 token = (w.hash >> U64(32)).astype(np.uint32)
-                length = b - a
                 ends = np.concatenate([[0], np.cumsum(length)])
-                index = np.arange(ends[-1]) - np.repeat(ends[:-1] - a, length)
+                within = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
+                index = within + np.repeat(a, length)
                 body = token[index] if len(index) else token[:0]
                 whole = np.zeros(len(a), U64)
-                mixed = mix(w.hash[index] + (np.arange(ends[-1]) - np.repeat(ends[:-1], length)).astype(U64) * U64(0x9E3779B97F4A7C15)) if len(index) else np.zeros(0, U64)
                 if len(a):
-                    whole = np.add.reduceat(mixed, ends[:-1])
-                    whole = mix(whole ^ (place - a).astype(U64))
-                g = w.hash[place].copy()
-                for j in range(1, gram):
-                    g = mix(g * U64(0x100000001B3) + w.hash[place + j])
+                    whole = mix(np.add.reduceat(mix(w.hash[index] + within.astype(U64) * U64(0x9E3779B97F4A7C15)), ends[:-1]))
                 blob = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.astype(np.int64)), pa.array(whole.astype(np.int64)), part.column("doc_id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array((a - first).astype(np.int32)), blob],
+                    [m, pa.array(whole.astype(np.int64)), part.column("doc_id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array((a - first).astype(np.int32)), blob],
                     names=["m", "ctx", "doc_id", "text_hash", "at", "tokens"],
                 )
 
@@ -383,15 +381,24 @@ def _sorter(words: int, shard_words: int, limit: int, folder: str):
         head = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (ctx[1:] != ctx[:-1])]))
         owner = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(m))))
         texts = [np.frombuffer(x, dtype=np.uint32) for x in t.column("tokens").take(pa.array(head)).to_pylist()]
-        c, p, least = repeats(texts, np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head), words, limit, folder)
-        if not len(c):
+        low, high = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+        _, group, kinds = np.unique(m[head], return_inverse=True, return_counts=True)
+        # a minimizer with one context in all documents: its windows are those repeated, and there is nothing to sort
+        alone = np.flatnonzero((kinds[group] == 1) & (low != high))
+        several = np.flatnonzero(kinds[group] > 1)
+        rc, ra, rl, rb = alone, np.zeros(len(alone), np.int64), low[alone], np.array([len(texts[k]) for k in alone], np.int64)
+        if len(several):
+            c, p, least = repeats([texts[k] for k in several], low[several], high[several], words, limit, folder)
+            order = np.lexsort((p, c))
+            c, p, least = several[c[order]], p[order], least[order]
+            # runs of windows with the same least document, once for each context
+            f = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1) | (least[1:] != least[:-1])])) if len(c) else c
+            last = np.append(f[1:], len(c)) - 1 if len(c) else c
+            rc, ra, rl, rb = (np.concatenate(x) for x in ((rc, c[f]), (ra, p[f]), (rl, least[f]), (rb, p[last] + words)))
+            order = np.lexsort((ra, rc))
+            rc, ra, rl, rb = rc[order], ra[order], rl[order], rb[order]
+        if not len(rc):
             return None
-        order = np.lexsort((p, c))
-        c, p, least = c[order], p[order], least[order]
-        # runs of windows with the same least document, once for each context
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1) | (least[1:] != least[:-1])])
-        f = np.flatnonzero(new)
-        rc, ra, rl, rb = c[f], p[f], least[f], p[np.append(f[1:], len(c)) - 1] + words
         # every occurrence of the context has its runs
         lo, hi = np.searchsorted(rc, owner, "left"), np.searchsorted(rc, owner, "right")
         row = np.repeat(np.arange(len(owner)), hi - lo)
@@ -413,10 +420,10 @@ def _sorter(words: int, shard_words: int, limit: int, folder: str):
 def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, queue_items: int = QUEUE_ITEMS) -> DataFrame:
     """(doc_id, text_hash, keep, start_word, end_word) of every maximal repeated span, words counted from 0."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = materialize(keyed.mapInArrow(_minimizers(words, gram), "m long, doc_id long, text_hash long, at int"))
+    found = materialize(keyed.mapInArrow(_minimizers(words, gram), "m long, doc_id long, text_hash long, at long"))
     shared = found.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("m")
-    places = found.join(shared, "m").groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list("at")).alias("at"))
-    rows = keyed.join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at")
+    places = found.join(shared, "m").groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("m", "at"))).alias("places"))
+    rows = keyed.join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
     contexts = rows.mapInArrow(_contexts(words, gram), "m long, ctx long, doc_id long, text_hash long, at int, tokens binary")
     shards = contexts.repartition("m").sortWithinPartitions("m", "ctx")
     spans = shards.mapInArrow(_sorter(words, shard_words, queue_items, shared_dir(docs.sparkSession)), "doc_id long, text_hash long, keep boolean, start_word int, end_word int")
