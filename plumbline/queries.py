@@ -1,13 +1,26 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each with its SQL over the same tables where SQL can say it.
+
+Names begin with the operator they exercise. Host tables stand for the domain's:
+documents are a tree (title = language, part = source, section = document),
+nations and regions are organisations, events are amendments, orders and line
+items are stored and fresh structures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import citation as C
+from .functions import measure as M
+from .functions import scalar as S
 from .functions import text as T
+from .operators import diffs, jurisdiction, packing, series, tree
+from .plans import delta
+from .sources import tables as K
+from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +28,11 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -23,7 +40,579 @@ def query(sql: str | None = None):
     return register
 
 
+_IGN = "[\\x{00AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]"
+_SEP = "[\\x{00}-\\x{20}\\x{7F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{2013}-\\x{2015}\\x{2E3A}\\x{2E3B}]"
+
+
+def words_sql(t: str) -> str:
+    return f"len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({t}, '-{{2,}}', ' ', 'g'), '{_IGN}', '', 'g'), '{_SEP}'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')))::bigint"
+
+
+#: Documents as leaves: every 97th isn't measured, ids that end in 50 are reserved.
+LEAF_SQL = f"""leaf as (select 'title-' || lang || '/part-' || source || '/section-' || doc_id as citation, 'title-' || lang || '/part-' || source as part, 'title-' || lang as title, lang, source, doc_id, n_chars,
+  case when doc_id % 97 = 0 then null when doc_id % 100 = 50 then 0 else {words_sql("text")} end as words,
+  case when doc_id % 97 = 0 then 'unavailable_fetch_failed' when doc_id % 100 = 50 then 'reserved_empty' else 'counted' end as status,
+  case when doc_id % 97 = 0 then 'fetch failed' end as reason from documents)"""
+
+
+def leaves(t) -> DataFrame:
+    d = t("documents")
+    title = F.concat(F.lit("title-"), F.col("lang"))
+    part = F.concat(title, F.lit("/part-"), F.col("source"))
+    lost, reserved = F.col("doc_id") % 97 == 0, F.col("doc_id") % 100 == 50
+    m = F.when(lost, M.unavailable("fetch_failed", "fetch failed")).when(reserved, M.reserved_empty()).otherwise(M.counted(T.count_words(F.col("text"))))
+    d = d.select(F.concat(part, F.lit("/section-"), F.col("doc_id").cast("string")).alias("citation"), part.alias("part"), title.alias("title"), "lang", "source", "doc_id", "n_chars", m.alias("m"))
+    return d.select(*[c for c in d.columns if c != "m"], F.col("m.words").alias("words"), F.col("m.status").alias("status"), F.col("m.reason").alias("reason"))
+
+
+@query(f"select source, sum({words_sql('text')})::bigint as words, count(*) as docs from documents group by source")
+def word_count(t):
+    """S10 F01: the tokeniser over a scan."""
+    return t("documents").select("source", T.count_words(F.col("text")).alias("w")).groupBy("source").agg(F.sum("w").alias("words"), F.count("*").alias("docs"))
+
+
+# sources
+
+
+@query("select event_type, count(*) as n, count(*) = 1000 as truncated from events where ts >= timestamp '2024-01-10' group by event_type")
+def s06_version_filter(t):
+    return t("events").filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).groupBy("event_type").agg(F.count("*").alias("n"), (F.count("*") == 1000).alias("truncated"))
+
+
+@query("select distinct user_id, event_type, cast(ts as date) as day from events")
+def s07_merge_versions(t):
+    return t("events").select("user_id", "event_type", F.to_date("ts").alias("day")).dropDuplicates(["user_id", "event_type", "day"])
+
+
+@query("select o_orderpriority, try_cast(split_part(o_orderpriority, '-', 1) as bigint) as n, try_cast(o_orderpriority as bigint) as whole, count(*) as c from orders group by all")
+def s08_numeric_string(t):
+    x = F.col("o_orderpriority")
+    return t("orders").groupBy(x, S.numeric_string(F.split_part(x, F.lit("-"), F.lit(1))).alias("n"), S.numeric_string(x).alias("whole")).agg(F.count("*").alias("c"))
+
+
+@query("select s_suppkey, case when s_suppkey % 7 = 0 then 'absent' when s_suppkey % 11 = 0 then 'failed' else 'ok' end as outcome from supplier")
+def s17_section_outcomes(t):
+    from .sources.readers import sections
+
+    s = t("supplier")
+    wanted = s.select("s_suppkey", F.lit(1).alias("title"), F.col("s_suppkey").cast("string").alias("section"), F.lit("2024-01-01").alias("date"))
+    landed = s.filter((F.col("s_suppkey") % 11 != 0) | (F.col("s_suppkey") % 7 == 0)).select(F.lit(1).alias("title"), F.col("s_suppkey").cast("string").alias("section"), F.lit("2024-01-01").alias("date"), F.when(F.col("s_suppkey") % 7 == 0, 404).otherwise(200).alias("http_status"), F.col("s_name").alias("content"))
+    return sections(wanted, landed).select("s_suppkey", "outcome")
+
+
+# table maintenance
+
+_OLD, _NEW = "o_orderkey % 3 <> 0", "o_orderkey % 2 = 0"
+
+
+@query(f"with o as (select o_orderkey, o_orderstatus, o_totalprice from orders where {_OLD}), n as (select o_orderkey, 'X' as o_orderstatus, o_totalprice + 1 as o_totalprice from orders where {_NEW}) select * from o where o_orderkey not in (select o_orderkey from n) union all select * from n")
+def k01_upsert(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return K.upsert(o.filter(_OLD), o.filter(_NEW).select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice")), ["o_orderkey"])
+
+
+@query(f"with o as (select o_orderkey, o_orderstatus, o_totalprice from orders where {_OLD}), n as (select o_orderkey, 'X' as o_orderstatus, o_totalprice + 1 as o_totalprice from orders where {_NEW}) select * from o union all select * from n where o_orderkey not in (select o_orderkey from o)")
+def k01_insert_or_nothing(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return K.upsert(o.filter(_OLD), o.filter(_NEW).select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice")), ["o_orderkey"], nothing=True)
+
+
+@query(f"with o as (select o_orderkey, o_totalprice, o_orderstatus from orders where {_OLD}), n as (select o_orderkey, o_totalprice + 1 as o_totalprice from orders where {_NEW}) select * from o where o_orderkey not in (select o_orderkey from n) union all select n.o_orderkey, n.o_totalprice, o.o_orderstatus from n left join o using (o_orderkey)")
+def k02_upsert_keep_column(t):
+    o = t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = o.filter(_NEW).select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))
+    return K.upsert(o.filter(_OLD), new, ["o_orderkey"], keep=["o_orderstatus"])
+
+
+@query("select o_orderkey, (o_orderkey % 5)::bigint as last_seen_run_id, o_orderstatus from orders where not (o_orderstatus = 'F' and o_orderkey % 5 < 3)")
+def k03_prune(t):
+    return K.prune(t("orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("last_seen_run_id"), "o_orderstatus"), 3, F.col("o_orderstatus") == "F")
+
+
+@query("select count(*) filter (o_orderstatus = 'F' and o_orderkey % 5 < 3) as stale from orders")
+def k04_prune_count(t):
+    return K.prune_count(t("orders").select((F.col("o_orderkey") % 5).alias("last_seen_run_id"), "o_orderstatus"), 3, F.col("o_orderstatus") == "F")
+
+
+@query("select o_orderkey, (o_orderkey % 5)::bigint as last_seen_run_id, o_orderpriority from orders where not (o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderkey % 5 < 3)")
+def k05_prune_committed(t):
+    o = t("orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("last_seen_run_id"), "o_orderpriority")
+    done = o.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderpriority").distinct()
+    return K.prune_committed(o, 3, "o_orderpriority", done)
+
+
+@query("select s_nationkey, json_object('nation', s_nationkey, 'suppliers', list(s_suppkey order by s_suppkey))::varchar as page from supplier group by s_nationkey")
+def k10_snapshot_pages(t):
+    g = t("supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("k"))
+    return g.select("s_nationkey", F.to_json(F.struct(F.col("s_nationkey").alias("nation"), F.col("k").alias("suppliers"))).alias("page"))
+
+
+@query("select n_name, sha256(n_name) as digest from nation")
+def k15_content_digests(t):
+    return t("nation").select("n_name", F.sha2("n_name", 256).alias("digest"))
+
+
+@query("select s_suppkey, case when s_acctbal < 0 then 'revoked' else 'active' end as tier from supplier")
+def k16_conditional_update(t):
+    s = t("supplier").select("s_suppkey", F.lit("active").alias("tier"), "s_acctbal")
+    return K.conditional_update(s, F.col("s_acctbal") < 0, tier=F.lit("revoked"))[0].drop("s_acctbal")
+
+
+@query("with o as (select s_suppkey, case when s_suppkey % 2 = 0 then s_name end as s_name from supplier where s_suppkey % 3 <> 0), n as (select s_suppkey, case when s_suppkey % 5 = 0 then 'new' end as s_name from supplier where s_suppkey % 4 <> 0) select coalesce(n.s_suppkey, o.s_suppkey) as s_suppkey, coalesce(n.s_name, o.s_name) as s_name from o full join n on o.s_suppkey = n.s_suppkey")
+def k17_merge_coalesce(t):
+    s = t("supplier")
+    o = s.filter("s_suppkey % 3 <> 0").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("s_name"))
+    n = s.filter("s_suppkey % 4 <> 0").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, F.lit("new")).alias("s_name"))
+    return K.merge(o, n, ["s_suppkey"])
+
+
+@query("select s_suppkey, case when s_suppkey % 4 = 0 then null else 'tok' || s_suppkey end as token, s_suppkey % 4 = 0 as verified from supplier")
+def k18_consume_token(t):
+    s = t("supplier").select("s_suppkey", F.concat(F.lit("tok"), F.col("s_suppkey").cast("string")).alias("token"), F.lit(False).alias("verified"))
+    hit = (F.col("s_suppkey") % 4 == 0) & F.col("token").isNotNull()
+    return K.conditional_update(s, hit, token=F.lit(None).cast("string"), verified=F.lit(True))[0]
+
+
+# filters
+
+
+@query("select c_custkey, c_name from customer c where c_nationkey is not null and exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P') and (contains(lower(c_name), '11') or contains(lower(c_mktsegment), 'build'))")
+def p01_optional_filters(t):
+    c = t("customer").filter("c_nationkey is not null")
+    c = c.join(t("orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return c.filter(T.contains_folded(F.col("c_name"), "11") | T.contains_folded(F.col("c_mktsegment"), "BUILD")).select("c_custkey", "c_name")
+
+
+@query("select doc_id, '%' || replace(replace(replace(substr(text, 1, 40), '\\', '\\\\'), '%', '\\%'), '_', '\\_') || '%' as pattern from documents where text like '%\\%%' escape '\\'")
+def p02_like_escaped(t):
+    return t("documents").filter(F.contains(F.col("text"), F.lit("%"))).select("doc_id", T.like_pattern(F.substring("text", 1, 40)).alias("pattern"))
+
+
+@query("select event_id, cast(ts as date) as day from events where user_id between 10 and 60 and event_type <> 'view' and cast(ts as date) between date '2024-01-05' and date '2024-01-12' and coalesce(value, 0) >= 0")
+def p03_amendment_filters(t):
+    day = F.to_date("ts")
+    return t("events").filter(F.col("user_id").between(10, 60) & (F.col("event_type") != "view") & day.between("2024-01-05", "2024-01-12") & (F.coalesce("value", F.lit(0)) >= 0)).select("event_id", day.alias("day"))
+
+
+@query(f"with {LEAF_SQL} select citation from leaf where citation = 'title-en/part-src1' or starts_with(citation, 'title-en/part-src1/')")
+def p04_prefix_subtree(t):
+    return leaves(t).filter(C.within(F.col("citation"), "title-en/part-src1")).select("citation")
+
+
+@query(f"with {LEAF_SQL} select lang, min(citation) as citation from leaf where source = 'src3' group by lang")
+def p05_point_lookup(t):
+    n = leaves(t).filter("source = 'src3'").select("lang", "citation")
+    w = Window.partitionBy("lang").orderBy("citation")
+    return n.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+@query("select distinct cast(ts as date) as day from events where event_type in ('click', 'purchase')")
+def p06_known_dates(t):
+    return t("events").filter(F.col("event_type").isin("click", "purchase")).select(F.to_date("ts").alias("day")).distinct()
+
+
+@query(f"with {LEAF_SQL} select status, status in ('counted', 'rolled_up', 'reserved_empty', 'structurally_empty', 'stale') as known, count(*) as n from leaf group by all")
+def p07_known_status(t):
+    return leaves(t).groupBy("status", M.is_known(F.col("status")).alias("known")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {LEAF_SQL}, v as (select case when doc_id % 13 = 0 then -1 when doc_id % 17 = 0 then null else words end as w, status, case when doc_id % 19 = 0 then 'why' else reason end as r from leaf) select violation, count(*) as n from (select case when w is null and status <> 'unavailable_fetch_failed' then 'known without words' when w is not null and status = 'unavailable_fetch_failed' then 'unknown with words' when w < 0 then 'negative' when w is null and r is null then 'unknown without reason' when w is not null and r is not null then 'known with reason' end as violation from v) where violation is not null group by violation")
+def p09_violations(t):
+    n = leaves(t)
+    bad = n.select(F.when(F.col("doc_id") % 13 == 0, -1).when(F.col("doc_id") % 17 == 0, None).otherwise(F.col("words")).alias("words"), "status", F.when(F.col("doc_id") % 19 == 0, "why").otherwise(F.col("reason")).alias("reason"))
+    return M.violations(bad).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query("""with now as (select sum(o_totalprice)::bigint as w, count(*) as n, count(distinct o_orderpriority) as p from orders where o_orderkey % 10 <> 0), b as (select sum(o_totalprice)::bigint as w, count(*) as n, count(distinct o_orderpriority) as p from orders)
+select * from (select unnest(['total_known', 'drift', 'agencies_not_fewer', 'titles_not_fewer', 'unknown_growth', 'no_partial_titles']) as check_name, unnest([now.w is not null, abs(now.w - b.w)::double / b.w <= 0.05, now.n >= b.n, now.p >= b.p, true, true]) as ok from now, b)""")
+def p10_publish_gate(t):
+    o = t("orders")
+
+    def stats(df):
+        return df.agg(F.sum("o_totalprice").cast("bigint").alias("total_words"), F.count("*").alias("agency_count"), F.count_distinct("o_orderpriority").alias("title_count"), F.lit(0).cast("bigint").alias("uncounted_nodes"))
+
+    return delta.gate(stats(o.filter("o_orderkey % 10 <> 0")), stats(o))
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 'not_computed' else 'counted' end as status from supplier")
+def p11_row_projection(t):
+    return t("supplier").select("s_suppkey", F.coalesce(F.when(F.col("s_suppkey") % 3 != 0, F.lit("counted")), F.lit("not_computed")).alias("status"))
+
+
+@query("select p_partkey, greatest(1, least(coalesce(case when p_size % 7 = 0 then null else p_size * 20 end, 50), 500)) as page_limit from part")
+def p12_clamp_limit(t):
+    return t("part").select("p_partkey", S.clamp_limit(F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 20)).alias("page_limit"))
+
+
+@query("select p_partkey from part where contains(lower(p_name), 'a')")
+def p13_row_filter(t):
+    return t("part").filter(T.contains_folded(F.col("p_name"), "A")).select("p_partkey")
+
+
+@query("select o_orderkey, o_custkey between 1 and 50 as title_ok, regexp_full_match(o_orderkey || '.' || o_custkey, '[0-9A-Za-z][0-9A-Za-z.()-]{0,63}') as section_ok, try_cast(d as date) is not null and try_cast(d as date) >= date '2017-01-01' as date_ok from (select *, (1990 + o_orderkey % 40) || '-02-' || (20 + o_orderkey % 12) as d from orders)")
+def p14_validators(t):
+    day = F.concat((1990 + F.col("o_orderkey") % 40).cast("string"), F.lit("-02-"), (20 + F.col("o_orderkey") % 12).cast("string"))
+    return t("orders").select("o_orderkey", C.is_title(F.col("o_custkey")).alias("title_ok"), C.is_section(F.concat_ws(".", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))).alias("section_ok"), C.is_issue_date(day).alias("date_ok"))
+
+
+# joins
+
+
+@query("select n_name, r_name from nation left join region on n_regionkey = r_regionkey and r_name <> 'ASIA'")
+def j01_left_join(t):
+    return t("nation").join(t("region").filter("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name")
+
+
+@query("select s_suppkey, n_name, c.n as customers from supplier left join nation on s_nationkey = n_nationkey and n_nationkey < 20 left join (select c_nationkey, count(*) as n from customer group by 1) c on c_nationkey = n_nationkey")
+def j02_chained_left_joins(t):
+    c = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    n = t("nation").filter("n_nationkey < 20")
+    return t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("s_suppkey", "n_name", "customers")
+
+
+@query(f"with {LEAF_SQL} select l.lang, l.title, coalesce(g.n, 0) as n from (select distinct lang, 'title-' || lang as title from documents) l left join (select title, count(*) as n from leaf where words is null group by title) g on g.title = concat('title-', l.lang)")
+def j03_computed_key(t):
+    n = leaves(t)
+    g = n.filter("words is null").groupBy("title").agg(F.count("*").alias("n"))
+    k = n.select("lang", "title").distinct()
+    return k.join(g.withColumnRenamed("title", "g"), F.concat(F.lit("title-"), F.col("lang")) == F.col("g"), "left").select("lang", "title", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
+def j04_inner_join(t):
+    return t("orders").join(t("customer").filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@query("select n_nationkey from nation where exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > 5000)")
+def j05_semi_exists(t):
+    return t("nation").join(t("supplier").filter("s_acctbal > 5000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+def j06_anti_missing(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("with s as (select s_nationkey, sum(s_suppkey)::bigint as w from supplier where s_nationkey % 6 <> 0 group by 1) select n_regionkey, count(*) as population, count(*) filter (w is null) as missing, case when count(*) filter (w is null) = 0 then sum(w)::bigint end as words from nation left join s on s_nationkey = n_nationkey group by n_regionkey")
+def j07_population_join(t):
+    s = t("supplier").filter("s_nationkey % 6 <> 0").groupBy("s_nationkey").agg(F.sum("s_suppkey").alias("w"))
+    j = t("nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return j.groupBy("n_regionkey").agg(F.count("*").alias("population"), M.missing(F.col("w")).alias("missing"), M.all_or_nothing(F.col("w")).alias("words"))
+
+
+_LANGS = "['de', 'en', 'es', 'fr']"
+#: Nations claim titles (by key mod 4) or parts (by key mod 20); every 5th claims both.
+CLAIMS_SQL = f"""claims as (select distinct * from (
+  select 'n' || lpad(n_nationkey::varchar, 2, '0') as slug, ({_LANGS})[1 + n_nationkey % 4] as lang, case when n_nationkey % 3 = 0 then null else 'src' || (n_nationkey % 20) end as source from nation
+  union all select 'n' || lpad(n_nationkey::varchar, 2, '0'), ({_LANGS})[1 + n_nationkey % 4], 'src' || (n_nationkey % 20) from nation where n_nationkey % 5 = 0
+  union all select 'n' || lpad(n_nationkey::varchar, 2, '0'), 'xx', 'src1' from nation where n_nationkey % 8 = 0)),
+refs as (select *, 'title-' || lang || coalesce('/part-' || source, '') as ref_key from claims)"""
+NODES_SQL = "nodes as (select title as citation, lang, null::varchar as source, case when count(*) filter (words is null) = 0 then sum(words)::bigint end as words from leaf where doc_id % 97 <> 0 or lang = 'fr' group by title, lang union all select part, lang, source, case when count(*) filter (words is null) = 0 then sum(words)::bigint end from leaf where doc_id % 97 <> 0 or lang = 'fr' group by part, lang, source)"
+
+
+def claims_of(t) -> DataFrame:
+    n = t("nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    slug = F.concat(F.lit("n"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("slug")
+    lang = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("k") % 4 + 1).alias("lang")
+    source = F.concat(F.lit("src"), (F.col("k") % 20).cast("string"))
+    c = n.select(slug, lang, F.when(F.col("k") % 3 != 0, source).alias("source")).union(n.filter("k % 5 = 0").select(slug, lang, source)).union(n.filter("k % 8 = 0").select(slug, F.lit("xx"), F.lit("src1"))).distinct()
+    key = F.concat_ws("/", F.concat(F.lit("title-"), F.col("lang")), F.concat(F.lit("part-"), F.col("source")))
+    none = F.lit(None).cast("string")
+    return c.select("slug", key.alias("ref_key"), title_number(F.col("lang")).alias("title"), none.alias("subtitle"), none.alias("chapter"), none.alias("subchapter"), F.col("source").alias("part"))
+
+
+def title_number(lang):
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in (("de", 1), ("en", 2), ("es", 3), ("fr", 4)) for x in p]), lang), F.lit(9))
+
+
+def nodes_of(t) -> DataFrame:
+    n = leaves(t).filter("doc_id % 97 <> 0 or lang = 'fr'")
+    none = F.lit(None).cast("string")
+    a = n.groupBy(F.col("title").alias("citation"), "lang").agg(M.all_or_nothing(F.col("words")).alias("words")).withColumn("source", none)
+    b = n.groupBy(F.col("part").alias("citation"), "lang", "source").agg(M.all_or_nothing(F.col("words")).alias("words"))
+    u = a.unionByName(b)
+    number = title_number(F.col("lang"))
+    return u.select("citation", F.when(F.col("source").isNull(), "title").otherwise("part").alias("node_type"), F.coalesce("source", number.cast("string")).alias("identifier"), number.alias("title"), none.alias("subtitle"), none.alias("chapter"), none.alias("subchapter"), F.col("source").alias("part"), "words")
+
+
+@query(f"with {LEAF_SQL}, {NODES_SQL}, {CLAIMS_SQL} select r.ref_key, count(n.citation) as hits, case count(n.citation) when 0 then 'dangling' when 1 then 'resolved' else 'ambiguous' end as outcome, case when count(n.citation) = 1 then min(n.words) end as words from (select distinct ref_key, lang, source from refs) r left join nodes n on n.lang = r.lang and n.source is not distinct from r.source group by r.ref_key")
+def j08_resolve_scopes(t):
+    return jurisdiction.resolve(claims_of(t), nodes_of(t)).select("ref_key", "hits", "outcome", "words")
+
+
+@query(f"with {CLAIMS_SQL} select slug, ref_key from refs i where not exists (select 1 from refs o where o.slug = i.slug and o.ref_key <> i.ref_key and o.lang = i.lang and (o.source is null or o.source = i.source))")
+def j10_prune_contained(t):
+    return jurisdiction.prune_contained(claims_of(t)).select("slug", "ref_key")
+
+
+@query(f"with {CLAIMS_SQL}, r as (select distinct ref_key as citation from refs) select i.citation, max(o.citation) as container from r i left join r o on starts_with(i.citation, o.citation || '/') group by i.citation")
+def j11_nearest_container(t):
+    return tree.nearest_container(claims_of(t).select(F.col("ref_key").alias("citation")))
+
+
+@query(f"with {CLAIMS_SQL} select distinct 'title-' || d.lang || '/part-' || d.source as part_key, r.slug from (select distinct lang, source from documents) d join refs r on r.lang = d.lang and (r.source is null or r.source = d.source)")
+def j13_covering_agencies(t):
+    none = F.lit(None).cast("string")
+    p = t("documents").select("lang", "source").distinct().select(F.concat(F.lit("title-"), F.col("lang"), F.lit("/part-"), F.col("source")).alias("part_key"), title_number(F.col("lang")).alias("title"), none.alias("subtitle"), none.alias("chapter"), none.alias("subchapter"), F.col("source").alias("part"))
+    return jurisdiction.covering(p, claims_of(t))
+
+
+@query(f"with {CLAIMS_SQL} select distinct d.k as chapter_key, r.ref_key from (select distinct lang, null::varchar as source, 'title-' || lang as k from documents union select lang, source, 'title-' || lang || '/part-' || source from documents) d join refs r on r.lang = d.lang and (r.source is null or r.source = d.source or d.source is null)")
+def j14_related_scopes(t):
+    none = F.lit(None).cast("string")
+    d = t("documents").select("lang", "source").distinct()
+    u = d.select("lang", none.alias("part")).distinct().union(d.select("lang", "source"))
+    c = u.select(F.concat_ws("/", F.concat(F.lit("title-"), F.col("lang")), F.concat(F.lit("part-"), F.col("part"))).alias("chapter_key"), title_number(F.col("lang")).alias("title"), none.alias("subtitle"), none.alias("chapter"), none.alias("subchapter"), "part")
+    return jurisdiction.related(c, claims_of(t))
+
+
+@query("with p as (select distinct n_nationkey, s_suppkey from nation join supplier on s_nationkey = n_nationkey) select n_nationkey, cast(ts as date) as day, count(*) as n, count(*) filter (value is null) as unattributable from p join events on user_id = s_suppkey group by all")
+def j15_attributed_counts(t):
+    p = t("nation").join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_nationkey", "s_suppkey").distinct()
+    return p.join(t("events"), F.col("user_id") == F.col("s_suppkey")).groupBy("n_nationkey", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("unattributable"))
+
+
+def halves(t):
+    o = t("orders")
+    size = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice").cast("bigint"))
+    stored = o.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").cast("string").alias("citation"), size.alias("xml_bytes"))
+    fresh = o.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("citation"), (size + F.when(F.col("o_orderkey") % 4 == 0, 1).otherwise(0)).alias("xml_bytes"))
+    return stored, fresh
+
+
+SIZES_SQL = """stored as (select o_orderkey::varchar as citation, case when o_orderkey % 11 <> 0 then trunc(o_totalprice)::bigint end as b from orders where o_orderkey % 7 <> 0),
+fresh as (select o_orderkey::varchar as citation, case when o_orderkey % 11 <> 0 then trunc(o_totalprice)::bigint + case when o_orderkey % 4 = 0 then 1 else 0 end end as b from orders where o_orderkey % 5 <> 0),
+sizes as (select coalesce(s.citation, f.citation) as citation, s.b as old_bytes, f.b as new_bytes, case when s.citation is null then 'added' when f.citation is null then 'removed' when s.b is null or f.b is null then 'unknown' when s.b <> f.b then 'changed' else 'unchanged' end as change from stored s full join fresh f on s.citation = f.citation)"""
+
+
+@query(f"with {SIZES_SQL} select * from sizes")
+def j16_size_diff(t):
+    return delta.size_diff(*halves(t))
+
+
+@query("select c_custkey as number, case when c_custkey % 10 = 0 then 'reserved' when seen is null or amended is null or seen <> amended then 'dirty' else 'unchanged' end as action, case when c_custkey % 10 = 0 then 'reserved' when seen is null then 'never loaded' when amended is null then 'no date' when seen <> amended then 'amended' else 'same date' end as reason from (select c_custkey, case when c_custkey % 6 = 0 then null else 'd' || c_nationkey end as amended, case when c_custkey % 4 = 0 then null else 'd' || (c_nationkey - case when c_custkey % 3 = 0 then 1 else 0 end) end as seen from customer)")
+def j17_title_plan(t):
+    c = t("customer")
+    day = lambda n: F.concat(F.lit("d"), n.cast("string"))
+    titles = c.select(F.col("c_custkey").alias("number"), F.when(F.col("c_custkey") % 6 != 0, day(F.col("c_nationkey"))).alias("latest_amended_on"), (F.col("c_custkey") % 10 == 0).alias("reserved"))
+    marks = c.filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("title_number"), day(F.col("c_nationkey") - F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)).alias("latest_amended_on"))
+    return delta.title_plan(titles, marks)
+
+
+@query(f"with {SIZES_SQL} select citation, case when citation::bigint % 9 = 0 then 'amended' when change in ('added', 'changed', 'unknown') then 'size ' || change else 'unknown before' end as reason from sizes where change <> 'removed' and (citation::bigint % 9 = 0 or change in ('added', 'changed', 'unknown') or citation::bigint % 13 = 0)")
+def j18_refetch_plan(t):
+    stored, fresh = halves(t)
+    key = F.col("citation").cast("bigint")
+    return delta.refetch_plan(fresh, fresh.filter(key % 9 == 0), delta.size_diff(stored, fresh), fresh.filter(key % 13 == 0))
+
+
+@query(f"with {LEAF_SQL} select citation, case when source = 'src2' then words + 1 else words end as words, case when source = 'src2' then 'measured' else 'carried' end as origin from leaf where not (source = 'src2' and doc_id % 2 = 1)")
+def j19_carry_forward(t):
+    n = leaves(t)
+    fresh = n.filter("source = 'src2' and doc_id % 2 = 0").select("citation", (F.col("words") + 1).alias("words"))
+    return delta.carry_forward(n.select("citation", "words"), fresh, n.filter("source = 'src2'").select(F.col("part").alias("citation")).distinct())
+
+
+@query("select s_suppkey, coalesce(n_name, 'slug-' || s_nationkey) as name from supplier left join (select * from nation where n_nationkey % 4 <> 0) n on n_nationkey = s_nationkey")
+def j20_names_with_fallback(t):
+    n = t("nation").filter("n_nationkey % 4 <> 0")
+    return t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.concat(F.lit("slug-"), F.col("s_nationkey").cast("string"))).alias("name"))
+
+
+@query("select p.p_partkey, x.doc_id from part p join (select doc_id, source, row_number() over (partition by source, upper(lang) order by doc_id) as k, lang from documents) x on x.source = 'src' || (p.p_partkey % 20) and upper(x.lang) = (case p.p_partkey % 2 when 0 then 'EN' else 'FR' end) and x.k = 1")
+def j22_two_pass_find(t):
+    d = t("documents").select("doc_id", "source", "lang", F.upper("lang").alias("folded"))
+    p = t("part").select("p_partkey", F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("s"), F.when(F.col("p_partkey") % 2 == 0, "EN").otherwise("FR").alias("want"))
+    j = p.join(d, (F.col("s") == F.col("source")) & (F.col("want") == F.col("folded")))
+    w = Window.partitionBy("p_partkey").orderBy((F.col("lang") == F.col("want")).desc(), "doc_id")
+    return j.withColumn("r", F.row_number().over(w)).filter("r = 1").select("p_partkey", "doc_id")
+
+
+@query("select r_name, list(n_name order by n_name)::varchar as children from region left join nation on n_regionkey = r_regionkey group by r_name")
+def j23_children(t):
+    g = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("c"))
+    return g.select("r_name", F.concat(F.lit("["), F.array_join("c", ", "), F.lit("]")).alias("children"))
+
+
+# aggregates
+
+
+@query(f"with {LEAF_SQL} select source, count(*) as parts, count(*) filter (words is null) as missing, case when count(*) filter (words is null) = 0 then sum(words)::bigint end as words from leaf group by source")
+def g01_all_or_nothing(t):
+    return leaves(t).groupBy("source").agg(F.count("*").alias("parts"), M.missing(F.col("words")).alias("missing"), M.all_or_nothing(F.col("words")).alias("words"))
+
+
+@query(f"""with {LEAF_SQL}, own as (select part as citation, 7 as own from leaf where source in ('src1', 'src4') group by part),
+p as (select l.part as citation, l.title, count(*) as kids, count(*) filter (words is null) as bad, sum(words)::bigint as s, max(own) as own from leaf l left join own o on o.citation = l.part group by l.part, l.title),
+pw as (select *, case when bad = 0 then s + coalesce(own, 0) end as words from p),
+tw as (select title as citation, count(*) as kids, count(*) filter (words is null) as bad, sum(words)::bigint as s from pw group by title)
+select citation, words, status from leaf union all select citation, words, case when words is null then 'not_computed' else 'rolled_up' end from pw union all select citation, case when bad = 0 then s end, case when bad = 0 then 'rolled_up' else 'not_computed' end from tw""")
+def g03_tree_roll_up(t):
+    n = leaves(t)
+    known = lambda w, k: F.struct(w.cast("bigint").alias("words"), k.alias("known"))
+    none = F.lit(None).cast("struct<words:bigint,known:boolean>")
+    low = n.select("citation", F.col("part").alias("parent_citation"), F.when(F.col("status") != "reserved_empty", known(F.col("words"), F.col("words").isNotNull())).alias("direct"), none.alias("own"), (F.col("status") == "reserved_empty").alias("reserved"), F.lit(5).cast("bigint").alias("xml_bytes"))
+    mid = n.select("part", "title", "source").distinct().select(F.col("part").alias("citation"), F.col("title").alias("parent_citation"), none.alias("direct"), F.when(F.col("source").isin("src1", "src4"), known(F.lit(7), F.lit(True))).alias("own"), F.lit(False).alias("reserved"), F.lit(5).cast("bigint").alias("xml_bytes"))
+    top = n.select("title").distinct().select(F.col("title").alias("citation"), F.lit(None).cast("string").alias("parent_citation"), none.alias("direct"), none.alias("own"), F.lit(False).alias("reserved"), F.lit(5).cast("bigint").alias("xml_bytes"))
+    r = tree.roll_up(low.unionByName(mid).unionByName(top))
+    lost = F.when((F.col("status") == "not_computed") & F.col("citation").contains("/section-"), "unavailable_fetch_failed").otherwise(F.col("status"))
+    return r.select("citation", "words", lost.alias("status"))
+
+
+DIVIDE_SQL = f"""{LEAF_SQL}, {NODES_SQL}, {CLAIMS_SQL},
+found as (select r.*, n.citation, n.words from refs r join nodes n on n.lang = r.lang and n.source is not distinct from r.source),
+eff as (select * from found i where not exists (select 1 from found o where o.slug = i.slug and o.ref_key <> i.ref_key and o.lang = i.lang and (o.source is null or o.source = i.source))),
+region as (select citation, min(lang) as lang, min(source) as source, min(words) as words from eff group by citation),
+ex as (select r.citation, r.lang, r.source, case when count(i.citation) filter (i.words is null) = 0 and min(r.words) - coalesce(sum(i.words), 0) >= 0 then (min(r.words) - coalesce(sum(i.words), 0))::bigint end as exclusive, min(r.words) as words from region r left join region i on r.source is null and i.source is not null and i.lang = r.lang group by r.citation, r.lang, r.source),
+adm as (select distinct ex.citation, ex.exclusive, e.slug from ex join eff e on e.lang = ex.lang and (e.source is null or e.source = ex.source)),
+sh as (select *, (exclusive // count(*) over (partition by citation) + case when row_number() over (partition by citation order by slug) <= exclusive % count(*) over (partition by citation) then 1 else 0 end)::bigint as share from adm)"""
+
+
+def division(t) -> jurisdiction.Division:
+    c = claims_of(t)
+    return jurisdiction.divide(c.select("slug").distinct().withColumn("sortable_name", F.col("slug")), c, nodes_of(t))
+
+
+@query(f"with {DIVIDE_SQL} select s.slug, case when e.n is null then 0 when e.bad = 0 then e.w end as attributed, case when e.n is null then 0 when e.bad = 0 and d.bad = 0 then d.w end as deduplicated from (select distinct slug from refs) s left join (select slug, count(*) as n, count(*) filter (words is null) as bad, sum(words)::bigint as w from eff group by slug) e using (slug) left join (select slug, count(*) filter (share is null) as bad, sum(share)::bigint as w from sh group by slug) d using (slug)")
+def g04_g07_attributed_and_deduplicated(t):
+    return division(t).agencies.select("slug", F.col("attributed").cast("bigint").alias("attributed"), F.col("deduplicated").cast("bigint").alias("deduplicated"))
+
+
+@query(f"with {DIVIDE_SQL} select ex.citation, ex.words, ex.exclusive, string_agg(distinct adm.slug, ',' order by adm.slug) as admins from ex join adm using (citation) group by all")
+def g05_exclusive_regions(t):
+    return division(t).regions.select("citation", "words", "exclusive", F.array_join("admins", ",").alias("admins"))
+
+
+@query("with k as (select n_regionkey, n_name, count(*) over (partition by n_regionkey) as k, row_number() over (partition by n_regionkey order by n_name) as r from nation) select n_name, (1003 // k + case when r <= 1003 % k then 1 else 0 end)::bigint as share from k")
+def g06_even_shares(t):
+    return jurisdiction.even_shares(t("nation").withColumn("w", F.lit(1003)), "n_regionkey", "w", F.col("n_name")).select("n_name", "share")
+
+
+@query(f"with {DIVIDE_SQL}, al as (select slug, count(*) as refs_total from refs group by slug), ok as (select slug, count(*) as refs_counted from found where words is not null group by slug), mult as (select ref_key from eff group by ref_key having count(distinct slug) > 1), shr as (select slug, count(*) as shared_refs from eff where ref_key in (select ref_key from mult) group by slug) select al.slug, refs_total, coalesce(refs_counted, 0) as refs_counted, coalesce(shared_refs, 0) as shared_refs, coalesce(refs_counted, 0)::double / refs_total as coverage from al left join ok using (slug) left join shr using (slug)")
+def g09_coverage(t):
+    return division(t).agencies.select("slug", "refs_total", "refs_counted", "shared_refs", "coverage")
+
+
+@query(f"with {DIVIDE_SQL} select ref_key, count(distinct slug) as agency_count, '[' || string_agg(distinct '\"' || slug || '\"', ',' order by '\"' || slug || '\"') || ']' as agency_slugs from eff group by ref_key having count(distinct slug) > 1")
+def g10_overlaps(t):
+    return division(t).overlaps
+
+
+@query(f"with {DIVIDE_SQL}, s as (select distinct ref_key, words from eff) select case when (select count(*) from s) > 0 and (select count(*) from s where words is null) = 0 then (select sum(words)::bigint from region r where source is null or not exists (select 1 from region o where o.source is null and o.lang = r.lang)) end as words")
+def g11_corpus_total(t):
+    return division(t).corpus
+
+
+@query(f"with {DIVIDE_SQL} select (select count(distinct ref_key) from refs) as distinct_scopes, (select count(distinct ref_key) from refs where ref_key not in (select ref_key from found)) as dangling, 0::bigint as ambiguous, (select count(*) from region i join region o on o.source is null and i.source is not null and i.lang = o.lang) as nested_pairs")
+def g12_diagnostics(t):
+    c, n = claims_of(t), nodes_of(t)
+    return jurisdiction.diagnostics(c, jurisdiction.resolve(c, n), jurisdiction.divide(c.select("slug").distinct().withColumn("sortable_name", F.col("slug")), c, n).regions)
+
+
+@query(f"with {LEAF_SQL} select count(*) as nodes, count(*) filter (words is null) as unknown, count(*) filter (status = 'reserved_empty') as reserved, case when count(*) filter (words is null) = 0 then sum(words)::bigint end as total_words, (select count(*) from nation) as agencies, (select count(distinct lang) from documents) as titles from leaf")
+def g13_corpus_counts(t):
+    n = leaves(t)
+    a = n.agg(F.count("*").alias("nodes"), M.missing(F.col("words")).alias("unknown"), F.count_if(F.col("status") == "reserved_empty").alias("reserved"), M.all_or_nothing(F.col("words")).alias("total_words"))
+    return a.crossJoin(t("nation").agg(F.count("*").alias("agencies"))).crossJoin(t("documents").agg(F.count_distinct("lang").alias("titles")))
+
+
+@query(f"with {LEAF_SQL} select status, count(*) as n from leaf where words is null group by status")
+def g14_unknown_breakdown(t):
+    return leaves(t).filter("words is null").groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
+
+
+@query("select n_regionkey, count(*) filter (s_acctbal < 0) as in_debt, count(*) filter (s_acctbal >= 0) as in_credit from supplier join nation on s_nationkey = n_nationkey group by n_regionkey")
+def g15_conditional_pivot(t):
+    j = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_regionkey").agg(F.count_if(F.col("s_acctbal") < 0).alias("in_debt"), F.count_if(F.col("s_acctbal") >= 0).alias("in_credit"))
+
+
+@query(f"with {LEAF_SQL} select status, count(*) as n from leaf where starts_with(citation, 'title-en/') group by status")
+def g16_child_counts(t):
+    return leaves(t).filter(F.col("citation").startswith("title-en/")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select lang, source, count(*) as n from documents group by lang, source")
+def g17_two_key_counts(t):
+    return t("documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("select user_id, event_type, strftime(ts, '%Y-%m') as month, count(*) as n, max(ts)::varchar as latest from events group by user_id, event_type, strftime(ts, '%Y-%m')")
+def g18_monthly_index(t):
+    g = t("events").groupBy("user_id", "event_type", S.month(F.col("ts")).alias("month")).agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+    return g.withColumn("latest", F.col("latest").cast("string"))
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 1")
+def g19_activity_by_month(t):
+    return t("orders").groupBy(S.month(F.col("o_orderdate")).alias("month")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {LEAF_SQL}, q as (select status, coalesce(source, '') as reason, citation, row_number() over (partition by status, source order by citation) as k, count(*) over (partition by status, source) as n from leaf) select status, reason, n, string_agg(citation, '|' order by citation) filter (k <= 5) as sample, n > 5 as truncated from q group by status, reason, n")
+def g20_quality_groups(t):
+    w = Window.partitionBy("status", "source")
+    q = leaves(t).withColumn("k", F.row_number().over(w.orderBy("citation"))).withColumn("n", F.count("*").over(w))
+    g = q.filter("k <= 5").groupBy("status", F.coalesce("source", F.lit("")).alias("reason"), "n").agg(F.array_join(F.array_sort(F.collect_list("citation")), "|").alias("sample"))
+    return g.withColumn("truncated", F.col("n") > 5)
+
+
+@query(f"with {LEAF_SQL} select title, count(*) filter (words is null) as unknown, count(*) as total from leaf group by title having count(*) filter (words is null) > 0")
+def g21_unknown_per_title(t):
+    return leaves(t).groupBy("title").agg(M.missing(F.col("words")).alias("unknown"), F.count("*").alias("total")).filter("unknown > 0")
+
+
+@query(f"with {DIVIDE_SQL} select ref_key, string_agg(distinct slug, ',' order by slug) as agencies from refs where ref_key not in (select ref_key from found) group by ref_key")
+def g22_unresolved_references(t):
+    c = claims_of(t)
+    bad = jurisdiction.resolve(c, nodes_of(t)).filter("outcome = 'dangling'").select("ref_key")
+    return c.join(bad, "ref_key").groupBy("ref_key").agg(F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("agencies"))
+
+
+@query("select (select count(*) from orders) as orders, (select count(*) from lineitem) as lines, (select max(o_orderdate)::date from orders) as latest, (select count(distinct l_suppkey) from lineitem) as suppliers")
+def g24_scalar_subqueries(t):
+    o, li = t("orders"), t("lineitem")
+    return o.agg(F.count("*").alias("orders"), F.to_date(F.max("o_orderdate")).alias("latest")).crossJoin(li.agg(F.count("*").alias("lines"), F.count_distinct("l_suppkey").alias("suppliers")))
+
+
+@query("select event_type as title, count(*) filter (value > 50 and not (event_id % 6 = 0)) as substantive, count(*) filter (not (value > 50) and not (event_id % 6 = 0)) as minor, count(*) filter (event_id % 6 = 0) as removed, string_agg(distinct (user_id % 9)::varchar, ',' order by (user_id % 9)::varchar) as parts, count(*) > 2000 as truncated from events where value is not null group by event_type")
+def g25_summarise_versions(t):
+    e = t("events").filter("value is not null")
+    many = F.count("*").over(Window.partitionBy("event_type")) > 2000
+    v = e.select(F.col("event_type").alias("title"), (F.col("value") > 50).alias("substantive"), (F.col("event_id") % 6 == 0).alias("removed"), (F.col("user_id") % 9).cast("string").alias("part"), many.alias("truncated"))
+    return delta.summarise(v).withColumn("parts", F.array_join("parts", ","))
+
+
+@query("select count(*) as active from supplier where s_acctbal > 0")
+def g26_active_count(t):
+    return t("supplier").filter("s_acctbal > 0").agg(F.count("*").alias("active"))
+
+
+@query("select split_part(url, '/', 3) as top, count(*) as files, sum(length(html))::bigint as bytes, max(length(html))::bigint as largest from pages group by 1 order by files desc, top limit 12")
+def g27_asset_budget(t):
+    g = t("pages").groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("top")).agg(F.count("*").alias("files"), F.sum(F.length("html")).alias("bytes"), F.max(F.length("html")).cast("bigint").alias("largest"))
+    return g.orderBy(F.desc("files"), "top").limit(12)
+
+
+@query(f"with {DIVIDE_SQL}, o as (select ref_key, count(distinct slug) as n from eff group by ref_key having count(distinct slug) > 1) select sum(n)::bigint as memberships, max(n) as most, count(*) as scopes, (select count(distinct slug) from eff where ref_key in (select ref_key from o)) as organisations from o")
+def g28_shared_statistics(t):
+    o = division(t).overlaps
+    flat = o.select(F.explode(S.parse_slugs(F.col("agency_slugs"))).alias("s")).agg(F.count_distinct("s").alias("organisations"))
+    return o.agg(F.sum("agency_count").alias("memberships"), F.max("agency_count").alias("most"), F.count("*").alias("scopes")).crossJoin(flat)
+
+
+@query("select n_name, words, greatest(0.5, round(words * 100.0 / max(words) over (), 4)) as pct from (select n_name, count(*) as words from customer join nation on c_nationkey = n_nationkey group by n_name order by words desc, n_name limit 12)")
+def g29_bar_scale(t):
+    g = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("words"))
+    return series.top_with_share(g, "words", 12, F.col("n_name")).withColumn("pct", F.col("pct").cast("double"))
+
+
+@query("select count(*) as files, case when count(*) > 18000 then 'over' when count(*) > 16000 then 'warn' else 'ok' end as budget from pages")
+def g30_file_budget(t):
+    return t("pages").agg(F.count("*").alias("files")).withColumn("budget", F.when(F.col("files") > 18000, "over").when(F.col("files") > 16000, "warn").otherwise("ok"))
+
+
 @query()
-def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("source", T.count_words(F.col("text")).alias("w")).groupBy("source").agg(F.sum("w").alias("words"))
+def g31_tag_census(t):
+    from .functions.xmltext import html_tags
+
+    return t("pages").select(F.explode(html_tags("html")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
