@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citation as C
 from ..functions import measure as M
+from ..sources.shared import settle
 from .tree import nearest_container, with_ancestors
 
 LEVELS = C.LEVELS
@@ -86,8 +87,10 @@ def divide(agencies: DataFrame, claims: DataFrame, nodes: DataFrame) -> Division
     collation), then slug.
     """
     claims = claims.dropDuplicates(["slug", "ref_key"])
-    found = resolve(claims, nodes)
+    # small beside the nodes, and read by all that follows
+    claims, found = settle(claims), settle(resolve(claims, nodes))
     effective = prune_contained(claims.join(found.filter("outcome <> 'dangling'").select("ref_key"), "ref_key", "left_semi"))
+    effective = settle(effective)
     c = effective.select("slug", "ref_key").join(found.select("ref_key", "citation", "words"), "ref_key")
     own = c.groupBy("slug").agg(M.all_or_nothing(F.col("words")).alias("attributed"))
     region = c.filter("citation is not null").groupBy("citation").agg(F.first("words").alias("words"))
@@ -96,6 +99,7 @@ def divide(agencies: DataFrame, claims: DataFrame, nodes: DataFrame) -> Division
     inner = region.filter("container is not null").groupBy(F.col("container").alias("citation")).agg(F.sum("words").alias("inner_words"), F.count_if(F.col("words").isNull()).alias("bad"))
     exact = region.join(inner, "citation", "left").withColumn("rest", F.col("words") - F.coalesce("inner_words", F.lit(0)))
     exact = exact.withColumn("exclusive", F.when((F.coalesce("bad", F.lit(0)) == 0) & (F.col("rest") >= 0), F.col("rest")))
+    exact = settle(exact.select("citation", "words", "container", "exclusive"))
     # a region is administered by its claimants and by those of every region around it
     claimants = c.filter("citation is not null").select("citation", "slug").distinct()
     around = with_ancestors(region.select("citation")).join(claimants.withColumnRenamed("citation", "a"), F.col("ancestor") == F.col("a")).select("citation", "slug").distinct()

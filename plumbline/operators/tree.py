@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citation as C
 from ..functions import measure as M
+from ..sources.shared import settle
 
 FLAT = "citation string, parent_citation string, node_type string, identifier string, label string, reserved boolean, xml_bytes bigint, ordinal int, depth int, doc_pos int"
 
@@ -46,7 +47,7 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", limi
     front = total
     for _ in range(limit):
         step = front.join(e, front["descendant"] == e["p"]).select("ancestor", F.col("c").alias("descendant")).distinct()
-        front = step.join(total, ["ancestor", "descendant"], "left_anti").checkpoint()
+        front = settle(step.join(total, ["ancestor", "descendant"], "left_anti"))
         if not front.head(1):
             return total
         total = total.unionByName(front)

@@ -616,3 +616,412 @@ def g31_tag_census(t):
     from .functions.xmltext import html_tags
 
     return t("pages").select(F.explode(html_tags("html")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+# windows, sorts, pages
+
+
+@query("select n_name, r_name, row_number() over (partition by n_regionkey order by n_name) as place from nation join region on n_regionkey = r_regionkey")
+def w01_canonical_order(t):
+    w = Window.partitionBy("n_regionkey").orderBy(F.expr("collate(n_name, 'UNICODE')"), "n_nationkey")
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.row_number().over(w).alias("place"))
+
+
+@query("select event_type, current, previous from (select event_type, day as current, lag(day) over (partition by event_type order by day) as previous, row_number() over (partition by event_type order by day desc) as r from (select distinct event_type, cast(ts as date) as day from events where cast(ts as date) <= date '2024-01-20')) where r = 1")
+def w02_adjacent_dates(t):
+    e = t("events").select("event_type", F.to_date("ts").alias("day"))
+    return series.adjacent_dates(e, "event_type", "day", F.lit("2024-01-20").cast("date"))
+
+
+@query("select o_custkey, o_orderkey, o_orderdate::date as day from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders) where r <= 3")
+def w03_last_n_history(t):
+    return series.last_n(t("orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day")), "o_custkey", "o_orderkey", 3).orderBy("o_custkey", "o_orderkey")
+
+
+@query("with k as (select distinct event_type from events), g as (select event_type, d::date as day from k, generate_series(timestamp '2023-12-25', timestamp '2024-02-05', interval 1 day) x(d)), n as (select event_type, cast(ts as date) as day, count(*) as n from events group by all) select g.event_type, g.day, coalesce(n.n, 0)::bigint as n, sum(coalesce(n.n, 0)) over (partition by g.event_type)::bigint as total from g left join n using (event_type, day)")
+def w04_dense_series(t):
+    n = t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return series.dense_series(n, "event_type", "day", "n", F.lit("2023-12-25").cast("date"), F.lit("2024-02-05").cast("date"), "1 day")
+
+
+@query()
+def w05_w06_hunks(t):
+    """Hunks of the line diffs of neighbouring turns."""
+    return diffs.hunks(x09_line_diff_of(t), "pair", 1).drop("edits")
+
+
+@query()
+def w07_w08_render_units(t):
+    """Order-keeping packing of a part's documents into page units."""
+    return packing.pack_siblings(t("documents"), "source", "doc_id", "n_chars", "doc_id", target=20_000, oversized=15_000).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("select nation, d, words, words - lag(words) over (partition by nation order by d) as delta from (select c_nationkey as nation, o_orderdate::date as d, count(*) as words from orders join customer on o_custkey = c_custkey group by all)")
+def w10_snapshots(t):
+    g = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("agency_slug"), F.to_date("o_orderdate").alias("snapshot_date")).agg(F.count("*").alias("words"))
+    today = g.filter("agency_slug = 3")
+    return delta.snapshots(g, today).select(F.col("agency_slug").alias("nation"), F.col("snapshot_date").alias("d"), "words", "delta")
+
+
+@query("select s_suppkey, w, row_number() over (order by w desc nulls last, s_suppkey) as by_words, row_number() over (order by w asc nulls first, s_suppkey) as by_words_up from (select s_suppkey, case when s_suppkey % 4 <> 0 then s_nationkey end as w from supplier)")
+def t01_nulls_last(t):
+    s = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("w"))
+    one = Window.partitionBy()
+    return s.withColumn("by_words", F.row_number().over(one.orderBy(F.desc_nulls_last("w"), "s_suppkey"))).withColumn("by_words_up", F.row_number().over(one.orderBy(F.asc_nulls_first("w"), "s_suppkey")))
+
+
+@query("select c_custkey, c_acctbal, (select count(*) from customer) as total from customer order by c_acctbal desc nulls last, c_custkey limit 20 offset 40")
+def t03_page_and_total(t):
+    return series.page(t("customer").select("c_custkey", "c_acctbal"), 20, 40, F.desc_nulls_last("c_acctbal"), F.col("c_custkey"))
+
+
+@query("select o_orderkey, true as truncated from orders order by o_orderkey limit 25")
+def t04_limit_plus_one(t):
+    return series.limited(t("orders").select("o_orderkey"), 25, F.col("o_orderkey"))
+
+
+@query("select p_partkey, row_number() over (order by lpad((p_partkey % 30)::varchar, 12, '0') || 'x' || lpad(p_size::varchar, 12, '0'), p_partkey) as place from part")
+def t05_natural_order(t):
+    p = t("part").select("p_partkey", F.concat((F.col("p_partkey") % 30).cast("string"), F.lit("x"), F.col("p_size").cast("string")).alias("label"))
+    return p.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(T.natural_key(F.col("label")), "p_partkey"))).drop("label")
+
+
+@query("select p_partkey, row_number() over (order by case when starts_with(lower(p_name), 'bl') then 0 else 1 end, p_name, p_partkey) as place from part where contains(lower(p_name), 'bl')")
+def t06_search_rank(t):
+    p = t("part").filter(T.contains_folded(F.col("p_name"), "bl"))
+    rank = F.when(F.lower("p_name").startswith("bl"), 0).otherwise(1)
+    return p.select("p_partkey", F.row_number().over(Window.partitionBy().orderBy(rank, "p_name", "p_partkey")).alias("place"))
+
+
+@query("select n_name, n from (select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name) where n is not null order by n desc, n_name limit 12")
+def t08_top_twelve(t):
+    g = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    return g.orderBy(F.desc("n"), "n_name").limit(12)
+
+
+@query("select s_suppkey, row_number() over (order by coalesce(w, -1) desc, s_suppkey) as place from (select s_suppkey, case when s_suppkey % 4 <> 0 then s_nationkey end as w from supplier)")
+def t09_overlap_order(t):
+    s = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("words"), F.col("s_suppkey").alias("ref_key"))
+    return s.select("s_suppkey", F.row_number().over(Window.partitionBy().orderBy(*series.overlap_sort("words"))).alias("place"))
+
+
+# sets
+
+
+@query("select 'nation' as table_name, count(*) as n from nation union all select 'region', count(*) from region union all select 'orders', count(*) from orders")
+def u01_row_counts(t):
+    return K.row_counts({k: t(k) for k in ("nation", "region", "orders")})
+
+
+@query(f"with {CLAIMS_SQL} select ref_key, count(distinct lang) as langs from (select ref_key, lang from refs union select 'title-' || lang, lang from documents) group by ref_key")
+def u02_union_of_scopes(t):
+    c = claims_of(t).select("ref_key", F.split_part(F.split_part("ref_key", F.lit("/"), F.lit(1)), F.lit("-"), F.lit(2)).alias("lang"))
+    d = t("documents").select(F.concat(F.lit("title-"), F.col("lang")).alias("ref_key"), "lang")
+    return c.union(d).distinct().groupBy("ref_key").agg(F.count_distinct("lang").alias("langs"))
+
+
+@query("select distinct l_orderkey, l_linenumber from lineitem")
+def u03_distinct_claims(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber").dropDuplicates(["l_orderkey", "l_linenumber"])
+
+
+@query("select kind, id from (select 0 as k, 'nation' as kind, n_nationkey::bigint as id from nation union all select 1, 'supplier', s_suppkey from supplier union all select 2, 'customer', c_custkey from customer) order by k, id limit 40")
+def u04_ranked_concatenation(t):
+    parts = [(t("nation"), "nation", "n_nationkey"), (t("supplier"), "supplier", "s_suppkey"), (t("customer"), "customer", "c_custkey")]
+    rows = [df.select(F.lit(k).alias("k"), F.lit(n).alias("kind"), F.col(c).cast("bigint").alias("id")) for k, (df, n, c) in enumerate(parts)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).orderBy("k", "id").limit(40).drop("k")
+
+
+@query(f"with {SIZES_SQL} select citation from stored except select citation from fresh")
+def u05_removed_citations(t):
+    stored, fresh = halves(t)
+    return delta.removed(stored, fresh)
+
+
+@query("select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by c_custkey) as r from customer) where r = 1")
+def u06_first_of_slug(t):
+    from .sources.readers import first_of
+
+    return first_of(t("customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+
+
+# scalar functions
+
+
+@query("select n_nationkey, 'title-' || (1 + n_nationkey % 5) || case when n_nationkey % 2 = 0 then '/chapter-C' || n_regionkey else '' end || case when n_nationkey % 3 = 0 then '/part-' || n_nationkey else '' end as ref_key, case when n_nationkey % 3 = 0 then 'part' when n_nationkey % 2 = 0 then 'chapter' else 'title' end as level, (1 + n_nationkey % 5) || ' CFR' || case when n_nationkey % 2 = 0 then ' chapter C' || n_regionkey else '' end || case when n_nationkey % 3 = 0 then ' part ' || n_nationkey else '' end as shown, case when n_nationkey % 3 = 0 then n_nationkey::varchar end as back_part from nation")
+def f02_f07_scopes(t):
+    s = C.to_scope(1 + F.col("n_nationkey") % 5, chapter=F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("C"), F.col("n_regionkey").cast("string"))).otherwise(""), part=F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("string")))
+    n = t("nation").withColumn("s", s).withColumn("ref_key", C.ref_key(F.col("s")))
+    return n.select("n_nationkey", "ref_key", C.narrowest_level(F.col("s")).alias("level"), C.display(F.col("s")).alias("shown"), C.parse_ref_key(F.col("ref_key"))["part"].alias("back_part"))
+
+
+@query("select o_orderkey, 'part-1/section-' || case when o_orderkey % 3 = 0 then '@' || (o_orderkey % 10) else o_orderkey::varchar end as citation, 'https://example.org/' || strftime(o_orderdate, '%Y-%m-%d') || '/title-' || (o_orderkey % 50 + 1) || '/section-' || o_orderkey as link from orders")
+def f06_f08_citations_and_links(t):
+    key = F.col("o_orderkey").cast("string")
+    return t("orders").select("o_orderkey", C.child_citation(F.lit("part-1"), F.lit("section"), F.when(F.col("o_orderkey") % 3 != 0, key), F.col("o_orderkey") % 10).alias("citation"), C.section_link("https://example.org", F.col("o_orderdate"), F.col("o_orderkey") % 50 + 1, key).alias("link"))
+
+
+@query("select o_orderkey, case when n between 1 and 50 then case o_orderkey % 4 when 0 then 'part' when 1 then 'section' when 2 then 'title' end end as level, case when n between 1 and 50 and o_orderkey % 4 <> 3 then n end as title from (select o_orderkey, o_orderkey % 60 as n from orders)")
+def f09_parse_citation_query(t):
+    n = F.col("o_orderkey") % 60
+    s = n.cast("string")
+    kind = F.col("o_orderkey") % 4
+    q = F.when(kind == 0, F.concat(s, F.lit(" CFR Part 7a"))).when(kind == 1, F.concat(s, F.lit(" cfr § 60.1"))).when(kind == 2, F.concat(F.lit("Title "), s)).otherwise(F.concat(s, F.lit(" USC 9")))
+    p = C.parse_query(q)
+    return t("orders").select("o_orderkey", p["level"].alias("level"), p["title"].cast("bigint").alias("title"))
+
+
+@query("select p_partkey, upper(trim(regexp_replace('§ §' || p_name || ' ', '^[\\s§]+', ''))) as ident, contains(lower('x [ reserved ]'), 'reserved') and p_partkey % 2 = 0 as reserved, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '-', 'g'), 'zzz', '') as slug, p_brand || case when p_partkey % 2 = 0 then '' else '--' || p_type end as label from part")
+def f10_f18_identifiers(t):
+    head = F.when(F.col("p_partkey") % 2 == 0, F.lit("x [ Reserved ]")).otherwise(F.lit("x"))
+    return t("part").select("p_partkey", T.normalize_identifier(F.concat(F.lit("§ §"), F.col("p_name"), F.lit(" "))).alias("ident"), T.is_reserved(head).alias("reserved"), T.slug(F.col("p_name")).alias("slug"), T.range_label(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type"))).alias("label"))
+
+
+@query("select n_nationkey, case n_nationkey % 4 when 0 then 'chapter' when 1 then 'part' when 2 then 'section' end as kind from nation")
+def f11_node_types(t):
+    k = F.col("n_nationkey") % 4
+    element = F.when(k == 0, "DIV3").when(k == 1, "DIV8").when(k == 2, "div8").otherwise("P")
+    return t("nation").select("n_nationkey", T.node_type(element, F.when(k == 1, "part").when(k == 0, "Chapter").otherwise("?")).alias("kind"))
+
+
+@query("select doc_id, array_to_string(list_distinct(regexp_extract_all(case when doc_id % 3 = 0 then doc_id || ' FR 12; ' || doc_id || ' FR 12, 7 FR 9' else 'none' end, '(\\d+\\s+FR\\s+\\d+)')), '|') is not null as any_list, len(list_distinct(regexp_extract_all(case when doc_id % 3 = 0 then doc_id || ' FR 12; ' || doc_id || ' FR 12, 7 FR 9' else 'none' end, '(\\d+\\s+FR\\s+\\d+)'))) as n, regexp_replace('Authority: x ' || doc_id, '^\\s*(?:authority|source|citation)\\s*:\\s*', '', 'i') as authority from documents")
+def f13_f14_register_citations(t):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(" FR 12; "), F.col("doc_id").cast("string"), F.lit(" FR 12, 7 FR 9"))).otherwise("none")
+    found = T.register_citations(text)
+    return t("documents").select("doc_id", found.isNotNull().alias("any_list"), F.size(found).cast("bigint").alias("n"), T.strip_label(F.concat(F.lit("Authority: x "), F.col("doc_id").cast("string"))).alias("authority"))
+
+
+@query("select page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as escaped from pages")
+def f15_f22_escape_html(t):
+    return t("pages").select("page_id", T.escape_html(F.substring("html", 1, 300)).alias("escaped"))
+
+
+@query("select doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) as lines from documents")
+def f16_diff_lines(t):
+    return t("documents").select("doc_id", F.size(T.diff_lines(F.col("text"))).cast("bigint").alias("lines"))
+
+
+@query("select x.n as n, x.v as value from (values ('I', 1), ('IV', 4), ('XIX', 19), ('XL', 40), ('MCMXC', 1990), ('IIII', null), ('A', null)) x(n, v)")
+def f19_roman_values(t):
+    return t("region").limit(1).select(F.explode(F.array(*map(F.lit, ("I", "IV", "XIX", "XL", "MCMXC", "IIII", "A")))).alias("n")).select("n", T.roman_value(F.col("n")).alias("value"))
+
+
+@query("select p_partkey, len(regexp_extract_all(p_brand || p_size || 'x', '\\d+|\\D+')) as chunks from part")
+def f20_chunks(t):
+    return t("part").select("p_partkey", F.size(T.chunks(F.concat("p_brand", F.col("p_size").cast("string"), F.lit("x")))).cast("bigint").alias("chunks"))
+
+
+@query("select o_orderkey, case when o_orderkey % 9 = 0 then '—' else format('{:,}', o_orderkey * 1237) end as shown, case when o_orderkey % 9 = 0 then '—' when o_orderkey * 1237 >= 1000000 then printf('%.1f', round(o_orderkey * 1237 / 1e6, 1)) || 'M' when o_orderkey * 1237 >= 1000 then printf('%.1f', round(o_orderkey * 1237 / 1e3, 1)) || 'K' else (o_orderkey * 1237)::varchar end as compact from orders where o_orderkey % 50 < 20")
+def f24_formats(t):
+    n = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey") * 1237)
+    return t("orders").filter("o_orderkey % 50 < 20").select("o_orderkey", T.format_int(n).alias("shown"), T.format_compact(n).alias("compact"))
+
+
+@query("select doc_id, regexp_replace(substr(text, 1, 500), '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})', '\\1***@\\2', 'g') as masked from documents where contains(substr(text, 1, 500), '@')")
+def f26_redact_email(t):
+    x = F.substring("text", 1, 500)
+    return t("documents").filter(F.contains(x, F.lit("@"))).select("doc_id", T.redact_email(x).alias("masked"))
+
+
+@query("select o_orderkey, case when o_totalprice <> 0 then round(o_custkey / o_totalprice, 9) end as share from orders")
+def d01_share(t):
+    return t("orders").select("o_orderkey", F.round(M.share_of(F.col("o_custkey"), F.col("o_totalprice")), 9).alias("share"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m') as month, (date_trunc('month', o_orderdate) - interval 35 month)::date as window_start, epoch(o_orderdate::date + interval 1 day)::bigint as midnight, strftime(o_orderdate, '%B %-d, %Y') as shown, strftime(o_orderdate, '%b %Y') as month_shown from orders")
+def d02_d05_dates(t):
+    d = F.col("o_orderdate")
+    return t("orders").select("o_orderkey", S.month(d).alias("month"), S.window_start(d).alias("window_start"), S.next_midnight(d).alias("midnight"), S.format_date(d).alias("shown"), S.format_month(d).alias("month_shown"))
+
+
+@query("select event_id, substr(sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}'), 1, 32) as print, sha256('salt' || chr(0) || 'ip' || user_id || chr(0) || strftime(ts, '%Y-%m-%d')) as anon, json_extract(props, '$.k')::bigint as k from events")
+def d07_d09_hashes_and_json(t):
+    e = t("events")
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return e.select("event_id", S.fingerprint(F.col("event_type"), F.col("user_id")).alias("print"), S.anonymous_key("salt", F.concat(F.lit("ip"), F.col("user_id").cast("string")), F.col("ts")).alias("anon"), k.alias("k"))
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 0 else 2 end as slugs from supplier")
+def d09_parse_slugs(t):
+    j = F.when(F.col("s_suppkey") % 3 == 0, "not json").otherwise('["a","b"]')
+    return t("supplier").select("s_suppkey", F.size(S.parse_slugs(j)).alias("slugs"))
+
+
+@query(f"with {LEAF_SQL} select lang as root, sum(1)::bigint as leaves, count(distinct source) as children from leaf group by lang")
+def d10_forest(t):
+    n = leaves(t)
+    low = n.select("citation", F.col("part").alias("parent_citation"), F.lit(2).alias("depth"), F.col("doc_id").cast("int").alias("doc_pos"))
+    mid = n.select(F.col("part").alias("citation"), F.col("title").alias("parent_citation"), F.lit(1).alias("depth")).distinct().withColumn("doc_pos", F.lit(0))
+    top = n.select(F.col("title").alias("citation"), F.lit(None).cast("string").alias("parent_citation"), F.lit(0).alias("depth")).distinct().withColumn("doc_pos", F.lit(0))
+    f = tree.forest(low.unionByName(mid).unionByName(top), 2)
+    total = F.aggregate("children", F.lit(0).cast("bigint"), lambda a, c: a + F.size(c["children"]))
+    return f.select(F.substring("citation", 7, 10).alias("root"), total.alias("leaves"), F.size("children").cast("bigint").alias("children"))
+
+
+@query(f"with {LEAF_SQL} select source, case when count(*) filter (words is null) = 0 then sum(words)::bigint end as words, case when count(*) filter (words is null) > 0 then count(*) filter (words is null) || ' of ' || count(*) || ' parts unknown' end as reason from leaf group by source")
+def d12_rollup_reasons(t):
+    g = leaves(t).groupBy("source").agg(F.sum("words").alias("w"), F.count("*").alias("n"), M.missing(F.col("words")).alias("bad"))
+    m = M.rolled_up(F.col("w"), F.col("n"), F.col("bad"))
+    return g.select("source", m["words"].alias("words"), m["reason"].alias("reason"))
+
+
+@query("select doc_id, case when strlen(text) > 8000 then 'unavailable_too_large' else 'counted' end as status, case when strlen(text) > 8000 then strlen(text) || ' bytes exceed 8000' end as reason from documents")
+def d16_size_ceiling(t):
+    size = F.octet_length("text").cast("bigint")
+    m = M.reject_by_size(size, M.counted(F.lit(1)), 8000)
+    return t("documents").select("doc_id", m["status"].alias("status"), m["reason"].alias("reason"))
+
+
+@query("select o_orderkey, least(30.0, 0.5 * pow(2, o_orderkey % 9)) as ceiling, case o_orderkey % 3 when 0 then (o_orderkey % 100)::double when 1 then 60.0 end as wait from orders")
+def d17_backoff(t):
+    k = F.col("o_orderkey") % 9
+    header = F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 100).cast("string")).when(F.col("o_orderkey") % 3 == 1, "Wed, 01 May 2024 00:01:00 GMT").otherwise("soon")
+    return t("orders").select("o_orderkey", F.least(F.lit(30.0), F.lit(0.5) * F.pow(F.lit(2.0), k)).alias("ceiling"), S.retry_after(header, F.lit("2024-05-01 00:00:00").cast("timestamp")).alias("wait"))
+
+
+@query("select o_orderkey, 'diff/7/' || o_orderkey || '_x/a..b' as key, case when o_orderkey % 2 = 0 and o_orderdate::date >= date '1996-01-01' then '/diff/7/' || o_orderkey || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || strftime(o_orderdate + interval 1 day, '%Y-%m-%d') end as link from orders")
+def d19_d20_diff_links(t):
+    d = F.to_date("o_orderdate")
+    new = F.when(F.col("o_orderkey") % 2 == 0, F.date_add(d, 1)).otherwise(d)
+    key = F.col("o_orderkey").cast("string")
+    return t("orders").select("o_orderkey", C.diff_key(F.lit(7), F.concat(key, F.lit("/x")), F.lit("a"), F.lit("b")).alias("key"), S.diff_link(F.lit(7), key, d, new, "1996-01-01").alias("link"))
+
+
+# trees, XML, diffs
+
+
+@query("with recursive c(a, d) as (select k, k from (select 'r' || r_regionkey as k from region union all select 'n' || n_nationkey from nation union all select 's' || s_suppkey from supplier) union all select c.a, e.child from c join (select 'n' || n_nationkey as child, 'r' || n_regionkey as parent from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier) e on e.parent = c.d) select a as ancestor, d as descendant from c")
+def x04_closure(t):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = t("nation").select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("parent"))
+    e = e.union(t("supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey")))
+    return tree.closure(e.union(t("region").select(key("r", "r_regionkey"), F.lit(None).cast("string"))))
+
+
+@query()
+def x05_w09_flatten(t):
+    """Nested JSON trees of languages and sources, flattened in pre-order."""
+    d = t("documents").groupBy("lang", "source").agg(F.sum("n_chars").alias("size"))
+    kids = F.array_sort(F.collect_list(F.struct(F.lit("part").alias("type"), F.col("source").alias("identifier"), "size")))
+    j = d.groupBy("lang").agg(kids.alias("children")).select(F.to_json(F.struct(F.lit("title").alias("type"), F.col("lang").alias("identifier"), "children")).alias("json"))
+    return tree.flatten_structure(j)
+
+
+XML = F.concat(
+    F.lit('<DIV5 N="'), F.col("source"), F.lit('" TYPE="PART"><HEAD>Part</HEAD><AUTH>Authority: none</AUTH><P>own words here</P><DIV8 N="'), F.col("doc_id").cast("string"), F.lit('" TYPE="SECTION"><HEAD>S</HEAD><P>'),
+    T.escape_html(F.col("text")), F.lit("</P><TABLE><TR><TD>left out</TD></TR></TABLE></DIV8></DIV5>"),
+)
+
+
+@query(f"select doc_id, {words_sql('text')} as section_words, {words_sql('text')} + 3 as part_words, 3::bigint as own_words, 6::bigint as excluded from documents where doc_id % 5 = 0")
+def x01_x02_x12_measure_xml(t):
+    """XML made of the documents, parsed to rows, counted by the rule: part = own + sections."""
+    from .functions.xmltext import xml_nodes
+
+    n = xml_nodes(t("documents").filter("doc_id % 5 = 0").select("doc_id", XML.alias("content")))
+    n = n.select("doc_id", "node_type", *[T.count_words(F.col(c)).alias(c) for c in ("text", "own_text", "excluded_text")])
+    pick = lambda kind, c: F.max(F.when(F.col("node_type") == kind, F.col(c)))
+    return n.groupBy("doc_id").agg(pick("section", "text").alias("section_words"), pick("part", "text").alias("part_words"), pick("part", "own_text").alias("own_words"), pick("part", "excluded_text").alias("excluded"))
+
+
+@query(f"with s as (select source, min(doc_id) as d from documents where doc_id % 5 = 0 group by source) select s.d as doc_id, documents.source, {words_sql('text')} as words from s join documents on doc_id = s.d")
+def j21_x11_process_titles(t):
+    """Structure joined with parsed XML on part, type and identifier."""
+    from .functions.xmltext import xml_nodes
+
+    d = t("documents").filter("doc_id % 5 = 0")
+    want = d.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("source", F.col("doc_id").cast("string").alias("want"), F.lit("section").alias("kind"))
+    n = xml_nodes(d.select("source", XML.alias("content"))).filter("node_type = 'section'").select("source", "identifier", "node_type", T.count_words(F.col("text")).alias("words"))
+    j = want.join(n, (want["source"] == n["source"]) & (F.col("want") == F.col("identifier")) & (F.col("kind") == F.col("node_type")))
+    return j.select(F.col("want").cast("bigint").alias("doc_id"), want["source"], "words")
+
+
+@query()
+def x06_to_html(t):
+    from .functions.xmltext import to_html
+
+    render = F.udf(lambda x: to_html(x), "struct<html:string,heading:string,authority:string,source:string>")
+    return t("documents").filter("doc_id % 20 = 0").select("doc_id", render(XML).alias("r")).select("doc_id", "r.*")
+
+
+@query()
+def x07_html_text(t):
+    from .functions.xmltext import html_text
+
+    return t("pages").select("page_id", T.count_words(html_text("html")).alias("words"))
+
+
+@query("select doc_id, true as found, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) > 0 as has_text from documents where doc_id % 20 = 0 and length(text) > 0")
+def x08_section_lines(t):
+    from .functions.xmltext import section_lines
+
+    lines = F.udf(lambda x, s: section_lines(x, s), "struct<lines:array<string>,found:boolean,has_text:boolean>")
+    d = t("documents").filter("doc_id % 20 = 0 and length(text) > 0")
+    return d.select("doc_id", lines(XML, F.col("doc_id").cast("string")).alias("r")).select("doc_id", "r.found", "r.has_text")
+
+
+def x09_line_diff_of(t):
+    d = t("documents").select("doc_id", "source", T.diff_lines(F.col("text")).alias("lines"))
+    w = Window.partitionBy("source").orderBy("doc_id")
+    p = d.withColumn("old_lines", F.lag("lines").over(w)).select(F.col("doc_id").alias("pair"), "old_lines", F.when(F.col("doc_id") % 9 != 0, F.col("lines")).alias("new_lines"), (F.col("doc_id") % 13 == 0).alias("old_failed"), F.lit(False).alias("new_failed"))
+    return diffs.compare(p)
+
+
+@query()
+def x09_x10_line_diff(t):
+    c = lambda op: F.size(F.filter("edits", lambda e: e["op"] == op))
+    return x09_line_diff_of(t).select("pair", "status", c("delete").alias("deleted"), c("insert").alias("inserted"), c("equal").alias("equal"))
+
+
+@query("with l as (select doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') as lines from documents), p as (select doc_id as pair, lag(lines) over (partition by source order by doc_id) as o, case when doc_id % 9 <> 0 then lines end as n, doc_id % 13 = 0 as bad from l) select pair, case when bad or (o is null and n is null) then 'unavailable' when o is null then 'added' when n is null then 'removed' when len(o) > 5000 or len(n) > 5000 then 'too_large' when o = n then 'unchanged' else 'modified' end as status from p")
+def x10_diff_status(t):
+    return x09_line_diff_of(t).select("pair", "status")
+
+
+# incremental
+
+
+@query("select event_type, max(cast(ts as date)) as latest_issue_date from events group by event_type")
+def i03_high_water(t):
+    e = t("events").select(F.col("event_type").alias("title"), F.to_date("ts").alias("issue_date"))
+    return delta.high_water(e).withColumnRenamed("title", "event_type")
+
+
+@query("select s_suppkey as unit, s_suppkey % 2 = 0 and s_suppkey % 3 <> 0 and s_suppkey % 7 <> 0 and s_suppkey % 5 <> 0 as complete from supplier")
+def i04_resumable(t):
+    s = t("supplier")
+    wanted = s.select(F.col("s_suppkey").alias("unit"), F.lit("d").alias("date"), F.lit("p").alias("fingerprint"))
+    k = F.col("s_suppkey")
+    manifest = s.filter(k % 5 != 0).select(k.alias("unit"), F.when(k % 2 == 0, "d").otherwise("e").alias("date"), F.when(k % 3 != 0, "p").otherwise("q").alias("fingerprint"), F.when(k % 7 == 0, 1).otherwise(0).alias("failures"))
+    return delta.resumable(manifest, wanted)
+
+
+@query("select user_id, date_trunc('day', ts)::varchar as day, count(*) as used, count(*) > 2 as over_limit from events group by user_id, date_trunc('day', ts)")
+def i05_quota_per_day(t):
+    e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return series.quota(e, "user_id", "ts", 2).select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "used", "over_limit")
+
+
+@query("select event_type, date_trunc('minute', ts)::varchar as minute, count(*) as used, count(*) > 1 as over_limit from events group by event_type, date_trunc('minute', ts)")
+def i06_burst_per_minute(t):
+    e = t("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return series.quota(e, "event_type", "ts", 1, "1 minute").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("minute"), "used", "over_limit")
+
+
+@query("select event_id from events where cast(ts as date) >= date '2024-01-30' - 10")
+def i07_retention(t):
+    return incremental.retention(t("events").select("event_id", F.to_date("ts").alias("day")), "day", "2024-01-30", 10).select("event_id")
+
+
+@query()
+def i08_rate_limit(t):
+    e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return incremental.rate_limited_batch(e, "user_id", "ts", 1 / 86400, 2).groupBy("user_id").agg(F.count_if("granted").alias("granted"), F.count("*").alias("asked"))
+
+
+@query("select s_suppkey as key, case when s_suppkey % 3 = 0 then 'miss' when s_suppkey % 2 = 0 then 'hit' when s_suppkey % 5 = 0 then 'expired' else 'negative hit' end as outcome from supplier")
+def i09_memo(t):
+    s, k = t("supplier"), F.col("s_suppkey")
+    stored = F.when(k % 5 == 0, F.lit("2024-01-01 00:00:00")).otherwise(F.lit("2024-01-01 11:50:00")).cast("timestamp")
+    results = s.filter(k % 3 != 0).select(k.alias("key"), (k % 2 == 0).alias("positive"), stored.alias("stored_at"), F.col("s_name").alias("value"))
+    return incremental.memo(results, s.select(k.alias("key")), "2024-01-01 12:00:00").select("key", "outcome")
