@@ -907,10 +907,12 @@ def x05_w09_flatten(t):
     return tree.flatten_structure(j)
 
 
-XML = F.concat(
-    F.lit('<DIV5 N="'), F.col("source"), F.lit('" TYPE="PART"><HEAD>Part</HEAD><AUTH>Authority: none</AUTH><P>own words here</P><DIV8 N="'), F.col("doc_id").cast("string"), F.lit('" TYPE="SECTION"><HEAD>S</HEAD><P>'),
-    T.escape_html(F.col("text")), F.lit("</P><TABLE><TR><TD>left out</TD></TR></TABLE></DIV8></DIV5>"),
-)
+def document_xml():
+    """A part with one section of a document's text, and what isn't counted."""
+    return F.concat(
+        F.lit('<DIV5 N="'), F.col("source"), F.lit('" TYPE="PART"><HEAD>Part</HEAD><AUTH>Authority: none</AUTH><P>own words here</P><DIV8 N="'), F.col("doc_id").cast("string"), F.lit('" TYPE="SECTION"><HEAD>S</HEAD><P>'),
+        T.escape_html(F.col("text")), F.lit("</P><TABLE><TR><TD>left out</TD></TR></TABLE></DIV8></DIV5>"),
+    )
 
 
 @query(f"select doc_id, {words_sql('text')} as section_words, {words_sql('text')} + 3 as part_words, 3::bigint as own_words, 6::bigint as excluded from documents where doc_id % 5 = 0")
@@ -918,7 +920,7 @@ def x01_x02_x12_measure_xml(t):
     """XML made of the documents, parsed to rows, counted by the rule: part = own + sections."""
     from .functions.xmltext import xml_nodes
 
-    n = xml_nodes(t("documents").filter("doc_id % 5 = 0").select("doc_id", XML.alias("content")))
+    n = xml_nodes(t("documents").filter("doc_id % 5 = 0").select("doc_id", document_xml().alias("content")))
     n = n.select("doc_id", "node_type", *[T.count_words(F.col(c)).alias(c) for c in ("text", "own_text", "excluded_text")])
     pick = lambda kind, c: F.max(F.when(F.col("node_type") == kind, F.col(c)))
     return n.groupBy("doc_id").agg(pick("section", "text").alias("section_words"), pick("part", "text").alias("part_words"), pick("part", "own_text").alias("own_words"), pick("part", "excluded_text").alias("excluded"))
@@ -931,7 +933,7 @@ def j21_x11_process_titles(t):
 
     d = t("documents").filter("doc_id % 5 = 0")
     want = d.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("source", F.col("doc_id").cast("string").alias("want"), F.lit("section").alias("kind"))
-    n = xml_nodes(d.select("source", XML.alias("content"))).filter("node_type = 'section'").select("source", "identifier", "node_type", T.count_words(F.col("text")).alias("words"))
+    n = xml_nodes(d.select("source", document_xml().alias("content"))).filter("node_type = 'section'").select("source", "identifier", "node_type", T.count_words(F.col("text")).alias("words"))
     j = want.join(n, (want["source"] == n["source"]) & (F.col("want") == F.col("identifier")) & (F.col("kind") == F.col("node_type")))
     return j.select(F.col("want").cast("bigint").alias("doc_id"), want["source"], "words")
 
@@ -941,7 +943,7 @@ def x06_to_html(t):
     from .functions.xmltext import to_html
 
     render = F.udf(lambda x: to_html(x), "struct<html:string,heading:string,authority:string,source:string>")
-    return t("documents").filter("doc_id % 20 = 0").select("doc_id", render(XML).alias("r")).select("doc_id", "r.*")
+    return t("documents").filter("doc_id % 20 = 0").select("doc_id", render(document_xml()).alias("r")).select("doc_id", "r.*")
 
 
 @query()
@@ -957,7 +959,7 @@ def x08_section_lines(t):
 
     lines = F.udf(lambda x, s: section_lines(x, s), "struct<lines:array<string>,found:boolean,has_text:boolean>")
     d = t("documents").filter("doc_id % 20 = 0 and length(text) > 0")
-    return d.select("doc_id", lines(XML, F.col("doc_id").cast("string")).alias("r")).select("doc_id", "r.found", "r.has_text")
+    return d.select("doc_id", lines(document_xml(), F.col("doc_id").cast("string")).alias("r")).select("doc_id", "r.found", "r.has_text")
 
 
 def x09_line_diff_of(t):

@@ -83,17 +83,17 @@ class Warehouse:
         for t in tables:
             if not self._fs.exists(self._path(f"{self.root}/versions/{run}/{t}/_SUCCESS")):
                 raise ValueError(f"{t} isn't committed")
-        tmp, to = self._path(f"{self.root}/_pointer.{run}"), self._path(f"{self.root}/_pointer")
+        tmp, to = self._path(f"{self.root}/pointer-{run}"), self._path(f"{self.root}/pointer")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps({"run": run, "tables": tables}).encode()))
         out.close()
         if self._fs.exists(to):
-            self._fs.rename(to, self._path(f"{self.root}/_pointer.old"))
+            self._fs.rename(to, self._path(f"{self.root}/pointer-old"))
         self._fs.rename(tmp, to)
-        self._fs.delete(self._path(f"{self.root}/_pointer.old"), False)
+        self._fs.delete(self._path(f"{self.root}/pointer-old"), False)
 
     def pointer(self) -> dict | None:
-        for name in ("_pointer", "_pointer.old"):
+        for name in ("pointer", "pointer-old"):
             if self._fs.exists(self._path(f"{self.root}/{name}")):
                 return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0])
         return None
