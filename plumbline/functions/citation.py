@@ -107,3 +107,19 @@ def is_issue_date(x: Column, first: str = "2017-01-01") -> Column:
 
 def diff_key(title: Column, section: Column, old: Column, new: Column) -> Column:
     return F.concat_ws("/", F.lit("diff"), title.cast("string"), F.translate(section, "/ ", "__"), F.concat(old, F.lit(".."), new))
+
+
+LEAVES = ("section", "appendix")
+
+
+def is_leaf(node_type: Column) -> Column:
+    return node_type.isin(*LEAVES)
+
+
+def is_container(node_type: Column, part_id: Column) -> Column:
+    """A node whose own text is measured: a part, or anything but a leaf inside one."""
+    return ~is_leaf(node_type) & ((node_type == "part") | part_id.isNotNull())
+
+
+def pretty(key: Column) -> Column:
+    return F.replace(F.replace(key, F.lit("/"), F.lit(" › ")), F.lit("-"), F.lit(" "))

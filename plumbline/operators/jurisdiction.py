@@ -157,3 +157,17 @@ def diagnostics(claims: DataFrame, found: DataFrame, regions: DataFrame) -> Data
     r = regions.select("citation").distinct()
     nested = with_ancestors(r).filter("ancestor <> citation").join(r.withColumnRenamed("citation", "o"), F.col("ancestor") == F.col("o")).agg(F.count("*").alias("nested_pairs"))
     return d.crossJoin(nested)
+
+
+def scope_shares(shared: DataFrame) -> DataFrame:
+    """(ref_key, slug, share, reason) of shared scopes (ref_key, words, agency_count, agency_slugs as JSON).
+
+    No share is made up: where the words are unknown, or the list isn't as long
+    as the count, there is a reason instead.
+    """
+    from ..functions.scalar import parse_slugs
+
+    s = shared.withColumn("_slugs", parse_slugs(F.col("agency_slugs")))
+    reason = F.when(F.col("words").isNull(), "scope not measured").when(F.size("_slugs") != F.col("agency_count"), "claimants don't match their count")
+    s = s.withColumn("reason", reason).select("ref_key", "words", "agency_count", "reason", F.posexplode("_slugs").alias("_i", "slug"))
+    return s.select("ref_key", "slug", F.when(F.col("reason").isNull(), M.even_share(F.col("words"), F.col("agency_count"), F.col("_i") + 1)).cast("bigint").alias("share"), "reason")

@@ -624,7 +624,7 @@ def g31_tag_census(t):
 @query("select n_name, r_name, row_number() over (partition by n_regionkey order by n_name) as place from nation join region on n_regionkey = r_regionkey")
 def w01_canonical_order(t):
     w = Window.partitionBy("n_regionkey").orderBy(F.expr("collate(n_name, 'UNICODE')"), "n_nationkey")
-    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.row_number().over(w).alias("place"))
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 @query("select event_type, current, previous from (select event_type, day as current, lag(day) over (partition by event_type order by day) as previous, row_number() over (partition by event_type order by day desc) as r from (select distinct event_type, cast(ts as date) as day from events where cast(ts as date) <= date '2024-01-20')) where r = 1")
@@ -667,7 +667,7 @@ def w10_snapshots(t):
 def t01_nulls_last(t):
     s = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("w"))
     one = Window.partitionBy()
-    return s.withColumn("by_words", F.row_number().over(one.orderBy(F.desc_nulls_last("w"), "s_suppkey"))).withColumn("by_words_up", F.row_number().over(one.orderBy(F.asc_nulls_first("w"), "s_suppkey")))
+    return s.withColumn("by_words", F.row_number().over(one.orderBy(F.desc_nulls_last("w"), "s_suppkey")).cast("bigint")).withColumn("by_words_up", F.row_number().over(one.orderBy(F.asc_nulls_first("w"), "s_suppkey")).cast("bigint"))
 
 
 @query("select c_custkey, c_acctbal, (select count(*) from customer) as total from customer order by c_acctbal desc nulls last, c_custkey limit 20 offset 40")
@@ -683,14 +683,14 @@ def t04_limit_plus_one(t):
 @query("select p_partkey, row_number() over (order by lpad((p_partkey % 30)::varchar, 12, '0') || 'x' || lpad(p_size::varchar, 12, '0'), p_partkey) as place from part")
 def t05_natural_order(t):
     p = t("part").select("p_partkey", F.concat((F.col("p_partkey") % 30).cast("string"), F.lit("x"), F.col("p_size").cast("string")).alias("label"))
-    return p.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(T.natural_key(F.col("label")), "p_partkey"))).drop("label")
+    return p.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(T.natural_key(F.col("label")), "p_partkey")).cast("bigint")).drop("label")
 
 
 @query("select p_partkey, row_number() over (order by case when starts_with(lower(p_name), 'bl') then 0 else 1 end, p_name, p_partkey) as place from part where contains(lower(p_name), 'bl')")
 def t06_search_rank(t):
     p = t("part").filter(T.contains_folded(F.col("p_name"), "bl"))
     rank = F.when(F.lower("p_name").startswith("bl"), 0).otherwise(1)
-    return p.select("p_partkey", F.row_number().over(Window.partitionBy().orderBy(rank, "p_name", "p_partkey")).alias("place"))
+    return p.select("p_partkey", F.row_number().over(Window.partitionBy().orderBy(rank, "p_name", "p_partkey")).cast("bigint").alias("place"))
 
 
 @query("select n_name, n from (select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name) where n is not null order by n desc, n_name limit 12")
@@ -702,7 +702,7 @@ def t08_top_twelve(t):
 @query("select s_suppkey, row_number() over (order by coalesce(w, -1) desc, s_suppkey) as place from (select s_suppkey, case when s_suppkey % 4 <> 0 then s_nationkey end as w from supplier)")
 def t09_overlap_order(t):
     s = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("words"), F.col("s_suppkey").alias("ref_key"))
-    return s.select("s_suppkey", F.row_number().over(Window.partitionBy().orderBy(*series.overlap_sort("words"))).alias("place"))
+    return s.select("s_suppkey", F.row_number().over(Window.partitionBy().orderBy(*series.overlap_sort("words"))).cast("bigint").alias("place"))
 
 
 # sets
@@ -1027,3 +1027,21 @@ def i09_memo(t):
     stored = F.when(k % 5 == 0, F.lit("2024-01-01 00:00:00")).otherwise(F.lit("2024-01-01 11:50:00")).cast("timestamp")
     results = s.filter(k % 3 != 0).select(k.alias("key"), (k % 2 == 0).alias("positive"), stored.alias("stored_at"), F.col("s_name").alias("value"))
     return incremental.memo(results, s.select(k.alias("key")), "2024-01-01 12:00:00").select("key", "outcome")
+
+
+@query(f"with {LEAF_SQL}, n as (select citation, 'section' as node_type, source as part_id from leaf union all select distinct part, 'part', source from leaf union all select distinct title, 'title', null from leaf) select node_type, count(*) filter (node_type not in ('section', 'appendix') and (node_type = 'part' or part_id is not null)) as containers, count(*) filter (node_type = 'part') as parts, count(*) filter (node_type in ('section', 'appendix')) as leaves from n group by node_type")
+def p08_node_kinds(t):
+    n = leaves(t)
+    a = n.select("citation", F.lit("section").alias("node_type"), F.col("source").alias("part_id"))
+    b = n.select(F.col("part").alias("citation"), F.lit("part").alias("node_type"), F.col("source").alias("part_id")).distinct()
+    c = n.select(F.col("title").alias("citation"), F.lit("title").alias("node_type"), F.lit(None).cast("string").alias("part_id")).distinct()
+    k = a.unionByName(b).unionByName(c)
+    return k.groupBy("node_type").agg(F.count_if(C.is_container(F.col("node_type"), F.col("part_id"))).alias("containers"), F.count_if(F.col("node_type") == "part").alias("parts"), F.count_if(C.is_leaf(F.col("node_type"))).alias("leaves"))
+
+
+@query(f"with {DIVIDE_SQL}, o as (select ref_key, min(words) as words, count(distinct slug) as k, list_sort(list_distinct(list(slug))) as slugs from eff group by ref_key having count(distinct slug) > 1), x as (select ref_key, words, k, unnest(slugs) as slug, unnest(range(1, len(slugs) + 1)) as r from o) select ref_key, slug, case when words is not null then (words // k + case when r <= words % k then 1 else 0 end)::bigint end as share, case when words is null then 'scope not measured' end as reason from x")
+def d13_scope_shares(t):
+    c = claims_of(t)
+    found = jurisdiction.resolve(c, nodes_of(t))
+    o = division(t).overlaps.join(found.select("ref_key", "words"), "ref_key")
+    return jurisdiction.scope_shares(o)
