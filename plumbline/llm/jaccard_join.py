@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, materialize, mix, whole_groups
+from .kernels import U64, Words, chunks, discard, lean, materialize, mix, small_side, whole_groups
 
 N = 3
 THRESHOLD = 0.5
@@ -101,23 +101,40 @@ def _signer(n: int, trees: int, depth: int):
 def signatures(docs: DataFrame, n: int = N, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """(doc_id, text_hash, cls, size, sig) of each row that has an id and words."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_pl_doc"), F.xxhash64("text").alias("_pl_text"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(_signer(n, trees, depth), "doc_id long, text_hash long, cls long, size int, sig binary")
+    return keyed.mapInArrow(lean(_signer(n, trees, depth)), "doc_id long, text_hash long, cls long, size int, sig binary")
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
 
 
+def _nodes(sig: np.ndarray, d: int) -> np.ndarray:
+    """(rows, trees): the trie node of each tree at prefix length ``d``."""
+    node = np.zeros(sig.shape[:2], dtype=U64) + (np.arange(sig.shape[1], dtype=U64) + U64(1))
+    for k in range(d):
+        node = mix(node * U64(0x100000001B3) + sig[:, :, k])
+    return node
+
+
 def _prefixes(trees: int, depth: int, d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = _matrix(batch.column("sig"), trees * depth).reshape(-1, trees, depth)
-            node = np.zeros(sig.shape[:2], dtype=U64) + (np.arange(trees, dtype=U64) + U64(1))
-            for k in range(d):
-                node = mix(node * U64(0x100000001B3) + sig[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel().astype(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), trees))], names=["node", "cls"])
+            if batch.num_rows:
+                node = _nodes(_matrix(batch.column("sig"), trees * depth).reshape(-1, trees, depth), d)
+                yield pa.RecordBatch.from_arrays([pa.array(node.ravel().astype(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), trees))], names=["node", "cls"])
+
+    return run
+
+
+def _levels(trees: int, depth: int, d: int):
+    """``sig`` cut to what a level compares: 32 bits of each tree's node here and one below (or at the root, where there is none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _matrix(batch.column("sig"), trees * depth).reshape(-1, trees, depth)
+                both = np.concatenate([_nodes(sig, x) >> U64(32) for x in (d, min(d + 1, depth))], axis=1).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("size"), pa.array([x.tobytes() for x in both], pa.binary())], names=["cls", "size", "sig"])
 
     return run
 
@@ -131,12 +148,9 @@ def _candidates(trees: int, depth: int, d: int, least: float):
             cls, size = t.column("cls").to_numpy(), t.column("size").to_numpy().astype(float)
             block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
             low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-            sig = _matrix(t.column("sig"), trees * depth).reshape(-1, trees, depth)
-            nodes = np.zeros(sig.shape[:2], dtype=U64) + (np.arange(trees, dtype=U64) + U64(1))
-            for k in range(d):
-                nodes = mix(nodes * U64(0x100000001B3) + sig[:, :, k])
-            mine = np.argmax(nodes == node.astype(U64)[:, None], axis=1)
-            deeper = mix(nodes * U64(0x100000001B3) + sig[:, :, d]) if d < depth else None
+            both = _matrix(t.column("sig"), 2 * trees)
+            nodes, deeper = both[:, :trees], both[:, trees:] if d < depth else None
+            mine = np.argmax(nodes == (node.astype(U64) >> U64(32)).astype(np.uint32)[:, None], axis=1)
             s = 1
             alive = np.arange(len(cell))
             while True:
@@ -203,9 +217,11 @@ class Forest:
     """The join's parts: ``members`` (row to class) and ``pairs`` of classes with their exact Jaccard."""
 
     def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK):
-        self.members = materialize(signatures(docs, n, trees, depth))
+        signed = materialize(signatures(docs, n, trees, depth))
         one = Window.partitionBy("cls").orderBy("doc_id", "text_hash")
-        self.classes = materialize(self.members.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r"))
+        self.members = materialize(signed.select("doc_id", "text_hash", "cls"))
+        self.classes = materialize(signed.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r"))
+        discard(signed)
         spark: SparkSession = docs.sparkSession
         self.levels: list[tuple[int, int, float]] = []
         pairs: DataFrame | None = None
@@ -224,7 +240,7 @@ class Forest:
         self.spark = spark
 
     def _level(self, docs, n, threshold, trees, depth, d, block, sets, have):
-        narrow = self.classes.select("cls", "sig").mapInArrow(_prefixes(trees, depth, d), "node long, cls long")
+        narrow = self.classes.select("cls", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, cls long")
         crowd = narrow.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
         # a node of many members is cut into blocks; each pair of blocks is a cell
         nb = F.ceil(F.col("m") / block).cast("int")
@@ -232,9 +248,9 @@ class Forest:
         other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
         at = at.select("node", "cls", "block", other.alias("o")).select("node", "cls", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
         at = at.withColumn("cell", F.xxhash64("node", "low", "high"))
-        wide = at.join(self.classes.select("cls", "size", "sig"), "cls").select("cell", "node", "cls", "block", "low", "high", "size", "sig")
+        wide = at.join(self.classes.select("cls", "size", "sig").mapInArrow(lean(_levels(trees, depth, d)), "cls long, size int, sig binary"), "cls").select("cell", "node", "cls", "block", "low", "high", "size", "sig")
         wide = wide.repartition("cell").sortWithinPartitions("cell", "cls")
-        new = materialize(wide.mapInArrow(_candidates(trees, depth, d, threshold), "cell long, a long, b long"))
+        new = materialize(wide.mapInArrow(lean(_candidates(trees, depth, d, threshold)), "cell long, a long, b long"))
         if not new.head(1):
             return new.select("a", "b", F.lit(1.0).alias("jaccard")).limit(0), sets, have
         # exact sets are made once, for all classes that share a prefix of 3 (or the present length, where that is less)
@@ -244,15 +260,15 @@ class Forest:
         who = new.select("cell", F.col("a").alias("cls")).union(new.select("cell", F.col("b"))).distinct()
         left = who.join(sets, "cls").select("cell", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
         both = left.unionByName(new.withColumn("shingles", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
-        return materialize(both.mapInArrow(_verifier(threshold), "a long, b long, jaccard double")), sets, have
+        return materialize(both.mapInArrow(lean(_verifier(threshold)), "a long, b long, jaccard double")), sets, have
 
     def _sets(self, docs, n, trees, depth, d):
-        narrow = self.classes.select("cls", "sig").mapInArrow(_prefixes(trees, depth, d), "node long, cls long")
+        narrow = self.classes.select("cls", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, cls long")
         crowd = narrow.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select("node")
-        need = self.classes.select("cls", "doc_id", "text_hash").join(narrow.join(crowd, "node").select("cls").distinct(), "cls")
+        need = small_side(materialize(self.classes.select("cls", "doc_id", "text_hash").join(narrow.join(crowd, "node").select("cls").distinct(), "cls")))
         keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
         rows = keyed.join(need, ["doc_id", "text_hash"]).select("cls", "text")
-        return materialize(rows.mapInArrow(_setter(n), "cls long, shingles binary").dropDuplicates(["cls"]))
+        return materialize(rows.mapInArrow(lean(_setter(n)), "cls long, shingles binary").dropDuplicates(["cls"]))
 
 
 def join(docs: DataFrame, list_rows: int = 10_000, **parameters) -> DataFrame:
@@ -305,7 +321,7 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     drop = rows.withColumn("_r", F.row_number().over(first)).join(repeated, ["doc_id", "text_hash"]).filter("_r > 1 or times > 1")
     drop = materialize(drop.select(F.col("doc_id").alias("_pl_doc"), F.col("text_hash").alias("_pl_text"), (F.col("_r") > 1).alias("_pl_gone")))
     mine = docs.withColumn("_pl_h", F.xxhash64("text")).withColumn("_pl_d", F.col("doc_id").cast("long"))
-    gone = drop.filter("_pl_gone")
+    gone = small_side(drop.filter("_pl_gone"))
     on = (mine["_pl_d"] == gone["_pl_doc"]) & (mine["_pl_h"] == gone["_pl_text"])
     kept = mine.join(gone, on, "left_anti")
     if drop.filter("not _pl_gone").head(1):

@@ -14,8 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+#: Rows of a batch that goes to Python, where a table is written.
+ARROW_ROWS = 2000
 U64 = np.uint64
 _SPACE = np.ones(256, dtype=bool)
 _SPACE[: 0x21] = False
@@ -43,6 +46,23 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def lean(run):
+    """A mapInArrow function that gives memory back when its task ends: Python workers live on, and would keep it."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
+
+
 class Words:
     """Words of a string array: ``start``/``end`` bytes, ``doc`` index, ``hash``, and ``first`` word of each document."""
 
@@ -114,10 +134,33 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     spark = df.sparkSession
     path = shared_dir(spark)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:  # long texts: fewer of them at once on either side of the pipe to Python
+        spark.conf.set(rows, min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A written table of at most so many (narrow) rows is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written narrow table as a join's side: broadcast where its counted rows are few, else left to a shuffled join."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
     """Of a stream sorted by ``key``: tables of about ``rows`` rows or more, none of which splits a group."""
     held: list[pa.RecordBatch] = []

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, mix
+from .kernels import U64, Words, chunks, lean, mix
 
 TEMPLATES: dict[str, list[str]] = {
     "Apache": [
@@ -255,7 +255,7 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES, least: float = LEAST, conf
                 )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean")
+    return keyed.mapInArrow(lean(run), "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, chunks, materialize, mix
+from .kernels import U64, chunks, lean, materialize, mix, small_side
 
 ORDER = 5
 PAD = "\x02" * (ORDER - 1)
@@ -80,10 +80,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(code):
                 held.append(np.unique(code, return_counts=True))
                 rows += len(held[-1][0])
-                if rows > 1_500_000:
+                if rows > 800_000:
                     held = [merged()]
                     rows = len(held[0][0])
-                    if rows > 1_000_000:  # many kinds: let Spark merge them
+                    if rows > 600_000:  # many kinds: let Spark merge them
                         yield _pairs(*held.pop())
                         rows = 0
     if held:
@@ -96,7 +96,7 @@ def _pairs(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(gram, n): counts over all documents, combined in each task and then by Spark."""
-    counts = docs.select(F.col("text"), F.col("lang").cast("string")).mapInArrow(_count, "gram long, n long")
+    counts = docs.select(F.col("text"), F.col("lang").cast("string")).mapInArrow(lean(_count), "gram long, n long")
     return counts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -260,10 +260,10 @@ def raw_scores(docs: DataFrame, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Dat
         t = counts.toArrow()
         model = Model(t.column("gram").to_numpy().astype(U64), t.column("n").to_numpy())
         shared = spark.sparkContext.broadcast(model)
-        return materialize(keyed.mapInArrow(_scorer(shared), _SCORES))
+        return materialize(keyed.mapInArrow(lean(_scorer(shared)), _SCORES))
     model = counts.groupBy(F.shiftright("gram", 8 * ORDER).alias("l")).applyInPandas(_model_table, "gram long, gram_bits double")
     rows = keyed.withColumn("_pl_row", F.xxhash64("_pl_doc", "_pl_text", "lang"))
-    bits = rows.select("_pl_row", "text", "lang").dropDuplicates(["_pl_row"]).mapInArrow(_explode, "_pl_row long, gram long, k long").join(model, "gram")
+    bits = rows.select("_pl_row", "text", "lang").dropDuplicates(["_pl_row"]).mapInArrow(lean(_explode), "_pl_row long, gram long, k long").join(model, "gram")
     bits = bits.groupBy("_pl_row").agg(F.sum("k").alias("n_bytes"), F.sum(F.col("k") * F.col("gram_bits")).alias("bits"))
     out = rows.drop("text").join(bits, "_pl_row", "left")
     return materialize(out.select("_pl_doc", "_pl_text", "lang", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("bits", F.lit(0.0)).alias("bits")))
@@ -297,6 +297,7 @@ def score(docs: DataFrame, width: float = 10.0, prior_bytes: int = 300, step: fl
 def filter_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     bad = score(docs, **parameters).filter("verdict <> 'keep'").select(F.col("doc_id").alias("_pl_doc"), "_pl_text", F.col("lang").alias("_pl_lang")).distinct()
+    bad = small_side(materialize(bad))
     mine = docs.withColumn("_pl_h", F.xxhash64("text"))
     return mine.join(bad, mine["doc_id"].cast("long").eqNullSafe(bad["_pl_doc"]) & (mine["_pl_h"] == bad["_pl_text"]) & mine["lang"].cast("string").eqNullSafe(bad["_pl_lang"]), "left_anti").select(*[docs[c] for c in docs.columns])
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import lean
+
 REACH = 300
 MASK = "[REDACTED]"
 _NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:client|app|access|auth)[_-]?(?:secret|token)|secret[_-]?(?:access[_-]?)?key|private[_-]?key|bearer)"
@@ -144,7 +146,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
                     rows += [{"doc_id": i} | r for r in link(text, reach)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 def mask(text: str | None, reach: int = REACH) -> str | None:
@@ -173,7 +175,7 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 text = pa.array([mask(x, reach) for x in part.column(at).to_pylist()], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([text if k == at else part.column(k) for k in range(len(names))], names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import materialize, small_side
+
 SEED = 20
 BUCKETS = 4096
 
@@ -54,7 +56,7 @@ def allocate(docs: DataFrame, weights: dict[str, float] | None = None, total: in
 
 def sample(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` once a copy, with ``copy_no`` from 1, ``whole`` copies and the ``expected`` number."""
-    shares = allocate(docs, weights, total)
+    shares = small_side(materialize(allocate(docs, weights, total)))
 
     def ranked(df: DataFrame, by: DataFrame) -> DataFrame:
         df = df.join(by, df["source"].cast("string").eqNullSafe(by["_pl_s"])).drop("_pl_s")
@@ -71,6 +73,7 @@ def sample(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     hist = hist.join(shares.withColumnRenamed("_pl_s", "_pl_t"), F.col("_pl_s").eqNullSafe(F.col("_pl_t"))).withColumn("_pl_m", F.col("_pl_n") - F.sum("_pl_sure").over(of)).filter("_pl_b is not null")
     hist = hist.withColumn("_pl_up", F.sum("_pl_k").over(of.orderBy("_pl_b")))
     edge = hist.filter("_pl_up >= _pl_m and _pl_up - _pl_k < _pl_m").select("_pl_s", F.col("_pl_b").alias("_pl_edge"), (F.col("_pl_m") - F.col("_pl_up") + F.col("_pl_k")).alias("_pl_need"))
+    edge = small_side(materialize(edge))
     # the last document taken, within the edge's bucket alone; among equals it may be one of several
     e = edge.withColumnRenamed("_pl_s", "_pl_t")
     last = narrow.join(e, narrow["source"].cast("string").eqNullSafe(F.col("_pl_t")) & (F.col("_pl_b") == F.col("_pl_edge")))
@@ -79,7 +82,8 @@ def sample(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     last = last.withColumn("_pl_r", F.row_number().over(w.orderBy(*order))).withColumn("_pl_like", F.count("*").over(Window.partitionBy(key, "_pl_q", "doc_id", "n_chars"))).withColumn("_pl_below", F.rank().over(w.orderBy(*order)) - 1)
     cut = last.filter("_pl_r = _pl_need").select(key, F.col("_pl_q").alias("_pl_cq"), F.col("doc_id").alias("_pl_ci"), F.col("n_chars").alias("_pl_cn"), (F.col("_pl_need") - F.col("_pl_below")).alias("_pl_take"), "_pl_like")
     plan = shares.join(cut.withColumnRenamed("_pl_s", "_pl_t"), F.col("_pl_s").eqNullSafe(F.col("_pl_t")), "left").drop("_pl_t")
-    out = ranked(docs, plan)
+    cut = plan = materialize(plan)  # a row a source
+    out = ranked(docs, small_side(plan))
     same_id = F.col("doc_id").eqNullSafe(F.col("_pl_ci"))
     less = (F.col("_pl_q") < F.col("_pl_cq")) | ((F.col("_pl_q") == F.col("_pl_cq")) & (
         F.when(same_id, F.when(F.col("n_chars").isNull(), F.col("_pl_cn").isNotNull()).otherwise(F.coalesce(F.col("n_chars") < F.col("_pl_cn"), F.lit(False))))

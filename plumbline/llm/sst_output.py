@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import lean
+
 BLOCK = 64 << 10
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
@@ -291,7 +293,7 @@ def shards(docs: DataFrame, partitions: int | None = None, tokenizer: str | None
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = flat.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "rest", F.asc_nulls_first("text"))
     types = [(c, t) for c, t in docs.dtypes]
-    return ranged.mapInArrow(_writer(types, tokenizer, block_bytes, folder), SCHEMA)
+    return ranged.mapInArrow(lean(_writer(types, tokenizer, block_bytes, folder)), SCHEMA)
 
 
 def assemble(pieces: list) -> dict[int, bytes]:

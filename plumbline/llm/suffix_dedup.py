@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, materialize, mix, shared_dir, whole_groups
+from .kernels import U64, Words, chunks, lean, materialize, mix, shared_dir, whole_groups
 
 WORDS = 50
 GRAM = 8
@@ -420,13 +420,13 @@ def _sorter(words: int, shard_words: int, limit: int, folder: str):
 def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, queue_items: int = QUEUE_ITEMS) -> DataFrame:
     """(doc_id, text_hash, keep, start_word, end_word) of every maximal repeated span, words counted from 0."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = materialize(keyed.mapInArrow(_minimizers(words, gram), "m long, doc_id long, text_hash long, at long"))
+    found = materialize(keyed.mapInArrow(lean(_minimizers(words, gram)), "m long, doc_id long, text_hash long, at long"))
     shared = found.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("m")
     places = found.join(shared, "m").groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("m", "at"))).alias("places"))
     rows = keyed.join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
-    contexts = rows.mapInArrow(_contexts(words, gram), "m long, ctx long, doc_id long, text_hash long, at int, tokens binary")
+    contexts = rows.mapInArrow(lean(_contexts(words, gram)), "m long, ctx long, doc_id long, text_hash long, at int, tokens binary")
     shards = contexts.repartition("m").sortWithinPartitions("m", "ctx")
-    spans = shards.mapInArrow(_sorter(words, shard_words, queue_items, shared_dir(docs.sparkSession)), "doc_id long, text_hash long, keep boolean, start_word int, end_word int")
+    spans = shards.mapInArrow(lean(_sorter(words, shard_words, queue_items, shared_dir(docs.sparkSession))), "doc_id long, text_hash long, keep boolean, start_word int, end_word int")
     w = Window.partitionBy("doc_id", "text_hash", "keep").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") <= F.col("_reach"), 0).otherwise(1)).over(w)

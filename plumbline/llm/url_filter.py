@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import lean
+
 BLOCK = (
     "spam-farm.example.org", "cheap-pills.example.com", "casino.example.net", "example.net/es", "blog.example.org/de",
     "ththre.example.com/fr", "m.example.com", "therti.example.org/en/618",
@@ -117,7 +119,7 @@ def filter_urls(pages: DataFrame, entries: list[tuple[str, str]] | DataFrame = E
                 entry.append(e)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(host, pa.string()), pa.array(decision, pa.string()), pa.array(entry, pa.string())], names=["page_id", "url", "host", "decision", "entry"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def _joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
@@ -145,8 +147,8 @@ def _joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
                 types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names=["url", "host", "entry", "long", "labels"])
 
-    table = entries.mapInArrow(normal, "entry string, action string").groupBy("entry").agg(F.min("action").alias("action"))
-    way = rows.select("url").filter("url is not null").distinct().mapInArrow(ways, "url string, host string, entry string, long int, labels int")
+    table = entries.mapInArrow(lean(normal), "entry string, action string").groupBy("entry").agg(F.min("action").alias("action"))
+    way = rows.select("url").filter("url is not null").distinct().mapInArrow(lean(ways), "url string, host string, entry string, long int, labels int")
     met = way.join(table, "entry", "left")
     rank = F.when(F.col("action").isNotNull(), F.struct("long", "labels", "action", "entry"))
     best = met.groupBy("url", "host").agg(F.max(rank).alias("b"))

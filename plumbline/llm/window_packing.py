@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import chunks, materialize
+from .kernels import chunks, lean, materialize
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked by one task.
@@ -111,7 +111,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n): words between white space of every row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return keyed.mapInArrow(_counter, "doc_id long, text_hash long, n long")
+    return keyed.mapInArrow(lean(_counter), "doc_id long, text_hash long, n long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Dat
             )
 
     schema = "window_id long, offset int, doc_id long, piece int, start_word long, n_words long"
-    placed = ranks.select("n_words", "rank", "piece", "doc_id").mapInArrow(place, schema)
+    placed = ranks.select("n_words", "rank", "piece", "doc_id").mapInArrow(lean(place), schema)
     none = rows.filter("n = 0").select(F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("int").alias("offset"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words"))
     return placed.unionByName(none)
 
