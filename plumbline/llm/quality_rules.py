@@ -269,7 +269,7 @@ def raw_scores(docs: DataFrame, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Dat
     return materialize(out.select("_pl_doc", "_pl_text", "lang", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("bits", F.lit(0.0)).alias("bits")))
 
 
-def score(docs: DataFrame, width: float = 10.0, prior_bytes: int = 300, step: float = 1e-3, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+def score(docs: DataFrame, width: float = 12.0, prior_bytes: int = 300, step: float = 1e-3, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
     """One row a document: perplexity a byte, its language's bands, and the verdict keep, low, high or empty.
 
     Medians come from a histogram of all scores in steps of ``step`` bits, so
