@@ -6,8 +6,8 @@ encoded by a beam search: the ``beam`` best partial sums are kept from codebook
 to codebook. Its codes are stored with the squared norm of their sum. A query's
 distance to a code is looked up: the products of the query with all codewords
 are a table, of which a code takes one entry a codebook. The least of these
-distances, a share ``rerank`` of all (so that recall is alike at every size),
-are computed exactly, and the ``k`` nearest remain.
+distances, ``rerank`` of every block (so that their number grows with the
+table), are computed exactly, and the ``k`` nearest remain.
 
 Every row is a query, and every row but itself a candidate: queries and codes
 meet in blocks, each pair of blocks once, and nothing is pruned.
@@ -28,16 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import materialize
+from .kernels import lean, materialize
 
 K = 10
-CODEBOOKS = 12
+CODEBOOKS = 16
 WORDS = 256
 BEAM = 6
-ITERATIONS = 3
-#: Share of the candidates whose exact distance is computed, and the least number of them in a block.
-RERANK = 1 / 64
-RERANK_LEAST = 64
+ITERATIONS = 2
+#: Candidates of each block whose exact distance is computed; a block has at most BLOCK rows or so.
+RERANK = 400
 BLOCK = 16_384
 
 
@@ -56,7 +55,21 @@ def greedy_residual(x: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
 
 
 def encode(x: np.ndarray, books: list[np.ndarray], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, squared norm of the sum of codewords) by beam search; ties go to the lower code."""
+    """(codes, squared norm of the sum of codewords) by beam search; ties go to the lower code.
+
+    The codebooks are trained on greedy residuals, so the greedy path is followed
+    too, outside the beam, and taken where it ends nearer.
+    """
+    codes, error, total = _search(x, books, beam)
+    if beam > 1:
+        other, error1, total1 = _search(x, books, 1)
+        nearer = error1 < error
+        codes[nearer], total[nearer] = other[nearer], total1[nearer]
+    return codes, (total**2).sum(1)
+
+
+def _search(x: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, error, sum of codewords) of the best path; errors lack the vector's own norm."""
     n, d = x.shape
     left = x[:, None, :]
     error = np.zeros((n, 1), np.float32)
@@ -73,8 +86,7 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int = BEAM) -> tuple[np
         which, word = best // len(c), best % len(c)
         left = np.take_along_axis(left, which[:, :, None], 1) - c[word]
         codes = np.concatenate([np.take_along_axis(codes, which[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
-    total = x - left[:, 0]
-    return codes[:, 0], (total**2).sum(1)
+    return codes[:, 0].copy(), error[:, 0], x - left[:, 0]
 
 
 def vectors(table: DataFrame) -> tuple[DataFrame, int]:
@@ -110,7 +122,7 @@ def train(v: DataFrame, d: int, codebooks: int = CODEBOOKS, words: int = WORDS,
                 at = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["code", "n", "s"])
 
-            parts = v.select("v").mapInArrow(sums, "code long, n long, s array<double>")
+            parts = v.select("v").mapInArrow(lean(sums), "code long, n long, s array<double>")
             got = parts.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(d)]).toArrow()  # ``words`` rows
             at = got.column("code").to_numpy()
             c = c.copy()
@@ -127,7 +139,7 @@ def scores(q: np.ndarray, books: list[np.ndarray], codes: np.ndarray, norm: np.n
     return out
 
 
-def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int = WORDS, beam: int = BEAM, iterations: int = ITERATIONS, rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
+def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int = WORDS, beam: int = BEAM, iterations: int = ITERATIONS, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """(vec_id, neighbour_id, rank, distance): of each row its ``k`` nearest others by Euclidean distance."""
     v, d = vectors(table)
     schema = "vec_id long, neighbour_id long, rank int, distance double"
@@ -145,7 +157,7 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), blob, pa.array(norm)], names=["vec_id", "v", "codes", "norm"])
 
     blocks = max(1, -(-n // block))
-    coded = v.mapInArrow(coder, "vec_id long, v array<float>, codes binary, norm float")
+    coded = v.mapInArrow(lean(coder), "vec_id long, v array<float>, codes binary, norm float")
     coded = materialize(coded.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # a cell is a pair of blocks: its codes first, then its queries
@@ -153,7 +165,6 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
     queries = coded.select(every.alias("c"), F.col("block").alias("q"), F.lit(1).alias("side"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
     cells = codes.unionByName(queries).withColumn("cell", F.col("c").cast("long") * blocks + F.col("q"))
     cells = cells.repartition(min(blocks * blocks, max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)), "cell").sortWithinPartitions("cell", "side", "vec_id")
-    least = max(RERANK_LEAST, k + 1)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
@@ -162,7 +173,7 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
             code, norm, ids, x = ready
             q, qid = _matrix(part.column("v"), d), part.column("vec_id").to_numpy()
             s = scores(q, books, code, norm).T
-            take = min(max(least, int(s.shape[1] * rerank)), s.shape[1])
+            take = min(max(rerank, k + 1), s.shape[1])
             best = np.argpartition(s, take - 1, axis=1)[:, :take] if take < s.shape[1] else np.tile(np.arange(take), (len(q), 1))
             dist = ((x[best].astype(np.float64) - q[:, None, :]) ** 2).sum(2)
             itself = (ids[best] == qid[:, None]) & (dist == 0)
@@ -194,7 +205,7 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
                     yield answer(part.slice(s, 128))
 
     cells = cells.withColumn("row", F.xxhash64("vec_id", "v")).select("cell", "side", "vec_id", "v", "codes", "norm", "row")
-    near = cells.mapInArrow(meet, "vec_id long, neighbour_id long, distance double, row long")
+    near = cells.mapInArrow(lean(meet), "vec_id long, neighbour_id long, distance double, row long")
     # a query's row is told by its vector too, so that rows of equal id stay apart
     w = Window.partitionBy("vec_id", "row").orderBy("distance", "neighbour_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
