@@ -97,9 +97,11 @@ def vectors(table: DataFrame) -> tuple[DataFrame, int]:
     return (v.filter(F.size("v") == mode["d"]), mode["d"]) if mode else (v, 0)
 
 
-def train(v: DataFrame, d: int, codebooks: int = CODEBOOKS, words: int = WORDS, iterations: int = ITERATIONS) -> list[np.ndarray]:
+def train(v: DataFrame, d: int, n: int, codebooks: int = CODEBOOKS, words: int = WORDS, iterations: int = ITERATIONS) -> list[np.ndarray]:
     """Codebooks from all rows; each begins with the vectors whose ids hash least, and sums are Spark's."""
-    seeds = v.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(words * codebooks).toArrow()
+    h = F.xxhash64("vec_id", "v")
+    thin = max(1, n // (4 * words * codebooks))  # about four times as many are sorted, whatever the table's size
+    seeds = v.filter(F.pmod(h, F.lit(thin)) == 0).orderBy(h, "vec_id").limit(words * codebooks).toArrow()
     start = _matrix(seeds.column("v").combine_chunks(), d) if seeds.num_rows else np.zeros((0, d), np.float32)
     books: list[np.ndarray] = []
     for m in range(codebooks):
@@ -146,7 +148,7 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
     n = v.count()
     if n == 0:
         return table.sparkSession.createDataFrame([], schema)
-    books = train(v, d, codebooks, words, iterations)
+    books = train(v, d, n, codebooks, words, iterations)
 
     def coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
