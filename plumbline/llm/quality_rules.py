@@ -3,11 +3,11 @@
 A modified Kneser-Ney model over UTF-8 byte 5-grams is counted per language by
 Spark over *all* documents, stored as sorted arrays of key hashes with log
 probabilities, and scores every document in full. Each language then has its
-own lower and upper band, median +- ``width`` median absolute deviations of all
-its documents' scores; documents outside are rejected.
+own lower and upper band: ``lower`` median deviations of all its documents below
+the median score, ``upper`` of all those above it; documents outside are rejected.
 
-Defined cases: a null, empty or blank text is rejected as ``empty``; a null
-language is a language of its own; a short text's score is drawn to its
+Defined cases: a null or empty text is rejected as ``empty``, one of white space
+alone as ``blank``, and neither counts for the bands; a null language is a language of its own; a short text's score is drawn to its
 language's mean by ``prior_bytes``, so that chance alone rejects none; equal or
 repeated rows get equal verdicts, one row each; an empty table gives an empty
 result; extra columns are ignored by ``score`` and kept by ``filter_documents``
@@ -31,7 +31,7 @@ ORDER = 5
 PAD = "\x02" * (ORDER - 1)
 #: Beyond so many n-grams the model isn't broadcast; n-grams are then scored by a join.
 BROADCAST_NGRAMS = 8_000_000
-_SCORES = "_pl_doc long, _pl_text long, lang string, n_bytes long, bits double"
+_SCORES = "_pl_doc long, _pl_text long, lang string, blank boolean, n_bytes long, bits double"
 
 
 def lang_id(lang: str | None) -> int:
@@ -216,15 +216,15 @@ def _scorer(shared):
                 code, doc, size = _grams(part)
                 bits = np.bincount(doc, weights=model.lookup(code), minlength=part.num_rows) if len(code) else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_pl_doc"), part.column("_pl_text"), part.column("lang"), pa.array(size.astype(np.int64)), pa.array(bits.astype(float))],
-                    names=["_pl_doc", "_pl_text", "lang", "n_bytes", "bits"],
+                    [part.column("_pl_doc"), part.column("_pl_text"), part.column("lang"), part.column("blank"), pa.array(size.astype(np.int64)), pa.array(bits.astype(float))],
+                    names=["_pl_doc", "_pl_text", "lang", "blank", "n_bytes", "bits"],
                 )
 
     return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("_pl_doc"), F.xxhash64("text").alias("_pl_text"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("_pl_doc"), F.xxhash64("text").alias("_pl_text"), F.col("lang").cast("string").alias("lang"), F.coalesce(~F.col("text").cast("string").rlike(r"(?U)\S"), F.lit(True)).alias("blank"), F.col("text").cast("string").alias("text"))
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,31 +266,32 @@ def raw_scores(docs: DataFrame, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Dat
     bits = rows.select("_pl_row", "text", "lang").dropDuplicates(["_pl_row"]).mapInArrow(lean(_explode), "_pl_row long, gram long, k long").join(model, "gram")
     bits = bits.groupBy("_pl_row").agg(F.sum("k").alias("n_bytes"), F.sum(F.col("k") * F.col("gram_bits")).alias("bits"))
     out = rows.drop("text").join(bits, "_pl_row", "left")
-    return materialize(out.select("_pl_doc", "_pl_text", "lang", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("bits", F.lit(0.0)).alias("bits")))
+    return materialize(out.select("_pl_doc", "_pl_text", "lang", "blank", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("bits", F.lit(0.0)).alias("bits")))
 
 
-def score(docs: DataFrame, width: float = 12.0, prior_bytes: int = 300, step: float = 1e-3, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
-    """One row a document: perplexity a byte, its language's bands, and the verdict keep, low, high or empty.
+def score(docs: DataFrame, lower: float = 10.0, upper: float = 6.0, prior_bytes: int = 300, step: float = 1e-3, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+    """One row a document: perplexity a byte, its language's bands, and the verdict keep, low, high, blank or empty.
 
-    Medians come from a histogram of all scores in steps of ``step`` bits, so
+    The tails differ, so each side's deviations are measured by its own documents. Medians come from a histogram of all scores in steps of ``step`` bits, so
     they don't depend on the order of rows.
     """
     raw = raw_scores(docs, broadcast_ngrams)
     base = raw.groupBy("lang").agg(F.sum("bits").alias("_b"), F.sum("n_bytes").alias("_n")).select(F.col("lang").alias("_lang"), (F.col("_b") / F.when(F.col("_n") > 0, F.col("_n"))).alias("_mean"))
     s = raw.join(base, raw["lang"].eqNullSafe(base["_lang"]), "left").withColumn("score_bits", (F.col("bits") + prior_bytes * F.coalesce("_mean", F.lit(0.0))) / (F.col("n_bytes") + prior_bytes)).drop("_lang", "_mean")
-    bins = s.filter("n_bytes > 0").groupBy("lang", F.round(F.col("score_bits") / step).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = s.filter("n_bytes > 0 and not blank").groupBy("lang", F.round(F.col("score_bits") / step).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
-    def middle(t: DataFrame, value: str) -> DataFrame:
-        w = Window.partitionBy("lang").orderBy(value)
-        t = t.withColumn("_up", F.sum("n").over(w)).withColumn("_all", F.sum("n").over(Window.partitionBy("lang")))
-        return t.filter(F.col("_up") * 2 >= F.col("_all")).groupBy("lang").agg(F.min(value).alias("mid"))
+    def middle(t: DataFrame, value: str, *by: str) -> DataFrame:
+        w = Window.partitionBy("lang", *by)
+        t = t.withColumn("_up", F.sum("n").over(w.orderBy(value))).withColumn("_all", F.sum("n").over(w))
+        return t.filter(F.col("_up") * 2 >= F.col("_all")).groupBy("lang", *by).agg(F.min(value).alias("mid"))
 
     med = middle(bins, "bin").withColumnRenamed("lang", "_lang")
-    off = bins.join(med, bins["lang"].eqNullSafe(med["_lang"])).groupBy("lang", "mid", F.abs(F.col("bin") - F.col("mid")).alias("dev")).agg(F.sum("n").alias("n"))
-    mad = middle(off.select("lang", "dev", "n"), "dev").select(F.col("lang").alias("_lang2"), F.col("mid").alias("mad"))
-    bands = med.join(mad, med["_lang"].eqNullSafe(mad["_lang2"])).select("_lang", ((F.col("mid") - width * F.greatest("mad", F.lit(5))) * step).alias("lower_bits"), ((F.col("mid") + width * F.greatest("mad", F.lit(5))) * step).alias("upper_bits"))
+    off = bins.join(med, bins["lang"].eqNullSafe(med["_lang"])).select("lang", "n", (F.col("bin") - F.col("mid")).alias("off")).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    sides = middle(off.withColumn("dev", F.col("off") * F.col("side")).filter("dev >= 0"), "dev", "side")
+    mad = sides.groupBy(F.col("lang").alias("_lang2")).agg(*[F.greatest(F.max(F.when(F.col("side") == k, F.col("mid"))), F.lit(5)).alias(c) for k, c in ((-1, "_below"), (1, "_above"))])
+    bands = med.join(mad, med["_lang"].eqNullSafe(mad["_lang2"])).select("_lang", ((F.col("mid") - lower * F.col("_below")) * step).alias("lower_bits"), ((F.col("mid") + upper * F.col("_above")) * step).alias("upper_bits"))
     out = s.join(bands, s["lang"].eqNullSafe(bands["_lang"]), "left")
-    verdict = F.when(F.col("n_bytes") == 0, "empty").when(F.col("score_bits") < F.col("lower_bits"), "low").when(F.col("score_bits") > F.col("upper_bits"), "high").otherwise("keep")
+    verdict = F.when(F.col("n_bytes") == 0, "empty").when(F.col("blank"), "blank").when(F.col("score_bits") < F.col("lower_bits"), "low").when(F.col("score_bits") > F.col("upper_bits"), "high").otherwise("keep")
     return out.select(F.col("_pl_doc").alias("doc_id"), "_pl_text", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.when(F.col("n_bytes") > 0, F.col("n_bytes")))).alias("perplexity"), "score_bits", "lower_bits", "upper_bits", verdict.alias("verdict"))
 
 

@@ -192,6 +192,27 @@ def test_quality_odd_rows(odd, none):
     assert quality_rules.score(none).count() == 0 and quality_rules.filter_documents(none).count() == 0
 
 
+def test_quality_bands_have_widths_of_their_own_tails(spark):
+    rows = [(i, prose(i, 150), "en", "s", 0) for i in range(101)] + [(500 + i, prose(i, 100) + " word" * (9 * i), "en", "s", 0) for i in range(40)]
+    got = quality_rules.score(spark.createDataFrame(rows, DOCS)).collect()
+    bins = np.round(np.array([r.score_bits for r in got]) / 1e-3)
+    middle = lambda x: np.sort(x)[(len(x) - 1) // 2]
+    mid = middle(bins)
+    below, above = middle(mid - bins[bins <= mid]), middle(bins[bins >= mid] - mid)
+    assert below > above
+    assert got[0].lower_bits == pytest.approx((mid - 10 * max(below, 5)) * 1e-3)
+    assert got[0].upper_bits == pytest.approx((mid + 6 * max(above, 5)) * 1e-3)
+
+
+@pytest.mark.parametrize("ngrams", [quality_rules.BROADCAST_NGRAMS, 1])
+def test_quality_rejects_blank_texts(spark, ngrams):
+    rows = [(i, prose(i, 60), "en", "s", 0) for i in range(20)] + [(50, "  \n\t ", "en", "s", 0), (51, "\u00a0\u3000", "en", "s", 0), (52, "", "en", "s", 0), (53, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    verdict = {r.doc_id: r.verdict for r in quality_rules.score(docs, broadcast_ngrams=ngrams).collect()}
+    assert [verdict[i] for i in (50, 51, 52, 53)] == ["blank", "blank", "empty", "empty"]
+    assert {r.doc_id for r in quality_rules.filter_documents(docs, broadcast_ngrams=ngrams).collect()} == set(range(20))
+
+
 # 4 source mixing
 
 
