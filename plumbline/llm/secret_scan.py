@@ -14,8 +14,9 @@ long text costs its length alone.
 
 Defined cases: a null or empty text has no finding; a null id is kept as null;
 equal rows give equal findings each; partners are all listed, in order;
-overlapping matches of one kind count once (the strong one, else the longer); an
-empty table gives no rows; extra columns are ignored by ``scan`` and kept by ``redact``.
+a value of any length is taken whole, a private key without an END line with the
+base64 lines that follow; overlapping matches of one kind count once (the strong
+one, else the longer); an empty table gives no rows; extra columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -36,15 +37,19 @@ REACH = 300
 MASK = "[REDACTED]"
 _NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:client|app|access|auth)[_-]?(?:secret|token)|secret[_-]?(?:access[_-]?)?key|private[_-]?key|bearer)"
 _ID_NAMES = r"(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|app[_-]?id|account(?:[_-]?(?:id|name))?|user(?:[_-]?name)?|login|tenant[_-]?id)"
-_LABELLED = re.compile(r"(?i)(?<![A-Za-z0-9])(" + _NAMES + r")[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}([\"']?)([^\s\"'<>{}\[\]]{6,512})")
-_ID_LABELLED = re.compile(r"(?i)(?<![A-Za-z0-9])(" + _ID_NAMES + r")[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?([\w.@+-]{3,128})")
+_LABELLED = re.compile(r"(?i)(?<![A-Za-z0-9])(" + _NAMES + r")[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}([\"']?)([^\s\"'<>{}\[\]]{6,})")
+_ID_LABELLED = re.compile(r"(?i)(?<![A-Za-z0-9])(" + _ID_NAMES + r")[\"']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}[\"']?([\w.@+-]{3,})")
+_BREAK = r"(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t]*+)"
+_LINE_END = r"(?=[ \t]*(?:[\r\n\\\"'<]|$))"
 _FORMATS = re.compile(
-    r"gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|xox[abeprs]-[A-Za-z0-9-]{10,255}|glpat-[A-Za-z0-9_-]{20,64}|sk_(?:live|test)_[A-Za-z0-9]{16,128}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\s\S]{0,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+    r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abeprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+    # a private key to its END line; without one, over the lines of its header and base64 that follow
+    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:" + _BREAK + r"++(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:" + _BREAK + r"++(?:[A-Za-z0-9+/]{40,}+={0,2}|[A-Za-z0-9+/]{16,}+={0,2}" + _LINE_END + r"))+(?:" + _BREAK + r"[A-Za-z0-9+/]++={0,2}" + _LINE_END + r")?)?"
 )
 _ACCESS = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}(?![A-Z0-9])")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Fa-f0-9]{32,128}|[A-Za-z0-9+/_-]{40,128}={0,2})(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,2048}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.])|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.)+(?:com|net|org|io|dev|internal|local|cloud)(?::\d{1,5})?(?![A-Za-z0-9-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Fa-f0-9]{32,}+|[A-Za-z0-9+/_-]{40,}+={0,2})(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{3,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.])|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.)+(?:com|net|org|io|dev|internal|local|cloud)(?::\d{1,5})?(?![A-Za-z0-9-])")
 _BLANK = re.compile(r"\n[ \t\r]*\n\s*")
 _DIGIT = re.compile(r"[0-9]")
 KINDS = ("access", "secret", "endpoint")
