@@ -119,6 +119,25 @@ def test_additive_quantiser_recall(spark):
     assert np.mean([len(got[i] & want[i]) / 10 for i in ids]) >= 0.9
 
 
+def test_additive_quantiser_recall_by_codes(spark):
+    """Reranks 48 of 2,000, the share of 400 of 16,384: codes decide what is found."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(2000)
+    e = table.toPandas()
+    x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+    d = (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    want = {i: set(ids[row]) for i, row in zip(ids, np.argsort(d, 1)[:, :10])}
+
+    def recall(**parameters):
+        got = defaultdict(set)
+        for r in additive_quantiser.search(table, iterations=1, block=2000, rerank=48, **parameters).collect():
+            got[r.vec_id].add(r.neighbour_id)
+        return np.mean([len(got[i] & want[i]) / 10 for i in ids])
+
+    assert recall() >= 0.9
+    assert recall(codebooks=1, words=2) < 0.5
+
+
 def test_additive_quantiser_encoding_beats_greedy():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
