@@ -1,23 +1,29 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Documents are sets of hashed word ``n``-grams. Equal sets are one class. Each
-class has ``trees`` signatures of ``depth`` minhashes: sorted, a tree's
-signatures are a prefix trie, and classes under one node share a prefix. The
-join begins at the full depth and shortens the prefix by one level at a time.
-After each level every new candidate is verified on the exact sets, and the
-share of true pairs found so far is estimated from those verified: a pair of
-Jaccard J shares a prefix of length d in one of l trees with probability
-``1-(1-J^d)^l``. It stops when that estimate reaches ``recall``, not before
-length 3 (at long prefixes the estimate rests on the closest pairs alone), or at length 1.
+class has ``trees`` signatures of ``depth`` minhashes; a tree's signatures,
+sorted, are a prefix trie. One exchange brings all classes below a node of
+prefix length ``FLOOR`` together, sorted by signature, so that longer prefixes
+are runs within it: the candidates of all lengths from ``depth`` down to
+``FLOOR`` are read off at once, longest first. They are verified on the exact
+sets, and the share of true pairs found so far is estimated from those verified:
+a pair of Jaccard J shares a prefix of length d in one of l trees with
+probability ``1-(1-J^d)^l``. While that estimate is below ``recall``, the prefix
+is shortened by one more level, for the pairs that no longer one has.
 
 A node's members are all compared, in blocks where they are many; there is no
-cap on partners. A pair is taken up once, in the first tree and at the longest
-prefix that has it.
+cap on partners. A pair is taken up once, in the first tree that has it.
+
+``join`` returns pairs. Of a class of m documents these are its first document
+with each of the others (m-1 rows of Jaccard 1); of two near classes it is their
+first documents. What two documents have in common is thus that of their classes.
 
 Defined cases: null ids and texts without words match nothing; a text of fewer
 than ``n`` words is one n-gram; rows with equal id and text are one document;
 rows with equal id and another text are documents of their own; an empty table
-gives no rows; extra columns are ignored. Case and punctuation don't count.
+gives no rows; extra columns are ignored by ``join`` and kept by ``deduplicate``,
+whatever their names. Case and punctuation of any script don't count, and letters
+of scripts without spaces are words of their own.
 """
 
 from __future__ import annotations
@@ -26,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, discard, lean, materialize, mix, small_side, whole_groups
+from .kernels import U64, Words, chunks, discard, lean, materialize, mix, own_names, small_side, whole_groups
 
 N = 3
 THRESHOLD = 0.5
 RECALL = 0.95
 TREES = 16
 DEPTH = 5
+#: The longest prefix at which the search may stop: at longer ones the estimate rests on the closest pairs alone.
+FLOOR = 3
 BLOCK = 1024
 _RNG = np.random.default_rng(7)
 _MUL = (_RNG.integers(1, 1 << 31, 256, dtype=np.uint64) * U64(2) + U64(1)).astype(np.uint32)
@@ -121,37 +129,43 @@ def _prefixes(trees: int, depth: int, d: int):
         for batch in batches:
             if batch.num_rows:
                 node = _nodes(_matrix(batch.column("sig"), trees * depth).reshape(-1, trees, depth), d)
-                yield pa.RecordBatch.from_arrays([pa.array(node.ravel().astype(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), trees))], names=["node", "cls"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node.ravel().astype(np.int64)), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(node))), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), trees))],
+                    names=["node", "tree", "cls"],
+                )
 
     return run
 
 
-def _levels(trees: int, depth: int, d: int):
-    """``sig`` cut to what a level compares: 32 bits of each tree's node here and one below (or at the root, where there is none)."""
+def _tries(trees: int, depth: int, d: int, above: int):
+    """``sig`` cut to what a pass compares: 32 bits of each tree's node at ``d``, those at ``above``, and the signatures in trie order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sig = _matrix(batch.column("sig"), trees * depth).reshape(-1, trees, depth)
-                both = np.concatenate([_nodes(sig, x) >> U64(32) for x in (d, min(d + 1, depth))], axis=1).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("size"), pa.array([x.tobytes() for x in both], pa.binary())], names=["cls", "size", "sig"])
+                both = np.concatenate([_nodes(sig, x) >> U64(32) for x in (d, above)], axis=1).astype(np.uint32)
+                leaf = np.ascontiguousarray(sig[:, :, d:]).astype(">u4").reshape(len(sig), -1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("cls"), batch.column("size"), pa.array([x.tobytes() for x in both], pa.binary()), pa.array([x.tobytes() for x in leaf], pa.binary())],
+                    names=["cls", "size", "nodes", "leaves"],
+                )
 
     return run
 
 
-def _candidates(trees: int, depth: int, d: int, least: float):
-    """Pairs under one node whose first tree at this length is this one, and that no longer prefix had."""
+def _candidates(trees: int, above: bool, least: float):
+    """Pairs below one node of a sorted trie whose first tree at this length is this one, and that no longer prefix of an earlier pass had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["cell"]):
-            cell = t.column("cell").to_numpy()
+            cell, tree = t.column("cell").to_numpy(), t.column("tree").to_numpy()
             cls, size = t.column("cls").to_numpy(), t.column("size").to_numpy().astype(float)
-            block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
+            block = t.column("block").to_numpy()
             low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-            both = _matrix(t.column("sig"), 2 * trees)
-            nodes, deeper = both[:, :trees], both[:, trees:] if d < depth else None
-            mine = np.argmax(nodes == (node.astype(U64) >> U64(32)).astype(np.uint32)[:, None], axis=1)
-            s = 1
+            both = _matrix(t.column("nodes"), 2 * trees)
+            nodes, longer = both[:, :trees], both[:, trees:] if above else None
+            s = 1  # neighbours in the trie share the longest prefixes; each step looks one place farther
             alive = np.arange(len(cell))
             while True:
                 alive = alive[alive < len(cell) - s]
@@ -163,10 +177,9 @@ def _candidates(trees: int, depth: int, d: int, least: float):
                     ok = (low[a] == high[a]) | (block[a] != block[b])  # a cell of two blocks has only their cross pairs
                     ok &= np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
                     a, b = a[ok], b[ok]
-                    same = nodes[a] == nodes[b]
-                    ok = np.argmax(same, axis=1) == mine[a]
-                    if deeper is not None:
-                        ok &= ~(deeper[a] == deeper[b]).any(axis=1)
+                    ok = np.argmax(nodes[a] == nodes[b], axis=1) == tree[a]
+                    if longer is not None:
+                        ok &= ~(longer[a] == longer[b]).any(axis=1)
                     a, b = a[ok], b[ok]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], names=["cell", "a", "b"])
@@ -222,71 +235,64 @@ class Forest:
         self.members = materialize(signed.select("doc_id", "text_hash", "cls"))
         self.classes = materialize(signed.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r"))
         discard(signed)
-        spark: SparkSession = docs.sparkSession
+        #: (prefix length, pairs so far, share of all true pairs that these are by estimate)
         self.levels: list[tuple[int, int, float]] = []
-        pairs: DataFrame | None = None
-        sets: DataFrame | None = None
-        have = 0
-        for d in range(depth, 0, -1):
-            found, sets, have = self._level(docs, n, threshold, trees, depth, d, block, sets, have)
-            pairs = found if pairs is None else pairs.unionByName(found)
+        found: list[DataFrame] = []
+        above = depth
+        for d in range(min(FLOOR, depth), 0, -1):
+            found.append(self._pass(docs, n, threshold, trees, depth, d, above, block))
+            above = d
             p = 1 - F.pow(1 - F.pow("jaccard", F.lit(float(d))), F.lit(float(trees)))
-            got = pairs.agg(F.count("*").alias("n"), F.sum(1 / p).alias("all")).first()
-            estimate = got["n"] / got["all"] if got["n"] else 1.0
-            self.levels.append((d, got["n"], estimate))
-            if estimate >= recall and d <= 3:
+            self.pairs = found[0] if len(found) == 1 else self.pairs.unionByName(found[-1])
+            got = self.pairs.agg(F.count("*").alias("n"), F.sum(1 / p).alias("all")).first()
+            self.levels.append((d, got["n"], got["n"] / got["all"] if got["n"] else 1.0))
+            if self.levels[-1][2] >= recall:
                 break
-        self.pairs = pairs
-        self.spark = spark
 
-    def _level(self, docs, n, threshold, trees, depth, d, block, sets, have):
-        narrow = self.classes.select("cls", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, cls long")
-        crowd = narrow.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+    def _pass(self, docs, n, threshold, trees, depth, d, above, block):
+        """True pairs with a common prefix of length ``d``; after the first pass, those that have none of length ``above``."""
+        first = not self.levels
+        narrow = self.classes.select("cls", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, tree int, cls long")
+        crowd = narrow.withColumn("m", F.count("*").over(Window.partitionBy("node"))).filter("m > 1")
         # a node of many members is cut into blocks; each pair of blocks is a cell
-        nb = F.ceil(F.col("m") / block).cast("int")
-        at = narrow.join(crowd, "node").withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-        at = at.select("node", "cls", "block", other.alias("o")).select("node", "cls", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
-        at = at.withColumn("cell", F.xxhash64("node", "low", "high"))
-        wide = at.join(self.classes.select("cls", "size", "sig").mapInArrow(lean(_levels(trees, depth, d)), "cls long, size int, sig binary"), "cls").select("cell", "node", "cls", "block", "low", "high", "size", "sig")
-        wide = wide.repartition("cell").sortWithinPartitions("cell", "cls")
-        new = materialize(wide.mapInArrow(lean(_candidates(trees, depth, d, threshold)), "cell long, a long, b long"))
+        at = crowd.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")).cast("int"))
+        at = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        at = at.select("node", "tree", "cls", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
+        at = at.withColumn("cell", F.xxhash64("node", "low", "high")).drop("node")
+        wide = at.join(self.classes.select("cls", "size", "sig").mapInArrow(lean(_tries(trees, depth, d, above)), "cls long, size int, nodes binary, leaves binary"), "cls")
+        width = 4 * (depth - d)
+        leaf = F.substring("leaves", F.col("tree") * width + 1, F.lit(width)) if width else F.lit(None).cast("binary")
+        wide = wide.select("cell", "tree", "cls", "block", "low", "high", "size", "nodes", leaf.alias("leaf")).repartition("cell").sortWithinPartitions("cell", "leaf", "cls").drop("leaf")
+        new = materialize(wide.mapInArrow(lean(_candidates(trees, not first, threshold)), "cell long, a long, b long"))
         if not new.head(1):
-            return new.select("a", "b", F.lit(1.0).alias("jaccard")).limit(0), sets, have
-        # exact sets are made once, for all classes that share a prefix of 3 (or the present length, where that is less)
-        floor = min(d, 3)
-        if sets is None or have > floor:
-            sets, have = self._sets(docs, n, trees, depth, floor), floor
+            return new.select("a", "b", F.lit(1.0).alias("jaccard")).limit(0)
         who = new.select("cell", F.col("a").alias("cls")).union(new.select("cell", F.col("b"))).distinct()
+        sets = self._sets(docs, n, who.select("cls").distinct())
         left = who.join(sets, "cls").select("cell", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
         both = left.unionByName(new.withColumn("shingles", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
-        return materialize(both.mapInArrow(lean(_verifier(threshold)), "a long, b long, jaccard double")), sets, have
-
-    def _sets(self, docs, n, trees, depth, d):
-        narrow = self.classes.select("cls", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, cls long")
-        crowd = narrow.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select("node")
-        need = small_side(materialize(self.classes.select("cls", "doc_id", "text_hash").join(narrow.join(crowd, "node").select("cls").distinct(), "cls")))
+        true = materialize(both.mapInArrow(lean(_verifier(threshold)), "a long, b long, jaccard double"))
+        discard(sets)
+        discard(new)
+        return true
+
+    def _sets(self, docs, n, who):
+        """(cls, shingles) of the classes that have a candidate, from their first documents' texts."""
+        need = materialize(self.classes.select("cls", "doc_id", "text_hash").join(who, "cls"))
         keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-        rows = keyed.join(need, ["doc_id", "text_hash"]).select("cls", "text")
-        return materialize(rows.mapInArrow(lean(_setter(n)), "cls long, shingles binary").dropDuplicates(["cls"]))
+        rows = keyed.join(small_side(need), ["doc_id", "text_hash"]).select("cls", "text")
+        sets = materialize(rows.mapInArrow(lean(_setter(n)), "cls long, shingles binary").dropDuplicates(["cls"]))
+        discard(need)
+        return sets
 
 
-def join(docs: DataFrame, list_rows: int = 10_000, **parameters) -> DataFrame:
-    """kind ``near``: two classes' first documents and their Jaccard; kind ``same``: a class's first document with its others.
-
-    ``doc_ids`` has all documents a row speaks of. A class of more than
-    ``list_rows`` documents takes several rows, each with its first document.
-    """
+def join(docs: DataFrame, **parameters) -> DataFrame:
+    """(kind, doc_id_a, doc_id_b, jaccard): kind ``same`` pairs a class's first document with each other one, ``near`` the first documents of two classes."""
     f = Forest(docs, **parameters)
-    rep = f.classes.select("cls", F.col("doc_id").alias("rep"))
+    rep = f.classes.select("cls", F.col("doc_id").alias("rep"), F.col("text_hash").alias("rh"))
     near = f.pairs.join(rep.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
-    near = near.select(F.lit("near").alias("kind"), F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard", F.sort_array(F.array("ra", "rb")).alias("doc_ids"))
-    rows = f.members.select("cls", "doc_id", "text_hash").distinct()
-    many = rows.groupBy("cls").agg(F.count("*").alias("m")).filter("m > 1")
-    rest = rows.join(many, "cls").join(f.classes.select("cls", F.col("doc_id").alias("rep"), F.col("text_hash").alias("rh")), "cls").filter("doc_id <> rep or text_hash <> rh")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / list_rows)).alias("part")
-    same = rest.groupBy("cls", "rep", part).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    same = same.select(F.lit("same").alias("kind"), F.col("rep").alias("doc_id_a"), F.element_at("ids", 1).alias("doc_id_b"), F.lit(1.0).alias("jaccard"), F.concat(F.array("rep"), "ids").alias("doc_ids"))
+    near = near.select(F.lit("near").alias("kind"), F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
+    rest = f.members.distinct().join(rep, "cls").filter("doc_id <> rep or text_hash <> rh")
+    same = rest.select(F.lit("same").alias("kind"), F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(same)
 
 
@@ -308,6 +314,7 @@ def components(edges: DataFrame) -> DataFrame:
         label = nxt.select("cls", "root")
 
 
+@own_names
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     """One document of each group of near copies (its least id) stays; all columns are kept.
 

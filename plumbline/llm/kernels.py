@@ -7,6 +7,7 @@ loads. Batches are cut by bytes, so that memory doesn't follow the row count.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ U64 = np.uint64
 _SPACE = np.ones(256, dtype=bool)
 _SPACE[: 0x21] = False
 _SPACE[0x7F] = False
+#: Of folded texts that aren't ASCII: what is no letter, mark or digit parts words, and letters of scripts without spaces are words.
+_PARTS = r"[^\p{L}\p{M}\p{N}]+"
+_SINGLE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 _ALNUM = np.zeros(256, dtype=bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _ALNUM[_a:_b] = True
@@ -67,10 +71,14 @@ class Words:
     """Words of a string array: ``start``/``end`` bytes, ``doc`` index, ``hash``, and ``first`` word of each document."""
 
     def __init__(self, texts: pa.Array, fold: bool = False):
-        """fold: lower-case words of letters and digits; else what stands between white space."""
+        """fold: lower-case words of letters and digits of any script; else what stands between white space."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if fold:
             texts = pc.utf8_lower(texts)
+            wide = pc.invert(pc.string_is_ascii(texts))
+            if pc.any(wide).as_py():
+                spaced = pc.replace_substring_regex(pc.replace_substring_regex(texts.filter(wide), _PARTS, " "), _SINGLE, r" \1 ")
+                texts = pc.replace_with_mask(texts, wide, spaced)
         joined = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
         n = len(joined)
         offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + n + 1]
@@ -144,6 +152,27 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(run):
+    """For a function that keeps its table's columns: those named ``_pl_*``, as its own are, go by other names meanwhile."""
+
+    @functools.wraps(run)
+    def inner(docs: DataFrame, *args, **parameters) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        names: dict[str, str] = {}
+        for c in docs.columns:
+            if c.lower().startswith("_pl_"):
+                other = f"own{c}"
+                while other.lower() in taken:
+                    other = f"own_{other}"
+                taken.add(other.lower())
+                names[c] = other
+        if not names:
+            return run(docs, *args, **parameters)
+        return run(docs.withColumnsRenamed(names), *args, **parameters).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return inner
+
+
 #: A written table of at most so many (narrow) rows is broadcast.
 BROADCAST_ROWS = 1_000_000
 
