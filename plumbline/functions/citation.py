@@ -56,28 +56,38 @@ def section_link(base: str, date: Column, title: Column, section: Column) -> Col
     return F.concat_ws("/", F.lit(base), F.date_format(date, "yyyy-MM-dd"), F.concat(F.lit("title-"), title.cast("string")), F.concat(F.lit("section-"), section))
 
 
-_QUERIES = (
-    (r"(?i)^\s*(\d{1,2})\s+CFR\s+part\s+(\d+[a-z]?)\s*$", "part"),
-    (r"(?i)^\s*title\s+(\d{1,2})\s*,?\s+part\s+(\d+[a-z]?)\s*$", "part"),
-    (r"(?i)^\s*title\s+(\d{1,2})\s*,?\s+chapter\s+([ivxlcdm]+)\s*$", "chapter"),
-    (r"(?i)^\s*(\d{1,2})\s+CFR\s+chapter\s+([ivxlcdm]+)\s*$", "chapter"),
-    (r"(?i)^\s*(\d{1,2})\s+CFR\s+§?\s*(\d+[a-z]?\.\d+[a-z0-9-]*)\s*$", "section"),
-    (r"(?i)^\s*(\d{1,2})\s+CFR\s+(\d+[a-z]?)\s*$", "part"),
-    (r"(?i)^\s*title\s+(\d{1,2})()\s*$", "title"),
-    (r"(?i)^\s*(\d{1,2})\s+CFR()\s*$", "title"),
+_WORD, _NUMBER = r"([0-9a-z]{1,8})", r"([0-9]{1,4}[a-z]?)"
+_FORMS = (
+    r"(?i)^(?:(\d{1,2})\s*cfr\s*(?:(?:§\s*)?(\d{1,4}[a-z]?\.[0-9a-z]{1,12}(?:-[0-9a-z]{1,12}){0,4})"
+    rf"|(?:part|pt\.?)\s*{_NUMBER}|(?:chapter|ch\.?)\s*{_WORD}|(?:subchapter|subch\.?)\s*{_WORD}|subtitle\s*{_WORD}|{_NUMBER})|title[\s-]*(\d{{1,2}})"
+    rf"|title-(\d{{1,2}})(?:/subtitle-{_WORD})?(?:/chapter-{_WORD})?(?:/subchapter-{_WORD})?(?:/part-{_NUMBER})?)$"
 )
+#: The pattern's groups that a level may come from.
+_GROUPS = {"title": (1, 8, 9), "section": (2,), "part": (3, 7, 13), "chapter": (4, 11), "subchapter": (5, 12), "subtitle": (6, 10)}
 
 
 def parse_query(q: Column) -> Column:
-    """(title, level, identifier) of a citation typed by a reader: the first form that fits; titles 1 to 50, at most 64 characters.
+    """(title, a column a level, level, identifier) of a citation typed by a reader, or of a scope's key; null for any other text.
 
-    A section's citation carries no part, so it resolves to its title.
+    ``level`` and ``identifier`` are what it resolves to: the narrowest one named,
+    and the title for a section, whose citation carries no part. Titles are 1 to
+    50, at most 64 characters are read; letters of all but parts and sections are upper case.
     """
-    options = []
-    for pattern, level in _QUERIES:
-        title = F.regexp_extract(q, pattern, 1).try_cast("int")
-        options.append(F.when(q.rlike(pattern) & title.between(1, 50), F.struct(title.alias("title"), F.lit(level).alias("level"), F.upper(F.regexp_extract(q, pattern, 2)).alias("identifier"))))
-    return F.when(F.length(q) <= 64, F.coalesce(*options))
+    q = F.trim(q)
+    # all groups by one match
+    groups = F.split(F.regexp_replace(q, _FORMS, "\x01".join(f"${k}" for k in range(1, 14))), "\x01")
+
+    def struct(g: Column) -> Column:
+        value = {k: blank(F.concat(*[F.element_at(g, i) for i in at])) for k, at in _GROUPS.items()}
+        value |= {k: F.upper(value[k]) for k in ("chapter", "subchapter", "subtitle")}
+        level = F.coalesce(*[F.when(value[k].isNotNull(), F.lit(k)) for k in reversed(LEVELS)], F.lit("title"))
+        title = value["title"].cast("int")
+        ident = F.coalesce(*[value[k] for k in reversed(LEVELS)], title.cast("string"))
+        return F.struct(title.alias("title"), *[value[k].alias(k) for k in (*LEVELS, "section")], level.alias("level"), ident.alias("identifier"))
+
+    cited = q.rlike(_FORMS) & F.length(q).between(1, 64)
+    found = F.filter(F.transform(F.when(cited, F.array(groups)), struct), lambda x: x["title"].between(1, 50))
+    return F.try_element_at(found, F.lit(1))
 
 
 def ancestors(citation: Column) -> Column:

@@ -24,15 +24,24 @@ BREAKS = STRUCTURE | frozenset(
 _ENTITY = re.compile(r"&(?!amp;|lt;|gt;|quot;|apos;|#)([A-Za-z][A-Za-z0-9]*);")
 
 
-def parse(content: str | bytes | None) -> ET.Element | None:
-    """The tree with upper-case names, or None where it isn't well-formed or is too large. HTML entities are decoded."""
-    if not content or len(content) > MAX_XML_BYTES:
+def parse(content: str | bytes | None, why: list[tuple[str, str]] | None = None) -> ET.Element | None:
+    """The tree with upper-case names, or None where it isn't well-formed or is too large. HTML entities are decoded.
+
+    ``why`` gets (status, reason) of what couldn't be parsed.
+    """
+    why = [] if why is None else why
+    if not content:
+        why.append(("unavailable_fetch_failed", "there is no XML"))
+        return None
+    if len(content) > MAX_XML_BYTES:
+        why.append(("unavailable_too_large", f"{len(content)} bytes exceed {MAX_XML_BYTES}"))
         return None
     text = content.decode("utf-8", "replace") if isinstance(content, bytes) else content
     text = _ENTITY.sub(lambda m: html.escape(html.unescape(m[0]), quote=False) if html.unescape(m[0]) != m[0] else m[0].replace("&", "&amp;"), text)
     try:
         root = ET.fromstring(text)
-    except ET.ParseError:
+    except ET.ParseError as e:
+        why.append(("unavailable_parse_failed", f"XML did not parse: {e}"))
         return None
     for e in root.iter():
         if isinstance(e.tag, str):
@@ -70,11 +79,16 @@ def countable(e: ET.Element, own: bool = False, excluded: bool = False) -> str:
 NODES = "citation string, parent_citation string, node_type string, identifier string, head string, ordinal int, depth int, doc_pos int, reserved boolean, text string, own_text string, excluded_text string, xml_bytes bigint"
 
 
-def nodes(content: str | bytes | None, root_citation: str = "") -> list[tuple]:
-    """Structure nodes in document order, paths as keys; a node without N is ``@ordinal``."""
-    root = parse(content)
+#: The ``node_type`` of the row that stands for a document that couldn't be parsed; ``head`` is its status, ``text`` the reason.
+FAILED = "failed"
+
+
+def nodes(content: str | bytes | None, root_citation: str = "", failures: bool = False) -> list[tuple]:
+    """Structure nodes in document order, paths as keys; a node without N is ``@ordinal``. failures: a row for a document that can't be parsed."""
+    why: list[tuple[str, str]] = []
+    root = parse(content, why)
     if root is None:
-        return []
+        return [(None, None, FAILED, None, s, 0, 0, 0, False, r, None, None, 0) for s, r in why] if failures else []
     from .text import _DIVISIONS, _TYPES
 
     rows: list[tuple] = []
@@ -102,8 +116,8 @@ def nodes(content: str | bytes | None, root_citation: str = "") -> list[tuple]:
     return rows
 
 
-def xml_nodes(files: DataFrame, content: str = "content", root: str | None = None) -> DataFrame:
-    """One row a structure node of each document; other columns of ``files`` (but the content) come along as ``file``-side keys."""
+def xml_nodes(files: DataFrame, content: str = "content", root: str | None = None, failures: bool = False) -> DataFrame:
+    """One row a structure node of each document (with ``failures`` also one of type ``FAILED`` for each that can't be parsed); other columns of ``files`` (but the content) come along as ``file``-side keys."""
     keys = [c for c in files.columns if c not in (content, root)]
     schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c in keys)
 
@@ -112,7 +126,7 @@ def xml_nodes(files: DataFrame, content: str = "content", root: str | None = Non
         for pdf in it:
             rows = []
             for r in pdf.to_dict("records"):
-                rows += [tuple(r[k] for k in keys) + n for n in nodes(r[content], r[root] if root else "")]
+                rows += [tuple(r[k] for k in keys) + n for n in nodes(r[content], r[root] if root else "", failures)]
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     return files.mapInPandas(run, ", ".join(x for x in (schema, NODES) if x))
@@ -192,6 +206,18 @@ def section_lines(content: str | bytes | None, section: str) -> tuple[list[str],
     return out, target is not None, bool("".join(root.itertext()).strip())
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("html", "heading", "authority", "source")]))
+def rendered(content: pd.Series) -> pd.DataFrame:
+    """``to_html`` of a column; all fields are null where there is nothing to parse."""
+    return pd.DataFrame([to_html(x) or {} for x in content], columns=["html", "heading", "authority", "source"], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("found", T.BooleanType()), T.StructField("has_text", T.BooleanType())]))
+def lines_of_section(content: pd.Series, section: pd.Series) -> pd.DataFrame:
+    """``section_lines`` of two columns."""
+    return pd.DataFrame([section_lines(x, s) for x, s in zip(content, section)], columns=["lines", "found", "has_text"])
+
+
 class _Html:
     """Text of loose HTML: blocks end lines; scripts and styles are left out."""
 

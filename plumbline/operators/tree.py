@@ -38,20 +38,22 @@ def flatten_structure(trees: DataFrame, root: str = "") -> DataFrame:
     return trees.select("json").mapInPandas(run, FLAT)
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", limit: int = 100) -> DataFrame:
-    """(ancestor, descendant) pairs of a hierarchy, each vertex with itself; a cycle's vertices are met once."""
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(ancestor, descendant) pairs of a hierarchy of any depth, each vertex with itself; a cycle's vertices are met once.
+
+    Paths double: each round joins what the last one found with all pairs so far, so a chain of n takes log n rounds.
+    """
     e = edges.select(F.col(child).alias("c"), F.col(parent).alias("p"))
     vertices = e.select("c").union(e.select("p")).filter("c is not null").distinct()
     e = e.filter("p is not null")
-    total = vertices.select(F.col("c").alias("ancestor"), F.col("c").alias("descendant"))
-    front = total
-    for _ in range(limit):
-        step = front.join(e, front["descendant"] == e["p"]).select("ancestor", F.col("c").alias("descendant")).distinct()
-        front = settle(step.join(total, ["ancestor", "descendant"], "left_anti"))
-        if not front.head(1):
-            return total
-        total = total.unionByName(front)
-    return total
+    known = settle(e.filter("c <> p").select(F.col("p").alias("ancestor"), F.col("c").alias("descendant")).distinct())
+    while True:
+        onward = known.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("far"))
+        more = known.join(onward, "descendant").select("ancestor", F.col("far").alias("descendant")).filter("ancestor <> descendant")
+        step = settle(more.distinct().join(known, ["ancestor", "descendant"], "left_anti"))
+        if not step.head(1):
+            return vertices.select(F.col("c").alias("ancestor"), F.col("c").alias("descendant")).unionByName(known)
+        known = settle(known.unionByName(step))
 
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:
@@ -67,9 +69,11 @@ def roll_up(nodes: DataFrame) -> DataFrame:
     children and own text, all or nothing; then, without children, own text,
     reserved (0), declared empty (0), unknown. A direct node hides what is below
     it from the nodes at or above it. No level loop: contributors are exploded
-    to their ancestors and summed once.
+    to their ancestors and summed once. ``fault``, where there is one, is the
+    struct (status, reason) of why a leaf couldn't be measured.
     """
-    n = nodes.select("citation", "parent_citation", "direct", "own", "reserved", "xml_bytes")
+    fault = F.col("fault") if "fault" in nodes.columns else F.lit(None).cast("struct<status:string,reason:string>").alias("fault")
+    n = nodes.select("citation", "parent_citation", "direct", "own", "reserved", "xml_bytes", fault)
     parents = n.filter("parent_citation is not null").groupBy("parent_citation").agg(F.count("*").alias("kids")).withColumnRenamed("parent_citation", "pc")
     n = n.join(parents, n["citation"] == parents["pc"], "left").drop("pc").withColumn("kids", F.coalesce("kids", F.lit(0)))
     none = F.struct(F.lit(None).cast("bigint").alias("words"), F.lit(False).alias("known"))
@@ -97,7 +101,9 @@ def roll_up(nodes: DataFrame) -> DataFrame:
         .when(F.col("own").isNotNull(), F.when(F.col("own.known"), "counted").otherwise("not_computed"))
         .when(F.col("reserved"), "reserved_empty").when(F.col("xml_bytes") == 0, "structurally_empty").otherwise("not_computed")
     )
-    reason = F.when(F.col("words").isNull(), F.when((F.col("kids") > 0) & F.col("direct").isNull(), F.format_string("%d of %d parts unknown", F.col("_bad") + own_bad, F.col("_all") + own_all)).otherwise(F.concat(F.lit("not measured: "), F.col("citation"))))
+    lost = F.col("words").isNull() & (F.col("kids") == 0) & F.col("fault").isNotNull()
+    status = F.when(lost, F.col("fault.status")).otherwise(status)
+    reason = F.when(lost, F.col("fault.reason")).when(F.col("words").isNull(), F.when((F.col("kids") > 0) & F.col("direct").isNull(), F.format_string("%d of %d parts unknown", F.col("_bad") + own_bad, F.col("_all") + own_all)).otherwise(F.concat(F.lit("not measured: "), F.col("citation"))))
     return out.select("citation", "words", status.alias("status"), reason.alias("reason"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import citation as C
 from ..functions import measure as M
 from ..functions import text as T
-from ..functions.xmltext import xml_nodes
+from ..functions.xmltext import FAILED, xml_nodes
 from ..operators import jurisdiction, tree
 from ..sources.shared import settle
 from ..sources.tables import Warehouse
@@ -35,18 +35,29 @@ def scoped(nodes: DataFrame) -> DataFrame:
 def measure(structure: DataFrame, xml: DataFrame) -> DataFrame:
     """Nodes of the structure with ``direct`` (leaves) and ``own`` (containers) measurements from parsed XML.
 
-    A node is found by (part, type, identifier), exact case before folded. What
-    the XML doesn't have stays unmeasured: it isn't zero.
+    A node is found by (title, part, type, identifier), exact case before folded.
+    The title of an XML node is that of its path in the document, else that of
+    the document's file (``title-1/...``, ``title=1/...``, ``title-1.xml``), else
+    that of the one title that has its part; without any it measures nothing.
+    What the XML doesn't have stays unmeasured: it isn't zero. Leaves of a title
+    of which a document couldn't be read have that as their ``fault``.
     """
+    title = lambda c: F.nullif(F.regexp_extract(c, r"(?:^|/)title[-_=]([^/.]+)", 1), F.lit(""))
     part = lambda c: F.regexp_extract(c, r"(?:^|/)(part-[^/]+)", 1)
-    x = xml.select(part(F.col("citation")).alias("x_part"), F.col("node_type").alias("x_type"), F.col("identifier").alias("x_id"), F.upper("identifier").alias("folded"), T.count_words(F.col("text")).alias("w"), T.count_words(F.col("own_text")).alias("ow"), F.col("doc_pos").alias("x_pos"))
-    s = structure.withColumn("s_part", part(F.col("citation"))).withColumn("s_folded", F.upper("identifier"))
-    on = (s["s_part"] == x["x_part"]) & (s["node_type"] == x["x_type"]) & (s["s_folded"] == x["folded"])
+    path = title(F.col("path")) if "path" in xml.columns else F.lit(None).cast("string")
+    failed = xml.filter(F.col("node_type") == FAILED).select(path.alias("f_title"), F.struct(F.col("head").alias("status"), F.col("text").alias("reason")).alias("fault"))
+    failed = failed.filter("f_title is not null").groupBy("f_title").agg(F.min("fault").alias("fault"))
+    xml = xml.filter(F.col("node_type") != FAILED)
+    x = xml.select(F.coalesce(title(F.col("citation")), path).alias("x_title"), part(F.col("citation")).alias("x_part"), F.col("node_type").alias("x_type"), F.col("identifier").alias("x_id"), F.upper("identifier").alias("folded"), T.count_words(F.col("text")).alias("w"), T.count_words(F.col("own_text")).alias("ow"), F.col("doc_pos").alias("x_pos"))
+    s = structure.withColumn("s_title", F.coalesce(title(F.col("citation")), F.lit(""))).withColumn("s_part", part(F.col("citation"))).withColumn("s_folded", F.upper("identifier"))
+    only = s.groupBy(F.col("s_part").alias("u_part")).agg(F.min("s_title").alias("u_title"), F.max("s_title").alias("u_last")).filter("u_title = u_last").drop("u_last")
+    x = x.join(only, F.col("x_title").isNull() & (F.col("x_part") == F.col("u_part")), "left").withColumn("x_title", F.coalesce("x_title", "u_title")).drop("u_part", "u_title")
+    on = (s["s_title"] == x["x_title"]) & (s["s_part"] == x["x_part"]) & (s["node_type"] == x["x_type"]) & (s["s_folded"] == x["folded"])
     hit = s.join(x, on).groupBy("citation").agg(F.min_by(F.struct("w", "ow"), F.struct((F.col("x_id") != F.col("identifier")).alias("f"), F.col("x_pos").alias("p"))).alias("h"))
-    j = structure.join(hit, "citation", "left")
+    j = structure.join(hit, "citation", "left").join(failed, title(F.col("citation")) == F.col("f_title"), "left").drop("f_title")
     known = lambda w: F.when(w.isNotNull(), F.struct(w.alias("words"), F.lit(True).alias("known")))
     leaf = C.is_leaf(F.col("node_type"))
-    return j.withColumn("direct", F.when(leaf & ~F.col("reserved"), known(F.col("h.w")))).withColumn("own", F.when(~leaf, known(F.col("h.ow")))).drop("h")
+    return j.withColumn("direct", F.when(leaf & ~F.col("reserved"), known(F.col("h.w")))).withColumn("own", F.when(~leaf, known(F.col("h.ow")))).withColumn("fault", F.when(leaf & ~F.col("reserved"), F.col("fault"))).drop("h")
 
 
 @dataclass
@@ -62,7 +73,7 @@ class Inputs:
 
 def build(inputs: Inputs, previous: DataFrame | None = None, refetched: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a run. With ``previous`` nodes and ``refetched`` parts, what lies outside these is carried forward."""
-    found = measure(inputs.structure, xml_nodes(inputs.xml.select("content")))
+    found = measure(inputs.structure, settle(xml_nodes(inputs.xml.select("path", "content"), failures=True)))
     if previous is not None and refetched is not None:
         inside = tree.with_ancestors(found.select("citation")).join(refetched.select(F.col("citation").alias("root")).distinct(), F.col("ancestor") == F.col("root"), "left_semi").select("citation", F.lit(True).alias("fresh")).distinct()
         old = previous.select("citation", F.struct("words", F.col("words").isNotNull().alias("known")).alias("was"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import citation as C
 from ..functions import measure as M
 from ..functions import scalar as S
 from ..functions import text as T
-from ..operators import jurisdiction, series
+from ..operators import jurisdiction, series, tree
 
 Tables = dict[str, DataFrame]
 
@@ -62,33 +64,46 @@ def structure(t: Tables, root: str, depth: int | None = None, limit: int = 1000)
 def part(t: Tables, title: int, number: str) -> DataFrame:
     """A part with counts of what is below it and the organisations that cover it."""
     n = t["structure_node"].filter((F.col("node_type") == "part") & (F.col("identifier") == number) & F.col("citation").startswith(f"title-{title}/")).orderBy("citation").limit(1)
-    below = t["structure_node"].join(n.select(F.col("citation").alias("p")), F.col("citation").startswith(F.concat(F.col("p"), F.lit("/")))).groupBy("p").agg(*[F.count_if(F.col("node_type") == k).alias(f"{k}s") for k in ("section", "subpart", "appendix")])
+    inside = t["structure_node"].filter(F.col("citation").startswith(f"title-{title}/"))  # pushed to the scan; the part is then met by an equi-join
+    below = tree.with_ancestors(inside.select("citation", "node_type")).join(F.broadcast(n.select(F.col("citation").alias("p"))), F.col("ancestor") == F.col("p")).groupBy("p").agg(*[F.count_if(F.col("node_type") == k).alias(f"{k}s") for k in ("section", "subpart", "appendix")])
     levels = [F.nullif(F.regexp_extract("citation", rf"(?:^|/){k}-([^/]+)", 1), F.lit("")).alias(k) for k in C.LEVELS]
     who = jurisdiction.covering(n.select(F.col("citation").alias("part_key"), F.lit(title).alias("title"), *levels), t["agency_cfr_reference"]).groupBy("part_key").agg(F.array_sort(F.collect_list("slug")).alias("agencies"))
     return n.join(below, F.col("citation") == F.col("p"), "left").join(who, F.col("citation") == F.col("part_key"), "left").drop("p", "part_key")
 
 
-def search(t: Tables, q: str, limit: int = 20) -> DataFrame:
-    """(kind, id, label): the cited node first, then organisations, titles, nodes; beginnings before other matches."""
+SEARCHED = ("chapter", "subchapter", "subtitle", "part")
+
+
+def resolve(t: Tables, q: str) -> DataFrame:
+    """The node that a citation names, or no row: a part by its number, else the narrowest level named, a section by its title."""
     node = t["structure_node"]
-    cited = node.sparkSession.range(1).select(C.parse_query(F.lit(q)).alias("c")).filter("c is not null")
-    want = cited.select("c.title", F.when(F.col("c.level").isin("part", "chapter"), F.col("c.level")).otherwise("title").alias("level"), F.when(F.col("c.level").isin("part", "chapter"), F.col("c.identifier")).otherwise(F.col("c.title").cast("string")).alias("ident"))
-    n = node.withColumn("n_title", F.regexp_extract("citation", r"^title-(\d+)", 1).try_cast("int"))
-    hit = n.join(F.broadcast(want), (F.col("n_title") == F.col("title")) & (F.col("node_type") == F.col("level")) & (F.upper("identifier") == F.col("ident")))  # one row
-    hit = hit.orderBy("citation").limit(1)
-    first = lambda c: F.when(F.lower(c).startswith(q.lower()), 0).otherwise(1)
-    rows = [
-        hit.select(F.lit(0).alias("k"), F.lit(0).alias("r"), F.lit("citation").alias("kind"), F.col("citation").alias("id"), "label"),
-        t["agency"].filter(T.contains_folded(F.col("display_name"), q)).select(F.lit(1).alias("k"), first(F.col("display_name")).alias("r"), F.lit("agency").alias("kind"), F.col("slug").alias("id"), F.col("display_name").alias("label")),
-        t["title"].filter(T.contains_folded(F.col("name"), q)).select(F.lit(2).alias("k"), first(F.col("name")).alias("r"), F.lit("title").alias("kind"), F.concat(F.lit("title-"), F.col("number").cast("string")).alias("id"), F.col("name").alias("label")),
-    ]
-    kind_rank = F.when(F.col("node_type") == "chapter", 0).when(F.col("node_type") == "part", 1).when(F.col("node_type") == "section", 2).otherwise(3)
-    others = node.filter((F.col("node_type") != "title") & T.contains_folded(F.coalesce("label", F.lit("")), q)).join(hit.select("citation"), "citation", "left_anti")
-    rows.append(others.select(F.lit(3).alias("k"), kind_rank.alias("r"), F.lit("node").alias("kind"), F.col("citation").alias("id"), "label"))
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    return out.orderBy("k", "r", "label", "id").limit(limit).select("kind", "id", "label")
+    want = node.sparkSession.range(1).select(C.parse_query(F.lit(q)).alias("c")).filter("c is not null").select(F.concat(F.lit("title-"), F.col("c.title").cast("string")).alias("w_title"), F.col("c.level").alias("w_level"), F.col("c.identifier").alias("w_id"))
+    key = F.split_part("citation", F.lit("/"), F.lit(1))
+    hit = node.join(F.broadcast(want), (key == F.col("w_title")) & (F.col("node_type") == F.col("w_level")) & (F.col("identifier") == F.col("w_id")))  # one row
+    return hit.drop("w_title", "w_level", "w_id").orderBy("citation").limit(1)
+
+
+def search(t: Tables, q: str, limit: int = 20, kind: str = "all") -> DataFrame:
+    """(kind, id, label), ranked, at most ``limit``: the cited node, then organisations, titles and nodes whose names contain ``q``.
+
+    Organisations are found by any of their names, those whose display name begins
+    with ``q`` first; titles by number; of nodes chapters, subchapters, subtitles and
+    parts by label, in this order. Sections are found by citation alone.
+    """
+    none = F.lit(0)
+    begins = F.when(F.startswith(F.lower("display_name"), F.lower(F.lit(q))), 0).otherwise(1)
+    rank = F.coalesce(*[F.when(F.col("node_type") == x, i) for i, x in enumerate(SEARCHED)])
+    has = lambda c: F.coalesce(T.contains_folded(F.col(c), q), F.lit(False))
+    number = F.regexp_extract("citation", r"^title-(\d+)", 1).try_cast("int")
+    cited = resolve(t, q)
+    found = {
+        "citation": cited.select(none.alias("r"), none.alias("n"), F.lit("").alias("s"), F.col("citation").alias("id"), "label"),
+        "agency": t["agency"].filter(has("name") | has("short_name") | has("display_name")).select(begins.alias("r"), none.alias("n"), F.coalesce("sortable_name", F.lit("")).alias("s"), F.col("slug").alias("id"), F.col("display_name").alias("label")),
+        "title": t["title"].filter(has("name")).select(none.alias("r"), F.col("number").alias("n"), F.lit("").alias("s"), F.concat(F.lit("title-"), F.col("number").cast("string")).alias("id"), F.col("name").alias("label")),
+        "node": t["structure_node"].filter(F.col("node_type").isin(*SEARCHED) & has("label")).join(F.broadcast(cited.select("citation")), "citation", "left_anti").select(rank.alias("r"), number.alias("n"), F.lit("").alias("s"), F.col("citation").alias("id"), "label"),
+    }
+    rows = [df.select(F.lit(i).alias("k"), F.lit(name).alias("kind"), "r", "n", "s", "id", "label") for i, (name, df) in enumerate(found.items()) if kind in ("all", name) or name == "citation" and kind != "agency"]
+    return reduce(DataFrame.unionByName, rows).orderBy("k", "r", "n", "s", "id").limit(limit).select("kind", "id", "label")
 
 
 def overlap(t: Tables, sort: str = "agencies", limit: int = 50, offset: int = 0) -> DataFrame:
@@ -107,13 +122,19 @@ def amendments(t: Tables, title: int | None = None, part: str | None = None, sin
 
 
 def corpus(t: Tables) -> DataFrame:
-    """One row of totals; the sum of words is null where any organisation's is."""
-    r, n = t["agency_rollup"], t["structure_node"]
-    return (
-        n.agg(F.count("*").alias("nodes"), M.missing(F.col("words")).alias("unknown"), F.count_if(F.col("status") == "reserved_empty").alias("reserved"), F.count_if(C.is_leaf(F.col("node_type"))).alias("leaves"))
-        .crossJoin(r.agg(F.count("*").alias("agencies"), M.all_or_nothing(F.col("deduplicated")).alias("deduplicated"), F.count_if(F.col("coverage") < 1).alias("partial_agencies")))
-        .crossJoin(t["scope_overlap"].agg(F.count("*").alias("shared_scopes"))).crossJoin(t["title"].agg(F.count("*").alias("titles")))
+    """One row of totals; a sum of words is null where any of its parts is."""
+    n, r = t["structure_node"], t["agency_rollup"]
+    kind = lambda k, name: F.count_if(F.col("node_type") == k).alias(name)
+    shared = t["scope_overlap"].join(n.select(F.col("citation").alias("ref_key"), "words"), "ref_key", "left")
+    history = t["amendment"].agg(F.count("*").alias("amendments")) if "amendment" in t else n.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("amendments"))
+    parts = (
+        n.agg(F.count("*").alias("nodes"), M.missing(F.col("words")).alias("unknown"), F.count_if(F.col("status") == "reserved_empty").alias("reserved"), F.count_if(C.is_leaf(F.col("node_type"))).alias("leaves"), kind("chapter", "chapters"), kind("part", "parts"), kind("section", "sections")),
+        r.agg(F.count("*").alias("agencies"), M.all_or_nothing(F.col("deduplicated")).alias("deduplicated"), M.all_or_nothing(F.col("attributed")).alias("attributed"), F.count_if(F.col("coverage") < 1).alias("partial_agencies")),
+        shared.agg(F.count("*").alias("shared_scopes"), M.all_or_nothing(F.col("words")).alias("shared")),
+        t["title"].agg(F.count("*").alias("titles"), F.count_if(F.coalesce("reserved", F.lit(False))).alias("titles_reserved")),
+        t["agency_cfr_reference"].agg(F.count("*").alias("refs_total")), history,
     )
+    return reduce(DataFrame.crossJoin, parts)  # of one row each
 
 
 def quality(t: Tables, sample: int = 50) -> DataFrame:

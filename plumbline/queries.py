@@ -9,6 +9,7 @@ items are stored and fresh structures.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .functions import measure as M
 from .functions import scalar as S
 from .functions import text as T
 from .operators import diffs, jurisdiction, packing, series, tree
-from .plans import delta
+from .plans import delta, reads
 from .sources import tables as K
 from .streaming import incremental
 
@@ -686,13 +687,6 @@ def t05_natural_order(t):
     return p.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(T.natural_key(F.col("label")), "p_partkey")).cast("bigint")).drop("label")
 
 
-@query("select p_partkey, row_number() over (order by case when starts_with(lower(p_name), 'bl') then 0 else 1 end, p_name, p_partkey) as place from part where contains(lower(p_name), 'bl')")
-def t06_search_rank(t):
-    p = t("part").filter(T.contains_folded(F.col("p_name"), "bl"))
-    rank = F.when(F.lower("p_name").startswith("bl"), 0).otherwise(1)
-    return p.select("p_partkey", F.row_number().over(Window.partitionBy().orderBy(rank, "p_name", "p_partkey")).cast("bigint").alias("place"))
-
-
 @query("select n_name, n from (select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name) where n is not null order by n desc, n_name limit 12")
 def t08_top_twelve(t):
     g = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
@@ -725,13 +719,6 @@ def u03_distinct_claims(t):
     return t("lineitem").select("l_orderkey", "l_linenumber").dropDuplicates(["l_orderkey", "l_linenumber"])
 
 
-@query("select kind, id from (select 0 as k, 'nation' as kind, n_nationkey::bigint as id from nation union all select 1, 'supplier', s_suppkey from supplier union all select 2, 'customer', c_custkey from customer) order by k, id limit 40")
-def u04_ranked_concatenation(t):
-    parts = [(t("nation"), "nation", "n_nationkey"), (t("supplier"), "supplier", "s_suppkey"), (t("customer"), "customer", "c_custkey")]
-    rows = [df.select(F.lit(k).alias("k"), F.lit(n).alias("kind"), F.col(c).cast("bigint").alias("id")) for k, (df, n, c) in enumerate(parts)]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).orderBy("k", "id").limit(40).drop("k")
-
-
 @query(f"with {SIZES_SQL} select citation from stored except select citation from fresh")
 def u05_removed_citations(t):
     stored, fresh = halves(t)
@@ -761,14 +748,21 @@ def f06_f08_citations_and_links(t):
     return t("orders").select("o_orderkey", C.child_citation(F.lit("part-1"), F.lit("section"), F.when(F.col("o_orderkey") % 3 != 0, key), F.col("o_orderkey") % 10).alias("citation"), C.section_link("https://example.org", F.col("o_orderdate"), F.col("o_orderkey") % 50 + 1, key).alias("link"))
 
 
-@query("select o_orderkey, case when n between 1 and 50 then case o_orderkey % 4 when 0 then 'part' when 1 then 'section' when 2 then 'title' end end as level, case when n between 1 and 50 and o_orderkey % 4 <> 3 then n end as title from (select o_orderkey, o_orderkey % 60 as n from orders)")
+_FORMS = (
+    ("N CFR Part 7a", "part", "7a"), ("N cfr § 60.1-2b", "title", "N"), ("Title-N", "title", "N"), ("N USC 9", None, None), ("NCFR pt. 60A", "part", "60A"), ("N CFR ch. iv", "chapter", "IV"), ("N cfr subch. c", "subchapter", "C"), ("N CFR Subtitle b", "subtitle", "B"),
+    (" N CFR 60 ", "part", "60"), ("title-N/chapter-i/part-60", "part", "60"), ("title-N/subtitle-a/chapter-x/subchapter-d", "subchapter", "D"), ("title-N/part-6/chapter-i", None, None), ("N CFR", None, None),
+)
+_FORM_SQL = ", ".join(f"({i}, '{q}', {'null' if lv is None else repr(lv)}, {'null' if x is None else repr(x)})" for i, (q, lv, x) in enumerate(_FORMS))
+
+
+@query(f"select o_orderkey, case when n between 1 and 50 then lv end as level, case when n between 1 and 50 and lv is not null then n end as title, case when n between 1 and 50 then replace(x, 'N', n::varchar) end as identifier from (select o_orderkey, o_orderkey % 60 as n, (o_orderkey % {len(_FORMS)})::int as k from orders) join (values {_FORM_SQL}) f(i, q, lv, x) on i = k")
 def f09_parse_citation_query(t):
     n = F.col("o_orderkey") % 60
-    s = n.cast("string")
-    kind = F.col("o_orderkey") % 4
-    q = F.when(kind == 0, F.concat(s, F.lit(" CFR Part 7a"))).when(kind == 1, F.concat(s, F.lit(" cfr § 60.1"))).when(kind == 2, F.concat(F.lit("Title "), s)).otherwise(F.concat(s, F.lit(" USC 9")))
+    forms = F.array(*[F.lit(q) for q, _, _ in _FORMS])
+    q = F.replace(F.element_at(forms, (F.col("o_orderkey") % len(_FORMS) + 1).cast("int")), F.lit("N"), n.cast("string"))
+    # the letter in "Title-N" and its like is the number alone
     p = C.parse_query(q)
-    return t("orders").select("o_orderkey", p["level"].alias("level"), p["title"].cast("bigint").alias("title"))
+    return t("orders").select("o_orderkey", p["level"].alias("level"), p["title"].cast("bigint").alias("title"), p["identifier"].alias("identifier"))
 
 
 @query("select p_partkey, upper(trim(regexp_replace('§ §' || p_name || ' ', '^[\\s§]+', ''))) as ident, contains(lower('x [ reserved ]'), 'reserved') and p_partkey % 2 = 0 as reserved, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '-', 'g'), 'zzz', '') as slug, p_brand || case when p_partkey % 2 = 0 then '' else '--' || p_type end as label from part")
@@ -898,7 +892,7 @@ def x04_closure(t):
     return tree.closure(e.union(t("region").select(key("r", "r_regionkey"), F.lit(None).cast("string"))))
 
 
-@query()
+@query("with d as (select lang, source, sum(n_chars)::bigint as size from documents group by all), p as (select *, (row_number() over (partition by lang order by source nulls first) - 1)::int as i from d) select 'title-' || lang as citation, null::varchar as parent_citation, 'title' as node_type, lang as identifier, null::varchar as label, false as reserved, null::bigint as xml_bytes, 0 as ordinal, 0 as depth, 0 as doc_pos from p group by lang union all select 'title-' || lang || '/part-' || source, 'title-' || lang, 'part', source, null, false, size, i, 1, i + 1 from p")
 def x05_w09_flatten(t):
     """Nested JSON trees of languages and sources, flattened in pre-order."""
     d = t("documents").groupBy("lang", "source").agg(F.sum("n_chars").alias("size"))
@@ -926,24 +920,33 @@ def x01_x02_x12_measure_xml(t):
     return n.groupBy("doc_id").agg(pick("section", "text").alias("section_words"), pick("part", "text").alias("part_words"), pick("part", "own_text").alias("own_words"), pick("part", "excluded_text").alias("excluded"))
 
 
-@query(f"with s as (select source, min(doc_id) as d from documents where doc_id % 5 = 0 group by source) select s.d as doc_id, documents.source, {words_sql('text')} as words from s join documents on doc_id = s.d")
+_TITLES = "case lang when 'en' then '1' when 'de' then '2' when 'fr' then '3' else '4' end"
+_COPIED = f"d as (select {_TITLES} as title, source, row_number() over (partition by {_TITLES}, source order by doc_id) as k, text from documents where doc_id % 5 = 0)"
+LOADED_SQL = f"""{_COPIED}, s as (select 'title-' || title || '/part-' || source || '/section-' || k as citation, 'title-' || title || '/part-' || source as part, 'title-' || title as title, case when title = '4' then null else {words_sql("text")} end as words from d)"""
+
+
+@query(f"with {LOADED_SQL} select citation, words, case when words is null then 'unavailable_parse_failed' else 'counted' end as status from s union all select part, case when count(*) = count(words) then sum(words)::bigint + 3 end, case when count(*) = count(words) then 'rolled_up' else 'not_computed' end from s group by part union all select title, case when count(*) = count(words) then sum(words)::bigint + 3 * count(distinct part) end, case when count(*) = count(words) then 'rolled_up' else 'not_computed' end from s group by title")
 def j21_x11_process_titles(t):
-    """Structure joined with parsed XML on part, type and identifier."""
+    """Structure measured from XML by title, part, type and identifier: all titles have parts and sections of the same names; the fourth can't be parsed."""
     from .functions.xmltext import xml_nodes
+    from .plans import load
 
-    d = t("documents").filter("doc_id % 5 = 0")
-    want = d.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("source", F.col("doc_id").cast("string").alias("want"), F.lit("section").alias("kind"))
-    n = xml_nodes(d.select("source", document_xml().alias("content"))).filter("node_type = 'section'").select("source", "identifier", "node_type", T.count_words(F.col("text")).alias("words"))
-    j = want.join(n, (want["source"] == n["source"]) & (F.col("want") == F.col("identifier")) & (F.col("kind") == F.col("node_type")))
-    return j.select(F.col("want").cast("bigint").alias("doc_id"), want["source"], "words")
+    d = t("documents").filter("doc_id % 5 = 0").select(F.expr(_TITLES).alias("title"), "source", "doc_id", "text")
+    d = d.withColumn("doc_id", F.row_number().over(Window.partitionBy("title", "source").orderBy("doc_id")))
+    top, part, leaf = F.concat(F.lit("title-"), F.col("title")), F.concat(F.lit("part-"), F.col("source")), F.concat(F.lit("section-"), F.col("doc_id").cast("string"))
+    path = lambda *c: F.concat_ws("/", *c)
+    row = lambda citation, parent, kind, ident: (citation.alias("citation"), parent.cast("string").alias("parent_citation"), F.lit(kind).alias("node_type"), ident.cast("string").alias("identifier"), F.lit(False).alias("reserved"), F.lit(1).cast("bigint").alias("xml_bytes"))
+    structure = d.select(*row(path(top, part, leaf), path(top, part), "section", F.col("doc_id")))
+    structure = structure.unionByName(d.select(*row(path(top, part), top, "part", F.col("source"))).distinct()).unionByName(d.select(*row(top, F.lit(None), "title", F.col("title"))).distinct())
+    xml = d.select(F.concat(F.lit("xml/"), top, F.lit("/"), F.col("source"), F.lit(".xml")).alias("path"), F.when(F.col("title") != "4", document_xml()).otherwise("<broken").alias("content"))
+    return tree.roll_up(load.measure(structure, xml_nodes(xml, failures=True))).select("citation", "words", "status")
 
 
-@query()
+@query("select doc_id, '<section><p>own words here</p><section><h2>S</h2><p>' || replace(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p><table><tr><td>left out</td></tr></table></section></section>' as html, 'Part' as heading, 'none' as authority, null::varchar as source from documents where doc_id % 20 = 0")
 def x06_to_html(t):
-    from .functions.xmltext import to_html
+    from .functions.xmltext import rendered
 
-    render = F.udf(lambda x: to_html(x), "struct<html:string,heading:string,authority:string,source:string>")
-    return t("documents").filter("doc_id % 20 = 0").select("doc_id", render(document_xml()).alias("r")).select("doc_id", "r.*")
+    return t("documents").filter("doc_id % 20 = 0").select("doc_id", rendered(document_xml()).alias("r")).select("doc_id", "r.*")
 
 
 @query()
@@ -955,11 +958,10 @@ def x07_html_text(t):
 
 @query("select doc_id, true as found, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) > 0 as has_text from documents where doc_id % 20 = 0 and length(text) > 0")
 def x08_section_lines(t):
-    from .functions.xmltext import section_lines
+    from .functions.xmltext import lines_of_section
 
-    lines = F.udf(lambda x, s: section_lines(x, s), "struct<lines:array<string>,found:boolean,has_text:boolean>")
     d = t("documents").filter("doc_id % 20 = 0 and length(text) > 0")
-    return d.select("doc_id", lines(document_xml(), F.col("doc_id").cast("string")).alias("r")).select("doc_id", "r.found", "r.has_text")
+    return d.select("doc_id", lines_of_section(document_xml(), F.col("doc_id").cast("string")).alias("r")).select("doc_id", "r.found", "r.has_text")
 
 
 def x09_line_diff_of(t):
@@ -1045,3 +1047,124 @@ def d13_scope_shares(t):
     found = jurisdiction.resolve(c, nodes_of(t))
     o = division(t).overlaps.join(found.select("ref_key", "words"), "ref_key")
     return jurisdiction.scope_shares(o)
+
+
+# reads over published tables: regions are titles, nations chapters and organisations, suppliers parts of two sections each
+
+
+PUBLISHED_SQL = """n as (select n_nationkey as k, n_name, n_regionkey + 1 as number, 'title-' || (n_regionkey + 1) as title, 'title-' || (n_regionkey + 1) || '/chapter-' || n_nationkey as chapter from nation),
+sec as (select chapter || '/part-' || s_suppkey as part, chapter, title, s_suppkey as s, s_name, j, case when s_suppkey % 13 = 0 and j = 2 then null else s_nationkey + 10 * j end::bigint as words from supplier join n on k = s_nationkey, (values (1), (2)) x(j)),
+raw as (select part || '/section-' || s || '.' || j as citation, 'section' as node_type, s || '.' || j as identifier, 'Section ' || s_name as label, words, s * 10 + j as doc_pos from sec
+  union all select part, 'part', s::varchar, s_name, case when count(*) = count(words) then sum(words)::bigint end, s * 10 from sec group by part, s, s_name
+  union all select chapter, 'chapter', k::varchar, n_name, (select case when count(*) = count(words) then sum(words)::bigint end from sec where sec.chapter = n.chapter), k - 1000 from n
+  union all select 'title-' || (r_regionkey + 1), 'title', (r_regionkey + 1)::varchar, r_name, (select case when count(*) = count(words) then sum(words)::bigint end from sec where title = 'title-' || (r_regionkey + 1)), -2000 from region),
+node as (select *, case when words is null then 'not_computed' else 'counted' end as status, case when words is null then 'not measured' end as reason from raw),
+claim as (select 'n' || k as slug, chapter as ref_key from n union all select 'n' || (k + 1), chapter from n where k % 3 = 0),
+shared as (select ref_key, count(*) as agency_count, '["' || string_agg(slug, '","' order by slug) || '"]' as agency_slugs from claim group by ref_key having count(*) > 1),
+agency as (select 'n' || k as slug, n_name as name, 'X' || substr(n_name, 8) as short_name, lower(n_name) as display_name, n_name as sortable_name, case when k % 5 <> 0 then 'n' || (k - k % 5) end as parent_slug, case when k % 5 <> 0 then 1 else 0 end as depth from n),
+rollup as (select slug as agency_slug, words as deduplicated, words + 1 as attributed, case when words is null then 0.5 else 1.0 end as coverage from agency join node on citation = (select chapter from n where 'n' || k = slug))"""
+
+
+def published(t) -> dict[str, DataFrame]:
+    s = lambda c: F.col(c).cast("string")
+    n = t("nation").select(F.col("n_nationkey").alias("k"), "n_name", F.concat(F.lit("title-"), (F.col("n_regionkey") + 1).cast("string")).alias("title")).withColumn("chapter", F.concat("title", F.lit("/chapter-"), s("k")))
+    sec = t("supplier").join(n, F.col("s_nationkey") == F.col("k")).withColumn("j", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("part", F.concat("chapter", F.lit("/part-"), s("s_suppkey")))
+    sec = sec.withColumn("words", F.when((F.col("s_suppkey") % 13 != 0) | (F.col("j") != 2), F.col("s_nationkey") + 10 * F.col("j")).cast("bigint")).withColumn("number", F.concat(s("s_suppkey"), F.lit("."), s("j")))
+    total = lambda by: sec.groupBy(F.col(by).alias("citation")).agg(M.all_or_nothing(F.col("words")).alias("words"))
+    row = lambda c, kind, ident, label, pos, *w: (c.alias("citation"), F.lit(kind).alias("node_type"), ident.cast("string").alias("identifier"), label.alias("label"), pos.cast("int").alias("doc_pos"), *w)
+    region = t("region").select(*row(F.concat(F.lit("title-"), (F.col("r_regionkey") + 1).cast("string")), "title", F.col("r_regionkey") + 1, F.col("r_name"), F.lit(-2000)))
+    parts = sec.filter("j = 1").select(*row(F.col("part"), "part", F.col("s_suppkey"), F.col("s_name"), F.col("s_suppkey") * 10))
+    chapters = n.select(*row(F.col("chapter"), "chapter", F.col("k"), F.col("n_name"), F.col("k") - 1000))
+    node = sec.select(*row(F.concat("part", F.lit("/section-"), F.col("number")), "section", F.col("number"), F.concat(F.lit("Section "), F.col("s_name")), F.col("s_suppkey") * 10 + F.col("j"), F.col("words")))
+    for df, by in ((parts, "part"), (chapters, "chapter"), (region, "title")):
+        node = node.unionByName(df.join(total(by), "citation", "left"))
+    node = node.withColumn("status", F.when(F.col("words").isNull(), "not_computed").otherwise("counted")).withColumn("reason", F.when(F.col("words").isNull(), "not measured"))
+    slug = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    k = F.col("k")
+    claim = n.select(slug(k).alias("slug"), "title", "chapter", "k").unionByName(n.filter("k % 3 = 0").select(slug(k + 1).alias("slug"), "title", "chapter", "k"))
+    claim = claim.select("slug", F.col("chapter").alias("ref_key"), F.substring("title", 7, 9).cast("int").alias("title"), F.lit(None).cast("string").alias("subtitle"), s("k").alias("chapter"), F.lit(None).cast("string").alias("subchapter"), F.lit(None).cast("string").alias("part"))
+    agency = n.select(slug(k).alias("slug"), F.col("n_name").alias("name"), F.concat(F.lit("X"), F.substring("n_name", 8, 9)).alias("short_name"), F.lower("n_name").alias("display_name"), F.col("n_name").alias("sortable_name"), F.when(k % 5 != 0, slug(k - k % 5)).alias("parent_slug"), F.when(k % 5 != 0, 1).otherwise(0).alias("depth"), "chapter")
+    rollup = agency.select("slug", "chapter").join(node, F.col("chapter") == F.col("citation")).select(F.col("slug").alias("agency_slug"), F.col("words").alias("deduplicated"), (F.col("words") + 1).alias("attributed"), F.when(F.col("words").isNull(), 0.5).otherwise(1.0).alias("coverage"))
+    o = t("orders")
+    amendment = o.select((F.col("o_orderkey") % 50 + 1).cast("int").alias("title"), s("o_custkey").alias("section"), s("o_orderkey").alias("part"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("amendment_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issue_date"), (F.col("o_orderkey") % 3 == 0).alias("substantive"), (F.col("o_orderstatus") == "P").alias("removed"))
+    title = t("region").select((F.col("r_regionkey") + 1).cast("int").alias("number"), F.col("r_name").alias("name"), (F.col("r_regionkey") == 4).alias("reserved"))
+    return {"structure_node": node, "agency": agency.drop("chapter"), "agency_rollup": rollup, "agency_cfr_reference": claim, "scope_overlap": jurisdiction.overlaps(claim), "title": title, "amendment": amendment}
+
+
+def _search_sql(q: str, cited: str = "false") -> str:
+    has = lambda c: f"contains(lower({c}), '{q}')"
+    return f"""with {PUBLISHED_SQL}, hit as (select citation, label from node where {cited}),
+    f as (select 0 as k, 'citation' as kind, 0 as r, 0 as n, '' as s, citation as id, label from hit
+      union all select 1, 'agency', case when starts_with(display_name, '{q}') then 0 else 1 end, 0, sortable_name, slug, display_name from agency where {has("name")} or {has("short_name")} or {has("display_name")}
+      union all select 2, 'title', 0, r_regionkey + 1, '', 'title-' || (r_regionkey + 1), r_name from region where {has("r_name")}
+      union all select 3, 'node', case node_type when 'chapter' then 0 when 'part' then 3 end, split_part(split_part(citation, '/', 1), '-', 2)::int, '', citation, label from node where node_type in ('chapter', 'part') and {has("label")} and citation not in (select citation from hit))
+    select kind, id, label from f order by k, r, n, s, id limit 30"""
+
+
+@query(_search_sql("a"))
+def t06_search_rank(t):
+    return reads.search(published(t), "a", 30)
+
+
+@query(_search_sql("x1"))
+def j06_search_short_names(t):
+    return reads.search(published(t), "X1", 30)
+
+
+@query(_search_sql("title-3/chapter-2", "citation = 'title-3/chapter-2'"))
+def u04_ranked_concatenation(t):
+    return reads.search(published(t), "title-3/chapter-2", 30)
+
+
+@query(_search_sql("4 cfr ch. 13", "node_type = 'chapter' and identifier = '13' and starts_with(citation, 'title-4/')"))
+def p05_resolve_citation(t):
+    return reads.search(published(t), "4 CFR ch. 13", 30)
+
+
+@query(f"with {PUBLISHED_SQL} select node.*, (select count(*) from node s where s.node_type = 'section' and starts_with(s.citation, node.citation || '/')) as sections, 0::bigint as subparts, 0::bigint as appendixs, (select list(slug order by slug) from claim where starts_with(node.citation, ref_key || '/')) as agencies from node where node_type = 'part' and identifier = '7' and starts_with(citation, (select title from sec where s = 7 limit 1) || '/')")
+def j13_part_page(t):
+    p = published(t)
+    return reduce(DataFrame.unionByName, [reads.part(p, n, "7") for n in range(1, 6)])
+
+
+@query(f"""with {PUBLISHED_SQL} select (select count(*) from node) as nodes, (select count(*) from node where words is null) as unknown, 0::bigint as reserved, (select count(*) from sec) as leaves, (select count(*) from n) as chapters, (select count(*) from supplier) as parts, (select count(*) from sec) as sections,
+ (select count(*) from agency) as agencies, (select case when count(*) = count(deduplicated) then sum(deduplicated)::bigint end from rollup) as deduplicated, (select case when count(*) = count(attributed) then sum(attributed)::bigint end from rollup) as attributed, (select count(*) from rollup where coverage < 1) as partial_agencies,
+ (select count(*) from shared) as shared_scopes, (select case when count(*) = count(words) then sum(words)::bigint end from shared join node on citation = ref_key) as shared, (select count(*) from region) as titles, 1::bigint as titles_reserved, (select count(*) from claim) as refs_total, (select count(*) from orders) as amendments""")
+def g23_corpus_totals(t):
+    return reads.corpus(published(t))
+
+
+@query(f"with {PUBLISHED_SQL} select r_regionkey + 1 as number, r_name as name, r_regionkey = 4 as reserved, words, status, reason, (select count(*) from node p where p.node_type = 'part' and starts_with(p.citation, node.citation || '/')) as parts, (select count(*) from node p where p.node_type = 'section' and starts_with(p.citation, node.citation || '/')) as sections from region join node on citation = 'title-' || (r_regionkey + 1) order by number limit 3 offset 1")
+def t10_titles_page(t):
+    return reads.word_counts(published(t), 3, 1)
+
+
+@query(f"with {PUBLISHED_SQL}, x as (select citation, node_type, words, doc_pos from node where (citation = 'title-3' or starts_with(citation, 'title-3/')) and len(string_split(citation, '/')) <= 3) select *, (select count(*) from x) > 20 as truncated from x order by doc_pos, citation limit 20")
+def p04_structure_page(t):
+    return reads.structure(published(t), "title-3", 2, 20).select("citation", "node_type", "words", "doc_pos", "truncated")
+
+
+@query(f"with {PUBLISHED_SQL} select slug, words, (select count(*) from agency where parent_slug is not null) as total from (select slug, sortable_name, deduplicated as words from agency join rollup on agency_slug = slug where parent_slug is not null) order by words desc nulls last, slug limit 7 offset 2")
+def t01_agencies_page(t):
+    p = published(t)
+    return reads.agencies(p | {"agency": p["agency"].filter("parent_slug is not null")}, sort="words", limit=7, offset=2).select("slug", "words", "total")
+
+
+@query(f"with {PUBLISHED_SQL} select ref_key, agency_count, words, (select count(*) from shared) as total from shared join node on citation = ref_key order by coalesce(words, -1) desc, ref_key limit 4 offset 1")
+def t02_overlap_page(t):
+    return reads.overlap(published(t), "words", 4, 1).select("ref_key", "agency_count", "words", "total")
+
+
+@query("with a as (select (o_orderkey % 50 + 1)::int as title, o_custkey::varchar as section, strftime(o_orderdate, '%Y-%m-%d') as issue_date, strftime(o_orderdate, '%Y-%m-%d') as amendment_date, o_orderkey::varchar as part from orders where o_orderkey % 3 = 0 and o_orderstatus <> 'P' and o_orderdate >= date '1995-01-01') select title, section, part, issue_date, (select count(*) from a) as total from a order by issue_date desc, title, section, amendment_date desc limit 25 offset 5")
+def p03_amendment_page(t):
+    return reads.amendments(published(t), since="1995-01-01", substantive=True, limit=25, offset=5).select("title", "section", "part", "issue_date", "total")
+
+
+@query(f"with {PUBLISHED_SQL}, q as (select *, row_number() over (partition by status, reason order by citation) as i, count(*) over (partition by status, reason) as c from node where words is null) select status, reason, c as n, list(citation order by citation) as sample, c > 5 as truncated from q where i <= 5 group by status, reason, c")
+def g20_quality_page(t):
+    return reads.quality(published(t), 5)
+
+
+@query(f"with {PUBLISHED_SQL} select claim.ref_key, citation, words, status, reason, coalesce(agency_count, 1) as agency_count from claim join node on citation = claim.ref_key left join shared on shared.ref_key = claim.ref_key where slug = 'n1'")
+def j02_agency_scopes(t):
+    return reads.agency(published(t), "n1").drop("agency_slugs")

@@ -23,9 +23,9 @@ def required(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def agencies(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, display_name, sortable_name, parent_slug, depth, cfr_references) of agencies and their children; of equal slugs the first."""
+    """(slug, name, short_name, display_name, sortable_name, parent_slug, depth, cfr_references) of agencies and their children; of equal slugs the first."""
     top = spark.read.schema(AGENCIES).json(path, multiLine=True, mode="FAILFAST").select(F.posexplode("agencies").alias("i", "a"))
-    cols = lambda p: [F.col(f"{p}.slug").alias("slug"), F.coalesce(f"{p}.display_name", f"{p}.name").alias("display_name"), F.coalesce(f"{p}.sortable_name", f"{p}.name").alias("sortable_name")]
+    cols = lambda p: [F.col(f"{p}.slug").alias("slug"), F.col(f"{p}.name").alias("name"), F.col(f"{p}.short_name").alias("short_name"), F.coalesce(f"{p}.display_name", f"{p}.name").alias("display_name"), F.coalesce(f"{p}.sortable_name", f"{p}.name").alias("sortable_name")]
     parents = top.select("i", F.lit(-1).alias("j"), *cols("a"), F.lit(None).cast("string").alias("parent_slug"), F.lit(0).alias("depth"), F.col("a.cfr_references").alias("cfr_references"))
     kids = top.select("i", F.col("a.slug").alias("parent_slug"), F.posexplode("a.children").alias("j", "c"))
     kids = kids.select("i", "j", *cols("c"), "parent_slug", F.lit(1).alias("depth"), F.col("c.cfr_references").alias("cfr_references"))

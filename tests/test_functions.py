@@ -33,9 +33,17 @@ def test_scopes(spark):
 
 
 def test_citation_queries(spark):
-    q = {"40 CFR part 60": (40, "part", "60"), "title 12, part 1026": (12, "part", "1026"), "Title 5 chapter IX": (5, "chapter", "IX"), "40 CFR 60.1": (40, "section", "60.1"), "40 cfr 60": (40, "part", "60"), "title 3": (3, "title", ""), "51 CFR 1": None, "clean air": None, "40 CFR " + " " * 70 + "1": None}
+    """The recognised forms and no others: what else is typed is a name."""
+    q = {
+        "40 CFR part 60": (40, "part", "60"), "40 CFR 60.1": (40, "title", "40"), "40 cfr 60": (40, "part", "60"), "title 3": (3, "title", "3"), "51 CFR 1": None, "clean air": None, "40 CFR " + " " * 70 + "1": None,
+        "40 CFR pt. 60a": (40, "part", "60a"), "40cfr60": (40, "part", "60"), "40 CFR Chapter i": (40, "chapter", "I"), "40 CFR ch. I": (40, "chapter", "I"), "40 CFR Subchapter c": (40, "subchapter", "C"), "40 cfr subch. C": (40, "subchapter", "C"),
+        "7 CFR Subtitle a": (7, "subtitle", "A"), "title-40": (40, "title", "40"), "title-40/chapter-i/part-60": (40, "part", "60"), "title-7/subtitle-A/chapter-IX": (7, "chapter", "IX"), "title-40/part-60/chapter-I": None,
+        "26 CFR § 1.72-9": (26, "title", "26"), "title 0": None, "": None, "  title 5 ": (5, "title", "5"), "title 12, part 1026": None,
+    }
     got = values(spark, list(q), "q string", C.parse_query(F.col("q")))
-    assert [tuple(g) if g else None for g in got] == list(q.values())
+    assert [(g["title"], g["level"], g["identifier"]) if g else None for g in got] == list(q.values())
+    by = dict(zip(q, got))
+    assert by["26 CFR § 1.72-9"]["section"] == "1.72-9" and by["title-40/chapter-i/part-60"]["chapter"] == "I"
 
 
 def test_ancestors_and_children(spark):

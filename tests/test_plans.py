@@ -80,3 +80,39 @@ def test_amendment_pages(spark):
     got = reads.amendments(t, title=1, since="2024-01-02", substantive=True, limit=2)
     assert [(r.issue_date, r.total) for r in got.collect()] == [("2024-01-06", 2), ("2024-01-02", 2)]
     assert got.filter(F.col("removed")).count() == 0
+
+
+def test_measure_keeps_titles_apart(spark):
+    """Two titles of equal part and section numbers, told apart by their files' paths or by the documents themselves."""
+    from plumbline.functions.xmltext import xml_nodes
+    from plumbline.operators import tree
+
+    def structure(n):
+        return [(f"title-{n}", None, "title", str(n)), (f"title-{n}/part-1", f"title-{n}", "part", "1"), (f"title-{n}/part-1/section-1.1", f"title-{n}/part-1", "section", "1.1")]
+
+    nodes = spark.createDataFrame([(*r, False, 9) for n in (1, 2, 3, 4) for r in structure(n)], "citation string, parent_citation string, node_type string, identifier string, reserved boolean, xml_bytes long")
+    files = [("land/title-1/a.xml", PART.format(n=1, a="one two three", b="")), ("land/b.xml", f'<DIV1 N="2" TYPE="TITLE">{PART.format(n=1, a="a b c d e f g", b="")}</DIV1>'), ("land/title=3/c.xml", "<broken"), ("land/d.xml", PART.format(n=1, a="of no title", b=""))]
+    xml = xml_nodes(spark.createDataFrame(files, "path string, content string"), failures=True)
+    got = {r.citation: (r.words, r.status) for r in tree.roll_up(load.measure(nodes, xml)).collect()}
+    assert got["title-1/part-1/section-1.1"] == (3, "counted") and got["title-2/part-1/section-1.1"] == (7, "counted")
+    assert got["title-1"][0] == 5 and got["title-2"][0] == 9
+    assert got["title-3/part-1/section-1.1"] == (None, "unavailable_parse_failed") and got["title-3"] == (None, "not_computed")
+    assert got["title-4/part-1/section-1.1"] == (None, "not_computed")
+
+
+def test_search_by_name_and_citation(spark):
+    node = [
+        ("title-1", "title", "1", "Title 1 water"), ("title-1/subtitle-A", "subtitle", "A", "Subtitle A water"), ("title-1/chapter-I", "chapter", "I", "Chapter I Water"), ("title-1/chapter-I/subchapter-B", "subchapter", "B", "Subchapter B water"),
+        ("title-1/chapter-I/subchapter-B/part-2", "part", "2", "Part 2 water"), ("title-1/chapter-I/subchapter-B/part-2/section-2.1", "section", "2.1", "water"), ("title-1/chapter-I/part-3", "part", "3", None),
+    ]
+    t = {
+        "structure_node": spark.createDataFrame(node, "citation string, node_type string, identifier string, label string"),
+        "agency": spark.createDataFrame([("w", "Bureau of Water", "BOW", "Bureau", "Water, Bureau of"), ("x", "Water Office", None, "Water Office", "Z"), ("y", "Air", "WATERY", "Air", "Air")], "slug string, name string, short_name string, display_name string, sortable_name string"),
+        "title": spark.createDataFrame([(2, "Water", False), (1, "On water", False)], "number int, name string, reserved boolean"),
+    }
+    ids = lambda q, **k: [r.id for r in reads.search(t, q, **k).collect()]
+    nodes = ["title-1/chapter-I", "title-1/chapter-I/subchapter-B", "title-1/subtitle-A", "title-1/chapter-I/subchapter-B/part-2"]
+    assert ids("WATER") == ["x", "y", "w", "title-1", "title-2", *nodes]
+    assert ids("water", limit=3) == ["x", "y", "w"] and ids("water", kind="node") == nodes and ids("1 CFR part 2", kind="agency") == []
+    assert ids("1 cfr subch. b") == [nodes[1]] and ids("1 CFR Subtitle a") == ["title-1/subtitle-A"] and ids("1 CFR § 2.1") == ["title-1"] and ids("title-1/chapter-i") == ["title-1/chapter-I"]
+    assert ids("9 CFR 1") == [] and ids("50%") == []

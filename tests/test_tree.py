@@ -76,3 +76,11 @@ def test_forest_and_containers(spark):
     assert len(f) == 1 and [k.citation for k in f[0].children] == ["a/b", "a/d"] and f[0].children[0].children[0].citation == "a/b/c"
     n = T.nearest_container(spark.createDataFrame([("a",), ("a/b/c",), ("a/b/c/d",), ("ab",)], "citation string"))
     assert {r.citation: r.container for r in n.collect()} == {"a": None, "a/b/c": "a", "a/b/c/d": "a/b/c", "ab": None}
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(150)], "child int, parent int")
+    got = T.closure(edges)
+    assert got.count() == 151 * 152 // 2 and got.filter("ancestor = 0 and descendant = 150").count() == 1
+    loop = T.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "child int, parent int"))
+    assert loop.count() == 10 and loop.distinct().count() == 10
