@@ -134,7 +134,13 @@ def shared_dir(spark: SparkSession) -> str:
 
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, resolved once on the driver: without a scheme it is the default one's, for Spark and Python workers alike."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

@@ -1,36 +1,46 @@
 """Quality rules by n-gram perplexity.
 
 A modified Kneser-Ney model over UTF-8 byte 5-grams is counted per language by
-Spark over *all* documents, stored as sorted arrays of key hashes with log
-probabilities, and scores every document in full. Each language then has its
-own lower and upper band: ``lower`` median deviations of all its documents below
-the median score, ``upper`` of all those above it; documents outside are rejected.
+Spark over *all* documents: counts, contexts and their discounts are grouped and
+joined by Spark, the orders up to 3, whose kinds are few whatever the corpus, are
+finished a language at a time. Its log probabilities are stored by sorted key
+hashes and score every document in full; where there are more than one array
+should hold, they are cut into slices by hash, and each pass over the documents
+adds up what one slice knows. No text is shuffled.
+
+Each language then has its own lower and upper band: ``lower`` median deviations
+of all its documents below the median score, ``upper`` of all those above it;
+documents outside are rejected.
 
 Defined cases: a null or empty text is rejected as ``empty``, one of white space
-alone as ``blank``, and neither counts for the bands; a null language is a language of its own; a short text's score is drawn to its
-language's mean by ``prior_bytes``, so that chance alone rejects none; equal or
-repeated rows get equal verdicts, one row each; an empty table gives an empty
-result; extra columns are ignored by ``score`` and kept by ``filter_documents``
-(the names ``_pl_*`` are taken).
+alone as ``blank``, and neither counts for the bands; a null language is a
+language of its own; a short text's score is drawn to its language's mean by
+``prior_bytes``, so that chance alone rejects none; equal or repeated rows get
+equal verdicts, one row each; an empty table gives an empty result; extra columns
+are ignored by ``score`` and kept by ``filter_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, chunks, lean, materialize, mix, small_side
+from .kernels import U64, chunks, discard, lean, materialize, mix, own_names, small_side
 
 ORDER = 5
 PAD = "\x02" * (ORDER - 1)
-#: Beyond so many n-grams the model isn't broadcast; n-grams are then scored by a join.
-BROADCAST_NGRAMS = 8_000_000
+#: N-grams of one array, which is broadcast; a model of more is cut into slices by hash, each for one pass over the documents.
+SLICE_NGRAMS = 4_000_000
+#: Orders finished a language at a time: a language has at most 2**24 kinds of 3 bytes, and in UTF-8 far fewer.
+LOW = 3
 _SCORES = "_pl_doc long, _pl_text long, lang string, blank boolean, n_bytes long, bits double"
 
 
@@ -100,69 +110,69 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """{order: (sorted keys, bits, backoff bits)} of one language's 5-grams, interpolated, three discounts an order.
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+    """What is taken from counts 0, 1, 2, and 3 or more. Counts of counts are 1 at least, and what they give is kept within bounds."""
+    n1, n2, n3, n4 = (max(x, 1) for x in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    return [0.0, *(min(max(k - (k + 1) * y * more / less, 0.05 * k), k - (0.05, 0.1, 0.1)[k - 1]) for k, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
 
-    Lower orders count distinct left contexts. The last array, for the keys as
-    contexts of the next order, is the bits of the mass that is left to it.
-    """
-    tables = {ORDER: (gram, n.astype(float))}
-    for k in range(ORDER - 1, 0, -1):
-        kinds = np.unique(tables[k + 1][0] & U64((1 << (8 * k)) - 1), return_counts=True)
+
+def _low_orders(key, pdf):
+    """(l, g, p) of one language's LOW-grams from their counts (g, n): interpolated, lower orders counting distinct left contexts."""
+    order = np.argsort(pdf["g"].to_numpy())
+    tables = {LOW: (pdf["g"].to_numpy()[order], pdf["n"].to_numpy()[order].astype(float))}
+    for k in range(LOW - 1, 0, -1):
+        kinds = np.unique(tables[k + 1][0] & ((1 << (8 * k)) - 1), return_counts=True)
         tables[k] = (kinds[0], kinds[1].astype(float))
-    out: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    lower: np.ndarray | None = None
-    for k in range(1, ORDER + 1):
-        key, c = tables[k]
-        n1, n2, n3, n4 = (max(int((c == j).sum()), 1) for j in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.9])
-        taken = d[np.minimum(c, 3).astype(int)]
-        context, first, which = np.unique(key >> U64(8), return_index=True, return_inverse=True)
+    p = np.full(1, 1 / 256)
+    for k in range(1, LOW + 1):
+        g, c = tables[k]
+        taken = np.array(discounts(*(int((c == j).sum()) for j in (1, 2, 3, 4))))[np.minimum(c, 3).astype(int)]
+        _, first, which = np.unique(g >> 8, return_index=True, return_inverse=True)
         total = np.add.reduceat(c, first)
         left = np.add.reduceat(taken, first) / total
-        if k == 1:
-            below = np.full(len(key), 1 / 256)
-            out[0] = (np.zeros(1, U64), np.array([8.0]), -np.log2(left))
-        else:
-            prev = tables[k - 1][0]
-            below = lower[np.searchsorted(prev, key & U64((1 << (8 * (k - 1))) - 1))]
-            gamma = np.zeros(len(prev))
-            there = np.searchsorted(prev, context)
-            known = (there < len(prev)) & (prev[np.minimum(there, len(prev) - 1)] == context)
-            gamma[there[known]] = -np.log2(left[known])
-            out[k - 1] = (out[k - 1][0], out[k - 1][1], gamma)
-        lower = (c - taken) / total[which] + left[which] * below
-        out[k] = (key, -np.log2(lower), np.zeros(0))
-    return out
-
-
-class Model:
-    """Sorted arrays of hashes with a radix index over their leading bits, for 5-grams; lower orders by binary search."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        order = np.argsort(gram)
-        gram, n = gram[order].astype(U64), n[order]
-        langs = gram >> U64(8 * ORDER)
-        cut = np.flatnonzero(np.concatenate([[True], langs[1:] != langs[:-1]])).tolist() if len(gram) else []
-        self.langs = {}
-        keys, bits = [np.zeros(0, U64)], [np.zeros(0)]
-        for a, b in zip(cut, [*cut[1:], len(gram)]):
-            low = gram[a:b] & U64((1 << (8 * ORDER)) - 1)
-            tables = kneser_ney(low, n[a:b])
-            self.langs[int(langs[a])] = {k: t for k, t in tables.items() if k < ORDER}
-            keys.append(gram[a:b])
-            bits.append(tables[ORDER][1])
-        h, b = mix(np.concatenate(keys)), np.concatenate(bits).astype(np.float32)
+        below = p[np.searchsorted(tables[k - 1][0], g & ((1 << (8 * (k - 1))) - 1))] if k > 1 else p
+        p = (c - taken) / total[which] + left[which] * below
+    return pd.DataFrame({"l": key[0], "g": tables[LOW][0], "p": p})
+
+
+def model_table(counts: DataFrame) -> DataFrame:
+    """(gram, bits) of every n-gram of ``counts`` (gram, n), written in the shared folder."""
+    mask = lambda k: F.lit((1 << (8 * k)) - 1)
+    tables = {ORDER: counts.select(F.shiftrightunsigned("gram", 8 * ORDER).alias("l"), F.col("gram").bitwiseAND(mask(ORDER)).alias("g"), "n")}
+    for k in range(ORDER - 1, LOW - 1, -1):
+        up = tables[k + 1].groupBy("l", F.col("g").bitwiseAND(mask(k)).alias("g")).agg(F.count("*").alias("n"))
+        tables[k] = materialize(up) if k > LOW else up
+    p = materialize(tables[LOW].groupBy("l").applyInPandas(_low_orders, "l long, g long, p double"))
+    for k in range(LOW + 1, ORDER + 1):
+        kinds = tables[k].groupBy("l").agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]).collect()  # a row a language
+        taken = counts.sparkSession.createDataFrame([(r["l"], *discounts(r["n1"], r["n2"], r["n3"], r["n4"])[1:]) for r in kinds], "l long, d1 double, d2 double, d3 double")
+        w = Window.partitionBy("l", "c")
+        t = tables[k].join(small_side(taken), "l").withColumn("c", F.shiftright("g", 8)).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        t = t.withColumn("total", F.sum("n").over(w)).withColumn("left", F.sum("d").over(w) / F.col("total"))
+        below = small_side(p.select(F.col("l").alias("pl"), F.col("g").alias("pg"), F.col("p").alias("below")))
+        t = t.join(below, (F.col("l") == F.col("pl")) & (F.col("g").bitwiseAND(mask(k - 1)) == F.col("pg")))
+        now = (F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")
+        before, p = p, materialize(t.select("l", "g", now.alias("p")))
+        discard(before)
+    return p.select(F.shiftleft("l", 8 * ORDER).bitwiseOR(F.col("g")).alias("gram"), (-F.log2("p")).cast("float").alias("bits"))
+
+
+class Arrays:
+    """Sorted key hashes with their bits, and a radix index over the hashes' leading bits."""
+
+    def __init__(self, gram: np.ndarray, bits: np.ndarray):
+        h = mix(gram.astype(U64))
         order = np.argsort(h)
-        self.hash, self.bits = h[order], b[order]
+        self.hash, self.bits = h[order], bits[order].astype(np.float32)
         self.shift = U64(64 - max(8, int(np.ceil(np.log2(len(h) + 1))) + 1))
         self.index = np.searchsorted(self.hash, np.arange(1 << (64 - int(self.shift)), dtype=U64) << self.shift).astype(np.int32)
 
     def lookup(self, code: np.ndarray) -> np.ndarray:
-        out = np.full(len(code), np.nan, dtype=np.float32)
+        """Bits of each n-gram; 0 where it isn't here (but in another slice)."""
+        out = np.zeros(len(code), dtype=np.float32)
         if not len(self.hash):
-            return self.back_off(code, out, np.arange(len(code)))
+            return out
         h = mix(code)
         at = self.index[h >> self.shift]
         who: np.ndarray | slice = slice(None)
@@ -170,51 +180,25 @@ class Model:
         while True:
             found = self.hash[np.minimum(at, last)]
             hit = (found == h) & (at <= last)
+            go = ~hit & (found < h) & (at < last)
             if isinstance(who, slice):
                 out[hit] = self.bits[at[hit]]
-                who = np.flatnonzero(~hit & (found < h) & (at < last))
+                who = np.flatnonzero(go)
                 at, h = at[who] + 1, h[who]
             else:
                 out[who[hit]] = self.bits[at[hit]]
-                go = ~hit & (found < h) & (at < last)
                 who, at, h = who[go], at[go] + 1, h[go]
             if not len(who):
-                break
-        miss = np.flatnonzero(np.isnan(out))
-        return self.back_off(code, out, miss) if len(miss) else out
-
-    def back_off(self, code: np.ndarray, out: np.ndarray, miss: np.ndarray) -> np.ndarray:
-        """For n-grams the corpus doesn't have: the longest known suffix, with the weights of the contexts passed."""
-        lang = code[miss] >> U64(8 * ORDER)
-        for x in np.unique(lang):
-            who = miss[lang == x]
-            tables = self.langs.get(int(x))
-            if tables is None:
-                out[who] = 8.0
-                continue
-            total = np.zeros(len(who))
-            todo = np.ones(len(who), dtype=bool)
-            for k in range(ORDER - 1, -1, -1):
-                context = (code[who] >> U64(8)) & U64((1 << (8 * k)) - 1)
-                keys, _, gamma = tables[k]
-                at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-                known = keys[at] == context
-                total += np.where(todo & known, gamma[at] if len(gamma) else 0.0, 0.0)
-                low = code[who] & U64((1 << (8 * k)) - 1)
-                at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-                known = todo & (keys[at] == low)
-                out[who[known]] = (total + tables[k][1][at])[known]
-                todo &= ~known
-        return out
+                return out
 
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        arrays = shared.value
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 code, doc, size = _grams(part)
-                bits = np.bincount(doc, weights=model.lookup(code), minlength=part.num_rows) if len(code) else np.zeros(part.num_rows)
+                bits = np.bincount(doc, weights=arrays.lookup(code), minlength=part.num_rows) if len(code) else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_pl_doc"), part.column("_pl_text"), part.column("lang"), part.column("blank"), pa.array(size.astype(np.int64)), pa.array(bits.astype(float))],
                     names=["_pl_doc", "_pl_text", "lang", "blank", "n_bytes", "bits"],
@@ -227,55 +211,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_pl_doc"), F.xxhash64("text").alias("_pl_text"), F.col("lang").cast("string").alias("lang"), F.coalesce(~F.col("text").cast("string").rlike(r"(?U)\S"), F.lit(True)).alias("blank"), F.col("text").cast("string").alias("text"))
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text", 1 << 18):
-            code, doc, _ = _grams(part)
-            order = np.lexsort((code, doc))
-            code, doc = code[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(code)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.take(part.column("_pl_row").to_numpy(zero_copy_only=False), doc[first])), pa.array(code[first].astype(np.int64)), pa.array(n.astype(np.int64))], names=["_pl_row", "gram", "k"])
-
-
-def _model_table(key, pdf):
-    order = np.argsort(pdf["gram"].to_numpy())
-    gram, n = pdf["gram"].to_numpy()[order], pdf["n"].to_numpy()[order]
-    low = gram.astype(U64) & U64((1 << (8 * ORDER)) - 1)
-    pdf = pdf.iloc[order].copy()
-    pdf["gram_bits"] = kneser_ney(low, n)[ORDER][1]
-    return pdf[["gram", "gram_bits"]]
-
-
-def raw_scores(docs: DataFrame, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
-    """Bits of each document under the model of all documents, written in the shared folder.
-
-    A model of at most ``broadcast_ngrams`` is broadcast. Beyond, each language's
-    model is made by one task and the documents' n-grams are joined with it.
-    """
+def raw_scores(docs: DataFrame, slice_ngrams: int = SLICE_NGRAMS) -> DataFrame:
+    """Bits of each document under the model of all documents, written in the shared folder."""
     spark = docs.sparkSession
     counts = materialize(count_ngrams(docs))
+    model = model_table(counts)
+    slices = max(1, -(-counts.count() // slice_ngrams))
     keyed = _keyed(docs)
-    if counts.count() <= broadcast_ngrams:
-        t = counts.toArrow()
-        model = Model(t.column("gram").to_numpy().astype(U64), t.column("n").to_numpy())
-        shared = spark.sparkContext.broadcast(model)
-        return materialize(keyed.mapInArrow(lean(_scorer(shared)), _SCORES))
-    model = counts.groupBy(F.shiftright("gram", 8 * ORDER).alias("l")).applyInPandas(_model_table, "gram long, gram_bits double")
-    rows = keyed.withColumn("_pl_row", F.xxhash64("_pl_doc", "_pl_text", "lang"))
-    bits = rows.select("_pl_row", "text", "lang").dropDuplicates(["_pl_row"]).mapInArrow(lean(_explode), "_pl_row long, gram long, k long").join(model, "gram")
-    bits = bits.groupBy("_pl_row").agg(F.sum("k").alias("n_bytes"), F.sum(F.col("k") * F.col("gram_bits")).alias("bits"))
-    out = rows.drop("text").join(bits, "_pl_row", "left")
-    return materialize(out.select("_pl_doc", "_pl_text", "lang", "blank", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("bits", F.lit(0.0)).alias("bits")))
-
-
-def score(docs: DataFrame, lower: float = 10.0, upper: float = 6.0, prior_bytes: int = 300, step: float = 1e-3, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+    found = []
+    for k in range(slices):
+        t = model.filter(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k).toArrow()  # about slice_ngrams rows of 12 bytes
+        shared = spark.sparkContext.broadcast(Arrays(t.column("gram").to_numpy(), t.column("bits").to_numpy()))
+        found.append(materialize(keyed.mapInArrow(lean(_scorer(shared)), _SCORES)))
+        shared.destroy()
+    discard(counts)
+    discard(model)
+    if slices == 1:
+        return found[0]
+    # of equal rows each slice has as many
+    all_of = reduce(DataFrame.unionByName, found).groupBy("_pl_doc", "_pl_text", "lang", "blank", "n_bytes").agg(F.sum("bits").alias("bits"), (F.count("*") / slices).cast("int").alias("_times"))
+    rows = all_of.withColumn("bits", F.col("bits") / F.col("_times")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return materialize(rows.drop("_times", "_k"))
+
+
+def score(docs: DataFrame, lower: float = 10.0, upper: float = 6.0, prior_bytes: int = 300, step: float = 1e-3, slice_ngrams: int = SLICE_NGRAMS) -> DataFrame:
     """One row a document: perplexity a byte, its language's bands, and the verdict keep, low, high, blank or empty.
 
-    The tails differ, so each side's deviations are measured by its own documents. Medians come from a histogram of all scores in steps of ``step`` bits, so
-    they don't depend on the order of rows.
+    The tails differ, so each side's deviations are measured by its own documents.
+    Medians come from a histogram of all scores in steps of ``step`` bits, so they
+    don't depend on the order of rows.
     """
-    raw = raw_scores(docs, broadcast_ngrams)
+    raw = raw_scores(docs, slice_ngrams)
     base = raw.groupBy("lang").agg(F.sum("bits").alias("_b"), F.sum("n_bytes").alias("_n")).select(F.col("lang").alias("_lang"), (F.col("_b") / F.when(F.col("_n") > 0, F.col("_n"))).alias("_mean"))
     s = raw.join(base, raw["lang"].eqNullSafe(base["_lang"]), "left").withColumn("score_bits", (F.col("bits") + prior_bytes * F.coalesce("_mean", F.lit(0.0))) / (F.col("n_bytes") + prior_bytes)).drop("_lang", "_mean")
     bins = s.filter("n_bytes > 0 and not blank").groupBy("lang", F.round(F.col("score_bits") / step).cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -295,6 +261,7 @@ def score(docs: DataFrame, lower: float = 10.0, upper: float = 6.0, prior_bytes:
     return out.select(F.col("_pl_doc").alias("doc_id"), "_pl_text", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.when(F.col("n_bytes") > 0, F.col("n_bytes")))).alias("perplexity"), "score_bits", "lower_bits", "upper_bits", verdict.alias("verdict"))
 
 
+@own_names
 def filter_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     bad = score(docs, **parameters).filter("verdict <> 'keep'").select(F.col("doc_id").alias("_pl_doc"), "_pl_text", F.col("lang").alias("_pl_lang")).distinct()
