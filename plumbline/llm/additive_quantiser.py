@@ -10,13 +10,16 @@ distances, ``rerank`` of every block (so that their number grows with the
 table), are computed exactly, and the ``k`` nearest remain.
 
 Every row is a query, and every row but itself a candidate: queries and codes
-meet in blocks, each pair of blocks once, and nothing is pruned.
+meet in blocks, each pair of blocks once, and nothing is pruned. Codes travel with
+their vectors: a block's are fewer bytes than the short lists of its queries.
 
 Defined cases: rows without an id, and vectors that are null, empty, of another
 length than most, or have a null or non-finite element, are left out of both
 sides; equal vectors are neighbours at distance 0 and ordered by id; rows of
-equal id are each other's candidates only if their vectors differ; with fewer than ``k``
-candidates all are returned; an empty table gives no rows; extra columns are ignored.
+equal id are each other's candidates only if their vectors differ; of equal rows
+(id and vector) one is a candidate, and each gets the same answer in rows of its
+own; with fewer than ``k`` candidates all are returned; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import lean, materialize
+from .kernels import discard, lean, materialize
 
 K = 10
 CODEBOOKS = 16
@@ -38,6 +41,8 @@ ITERATIONS = 2
 #: Candidates of each block whose exact distance is computed; a block has at most BLOCK rows or so.
 RERANK = 400
 BLOCK = 16_384
+#: Residuals are written again after so many codebooks; in between they are made anew in each pass.
+KEEP = 4
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -97,25 +102,34 @@ def vectors(table: DataFrame) -> tuple[DataFrame, int]:
     return (v.filter(F.size("v") == mode["d"]), mode["d"]) if mode else (v, 0)
 
 
+def seeds(v: DataFrame, d: int, n: int, want: int) -> np.ndarray:
+    """The ``want`` vectors whose rows hash least. Only those below a bound are sorted, about four times as many; where that bound leaves too few, all are."""
+    share = 4 * want / n
+    for low in ([F.col("row") < int(-(1 << 63) + share * (1 << 64))] if share < 1 else []) + [F.lit(True)]:
+        got = v.filter(low).orderBy("row", "vec_id").limit(want).select("v").toArrow()
+        if got.num_rows == min(want, n):
+            break
+    return _matrix(got.column("v").combine_chunks(), d) if got.num_rows else np.zeros((0, d), np.float32)
+
+
 def train(v: DataFrame, d: int, n: int, codebooks: int = CODEBOOKS, words: int = WORDS, iterations: int = ITERATIONS) -> list[np.ndarray]:
-    """Codebooks from all rows; each begins with the vectors whose ids hash least, and sums are Spark's."""
-    h = F.xxhash64("vec_id", "v")
-    thin = max(1, n // (4 * words * codebooks))  # about four times as many are sorted, whatever the table's size
-    seeds = v.filter(F.pmod(h, F.lit(thin)) == 0).orderBy(h, "vec_id").limit(words * codebooks).toArrow()
-    start = _matrix(seeds.column("v").combine_chunks(), d) if seeds.num_rows else np.zeros((0, d), np.float32)
+    """Codebooks from all of ``n`` distinct rows (row, vec_id, v); each begins with vectors whose rows hash least, and sums are Spark's."""
+    start = seeds(v, d, n, words * codebooks)
     books: list[np.ndarray] = []
+    left, done = v.select("v"), 0  # residuals after ``done`` codebooks
     for m in range(codebooks):
         mine = start[m * words : (m + 1) * words]
         if len(mine) < min(words, len(start)):
             mine = start[:words]
         c = np.unique(greedy_residual(mine, books), axis=0)
+        since = books[done:]
         for _ in range(iterations):
 
             def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total, count = np.zeros((len(c), d)), np.zeros(len(c), np.int64)
                 for b in batches:
                     for a in range(0, b.num_rows, 4096):
-                        x = greedy_residual(_matrix(b.column("v").slice(a, 4096), d), books)
+                        x = greedy_residual(_matrix(b.column("v").slice(a, 4096), d), since)
                         code = nearest(x, c)
                         count += np.bincount(code, minlength=len(c))
                         order = np.argsort(code, kind="stable")
@@ -124,30 +138,71 @@ def train(v: DataFrame, d: int, n: int, codebooks: int = CODEBOOKS, words: int =
                 at = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["code", "n", "s"])
 
-            parts = v.select("v").mapInArrow(lean(sums), "code long, n long, s array<double>")
+            parts = left.mapInArrow(lean(sums), "code long, n long, s array<double>")
             got = parts.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(d)]).toArrow()  # ``words`` rows
             at = got.column("code").to_numpy()
             c = c.copy()
             c[at] = (np.stack([got.column(f"s{j}").to_numpy() for j in range(d)], 1) / got.column("n").to_numpy()[:, None]).astype(np.float32)
         books.append(c)
+        if m + 1 - done == KEEP and m + 1 < codebooks:
+            since = books[done:]
+
+            def residual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for a in range(0, b.num_rows, 4096):
+                        x = greedy_residual(_matrix(b.column("v").slice(a, 4096), d), since)
+                        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d), pa.array(x.ravel()))], names=["v"])
+
+            before, left = left, materialize(left.mapInArrow(lean(residual), "v array<float>"))
+            if done:
+                discard(before)
+            done = m + 1
+    if done:
+        discard(left)
     return books
 
 
-def scores(q: np.ndarray, books: list[np.ndarray], codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """(codes, queries): squared distances less the queries' norms, from lookup tables."""
-    out = np.repeat(norm[:, None], len(q), axis=1)
-    for m, c in enumerate(books):
-        out += np.take(-2 * (c @ q.T), codes[:, m], axis=0)
+def scores(q: np.ndarray, books: list[np.ndarray], codes: np.ndarray, norm: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """(codes, queries): squared distances less the queries' norms, from lookup tables; ``rows`` codes at once stay in the cache."""
+    tables = [-2 * (c @ q.T) for c in books]
+    by_book = np.ascontiguousarray(codes.T).astype(np.intp)
+    out = np.empty((len(codes), len(q)), np.float32)
+    some = np.empty((min(rows, len(codes)), len(q)), np.float32)
+    for a in range(0, len(codes), rows):
+        o = out[a : a + rows]
+        o[:] = norm[a : a + rows, None]
+        for m, table in enumerate(tables):
+            np.take(table, by_book[m, a : a + rows], axis=0, out=some[: len(o)], mode="clip")
+            o += some[: len(o)]
+    return out
+
+
+def least(s: np.ndarray, take: int) -> list[np.ndarray]:
+    """Of each row of ``s`` the places of its ``take`` least, and of all that equal the last of them."""
+    n = s.shape[1]
+    if take >= n:
+        return [np.arange(n)] * len(s)
+    step = max(1, n // 1024)
+    guess = min(take // step + take // (2 * step) + 8, (n - 1) // step)  # of a sample: a bound that most often leaves few, and enough
+    bound = np.partition(s[:, ::step], guess, axis=1)[:, guess]
+    out = []
+    for row, b in zip(s, bound):
+        at = np.flatnonzero(row <= b)
+        if len(at) < take:
+            at = np.arange(n)
+        few = row[at]
+        out.append(at[few <= np.partition(few, take - 1)[take - 1]])
     return out
 
 
 def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int = WORDS, beam: int = BEAM, iterations: int = ITERATIONS, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """(vec_id, neighbour_id, rank, distance): of each row its ``k`` nearest others by Euclidean distance."""
-    v, d = vectors(table)
+    usable, d = vectors(table)
     schema = "vec_id long, neighbour_id long, rank int, distance double"
-    n = v.count()
-    if n == 0:
+    if d == 0:
         return table.sparkSession.createDataFrame([], schema)
+    v = materialize(usable.groupBy("vec_id", "v").agg(F.count("*").alias("times")).withColumn("row", F.xxhash64("vec_id", "v")))
+    n = v.count()
     books = train(v, d, n, codebooks, words, iterations)
 
     def coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +211,15 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
                 part = b.slice(a, 1024)
                 codes, norm = encode(_matrix(part.column("v"), d), books, beam)
                 blob = pa.array([x.tobytes() for x in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), blob, pa.array(norm)], names=["vec_id", "v", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("row"), part.column("v"), blob, pa.array(norm)], names=["vec_id", "row", "v", "codes", "norm"])
 
     blocks = max(1, -(-n // block))
-    coded = v.mapInArrow(lean(coder), "vec_id long, v array<float>, codes binary, norm float")
-    coded = materialize(coded.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")))
+    coded = v.mapInArrow(lean(coder), "vec_id long, row long, v array<float>, codes binary, norm float")
+    coded = materialize(coded.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     # a cell is a pair of blocks: its codes first, then its queries
-    codes = coded.select(F.col("block").alias("c"), every.alias("q"), F.lit(0).alias("side"), "vec_id", "v", "codes", "norm")
-    queries = coded.select(every.alias("c"), F.col("block").alias("q"), F.lit(1).alias("side"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
+    codes = coded.select(F.col("block").alias("c"), every.alias("q"), F.lit(0).alias("side"), "vec_id", "row", "v", "codes", "norm")
+    queries = coded.select(every.alias("c"), F.col("block").alias("q"), F.lit(1).alias("side"), "vec_id", "row", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
     cells = codes.unionByName(queries).withColumn("cell", F.col("c").cast("long") * blocks + F.col("q"))
     cells = cells.repartition(min(blocks * blocks, max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)), "cell").sortWithinPartitions("cell", "side", "vec_id")
 
@@ -172,18 +227,18 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
         now, held, ready = None, [], None
 
         def answer(part: pa.RecordBatch) -> pa.RecordBatch:
-            code, norm, ids, x = ready
-            q, qid = _matrix(part.column("v"), d), part.column("vec_id").to_numpy()
-            s = scores(q, books, code, norm).T
-            take = min(max(rerank, k + 1), s.shape[1])
-            best = np.argpartition(s, take - 1, axis=1)[:, :take] if take < s.shape[1] else np.tile(np.arange(take), (len(q), 1))
-            dist = ((x[best].astype(np.float64) - q[:, None, :]) ** 2).sum(2)
-            itself = (ids[best] == qid[:, None]) & (dist == 0)
-            dist[itself] = np.inf
-            order = np.lexsort((ids[best], dist), axis=1)[:, :k]
-            dist, near = np.take_along_axis(dist, order, 1), np.take_along_axis(ids[best], order, 1)
-            ok = np.isfinite(dist)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(1))), pa.array(near[ok]), pa.array(np.sqrt(dist[ok])), part.column("row").take(pa.array(np.repeat(np.arange(len(qid)), ok.sum(1))))], names=["vec_id", "neighbour_id", "distance", "row"])
+            code, norm, ids, rows, x = ready
+            q, qid, qrow = _matrix(part.column("v"), d), part.column("vec_id").to_numpy(), part.column("row").to_numpy()
+            short = least(np.ascontiguousarray(scores(q, books, code, norm).T), max(rerank, k + 1))
+            near, dist = [], []
+            for i, at in enumerate(short):
+                at = at[(rows[at] != qrow[i]) | (ids[at] != qid[i])]  # all but the query itself
+                gap = x[at] - q[i]
+                at = at[np.lexsort((ids[at], np.einsum("kd,kd->k", gap, gap)))[:k]]
+                near.append(ids[at])
+                dist.append(np.sqrt(((x[at].astype(np.float64) - q[i]) ** 2).sum(1)))
+            size = [len(x) for x in near]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, size)), pa.array(np.concatenate(near)), pa.array(np.concatenate(dist)), pa.array(np.repeat(qrow, size))], names=["vec_id", "neighbour_id", "distance", "row"])
 
         for batch in batches:
             cell, side = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
@@ -202,15 +257,18 @@ def search(table: DataFrame, k: int = K, codebooks: int = CODEBOOKS, words: int
                 if ready is None:
                     t = pa.Table.from_batches(held).combine_chunks()
                     code = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(-1, len(books))
-                    ready = (code, t.column("norm").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0), d))
+                    ready = (code, t.column("norm").to_numpy(), t.column("vec_id").to_numpy(), t.column("row").to_numpy(), _matrix(t.column("v").chunk(0), d))
                 for s in range(0, part.num_rows, 128):
                     yield answer(part.slice(s, 128))
 
-    cells = cells.withColumn("row", F.xxhash64("vec_id", "v")).select("cell", "side", "vec_id", "v", "codes", "norm", "row")
-    near = cells.mapInArrow(lean(meet), "vec_id long, neighbour_id long, distance double, row long")
+    near = cells.select("cell", "side", "vec_id", "row", "v", "codes", "norm").mapInArrow(lean(meet), "vec_id long, neighbour_id long, distance double, row long")
     # a query's row is told by its vector too, so that rows of equal id stay apart
     w = Window.partitionBy("vec_id", "row").orderBy("distance", "neighbour_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
+    out = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("vec_id", "row", "neighbour_id", "rank", "distance")
+    again = v.filter("times > 1").select("vec_id", "row", "times")
+    if again.head(1):
+        out = out.join(again, ["vec_id", "row"], "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+    return out.select("vec_id", "neighbour_id", "rank", "distance")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
