@@ -34,9 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import lean
+from .kernels import lean, qualified
 
 BLOCK = 64 << 10
+#: Bytes of text in a shard: at most so many, and at least so few where the session's parallelism wants more shards.
+SHARD_BYTES, LEAST_BYTES = 512 << 20, 8 << 20
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"PLSST001"
@@ -283,6 +285,13 @@ class _Sink:
         self.fs.move(self.temp, self.name)
 
 
+def shard_count(docs: DataFrame) -> int:
+    """Shards by bytes, so that a shard, its Bloom filter and its index don't grow with the table."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-total // SHARD_BYTES), min(wanted, -(-total // LEAST_BYTES)))
+
+
 def shards(docs: DataFrame, partitions: int | None = None, tokenizer: str | None = None, block_bytes: int = BLOCK, folder: str | None = None) -> DataFrame:
     """The shards' pieces in order; with ``folder`` (on storage all tasks share) they go to files there and the rows are the manifest."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -290,9 +299,10 @@ def shards(docs: DataFrame, partitions: int | None = None, tokenizer: str | None
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         (F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]), {"ignoreNullFields": "false"}) if rest else F.lit("{}")).alias("rest"),
     )
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or shard_count(docs)
     ranged = flat.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "rest", F.asc_nulls_first("text"))
     types = [(c, t) for c, t in docs.dtypes]
+    folder = qualified(docs.sparkSession, folder) if folder else None
     return ranged.mapInArrow(lean(_writer(types, tokenizer, block_bytes, folder)), SCHEMA)
 
 
