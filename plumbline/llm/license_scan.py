@@ -4,14 +4,17 @@ Templates of each family, varied (words dropped, added, cut off, mixed in with
 prose), train a logistic regression on hashed word 1- to 3-grams, sparse: only
 n-grams of the templates have weights. One more class, *unknown*, is trained on
 paragraphs of other matter: generated prose about licences and copyright that
-grants none, and at most ``negatives`` paragraphs of the documents (a bounded
-sample of them, which the classifier alone uses). A temperature fitted on
-held-out variants calibrates the probabilities. A paragraph whose best class
-isn't unknown and has at least ``least`` probability is a finding; the share of
-the family's closest template that the paragraph contains confirms it or not.
-
-All paragraphs of all documents are scored, in full. Paragraphs are what blank
-lines separate, or lines where a text has no blank line.
+grants none, and stretches of at most ``STRETCH`` words from at most ``negatives``
+documents (a bounded sample of them, which the classifier alone uses: those whose
+texts hash least). A temperature fitted on held-out variants calibrates the
+probabilities. A paragraph whose best class isn't unknown and has at least
+``least`` probability is a finding; the share of the family's closest template
+that the paragraph contains confirms it or not.
+
+All paragraphs of all documents are scored, in full: a long one by stretches of
+``STRETCH`` words, each half over the one before it, of which the surest counts,
+so that a licence within other matter is found. Paragraphs are what blank lines
+separate, or lines where a text has no blank line.
 
 Defined cases: null and empty texts have no paragraph; a null id is kept as
 null; equal rows give equal findings each; of equal probabilities the family first
@@ -87,6 +90,8 @@ _DECOYS = (
 FAMILIES = [*TEMPLATES, "unknown"]
 NEGATIVES = 2000
 LEAST = 0.5
+#: Words that are classified at once, and of a document that is a negative.
+STRETCH = 64
 CONFIRM = 0.6
 _SIZE = 1 << 18
 
@@ -108,9 +113,11 @@ def _vary(rng: np.random.Generator, text: str, noise: list[str]) -> str:
     if len(keep) > 12 and rng.random() < 0.4:
         a = int(rng.integers(0, len(keep) // 3))
         keep = keep[a : a + int(rng.integers(8, len(keep)))]
-    if rng.random() < 0.4:
-        fill = [noise[int(k)] for k in rng.integers(0, len(noise), int(rng.integers(1, 1 + max(2, len(keep) // 2))))]
-        keep = fill + keep if rng.random() < 0.5 else keep + fill
+    if rng.random() < 0.5:  # within other matter, up to a whole stretch of it
+        room = len(keep) // 2 if rng.random() < 0.5 else STRETCH - len(keep)
+        fill = [noise[int(k)] for k in rng.integers(0, len(noise), int(rng.integers(1, 1 + max(2, room))))]
+        cut = int(rng.integers(0, len(fill) + 1))
+        keep = fill[:cut] + keep + fill[cut:]
     return " ".join(keep)
 
 
@@ -225,12 +232,41 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _negatives(docs: DataFrame, limit: int) -> list[str]:
-    """At most ``limit`` lines of documents, by hash, none that speaks of licences."""
-    h = F.xxhash64("text")
-    thin = max(1, docs.count() // (4 * max(limit, 1)))  # about four times the limit is sorted, whatever the table's size
-    pick = docs.filter(F.col("text").isNotNull() & (F.pmod(h, F.lit(thin)) == 0)).select(h.alias("h"), F.substring("text", 1, 2000).alias("t")).orderBy("h", "t").limit(limit)
-    lines = [next((x for x in r["t"].split("\n") if x.strip()), "") for r in pick.collect()]
-    return [x for x in dict.fromkeys(lines) if x and not re.search(r"(?i)licen[sc]|copyright|permission|rights reserved", x)]
+    """At most ``limit`` stretches, one from anywhere in each document whose text hashes least; none that speaks of licences."""
+    text = F.col("text").cast("string")
+    h = F.xxhash64(text)
+    rows, want = docs.filter(text.isNotNull()), max(limit, 1)
+    share = 4 * want / max(rows.count(), 1)  # about four times as many are sorted; where that leaves too few, all are
+    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    start = F.pmod(h, F.greatest(F.size("w") - STRETCH + 1, F.lit(1))).cast("int") + 1
+    for low in ([h < int(-(1 << 63) + share * (1 << 64))] if share < 1 else []) + [F.lit(True)]:
+        pick = rows.filter(low).select(h.alias("h"), text.alias("text")).orderBy("h").limit(limit).withColumn("w", words).select(F.array_join(F.slice("w", start, STRETCH), " ").alias("t"), F.col("h"))
+        got = [r["t"] for r in pick.orderBy("h", "t").collect()]
+        if len(got) == limit:
+            break
+    return [x for x in dict.fromkeys(got) if x and not re.search(r"(?i)licen[sc]|copyright|permission|rights reserved", x)]
+
+
+def stretches(w: Words, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(paragraph of each stretch, n-grams of each, and for each order the n-grams' indices and their stretches), from the words where n-grams begin."""
+    half = STRETCH // 2
+    count = np.diff(w.first)
+    parts = np.maximum(1, -(-(count - STRETCH) // half) + 1)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    whose = np.repeat(np.arange(len(count)), parts)
+    number = np.arange(first[-1]) - first[whose]
+    length = np.clip(count[whose] - number * half, 0, STRETCH)
+    total = sum(np.maximum(length - n + 1, 0) for n in range(1, len(at) + 1))
+    index, where = [], []
+    for n, a in enumerate(at, 1):
+        doc = w.doc[a]
+        p = a - w.first[doc]
+        s = p // half
+        one = np.flatnonzero((s < parts[doc]) & (p + n <= s * half + STRETCH))
+        two = np.flatnonzero((s > 0) & (p + n <= (s - 1) * half + STRETCH))
+        index.append(np.concatenate([one, two]))
+        where.append(np.concatenate([first[doc[one]] + s[one], first[doc[two]] + s[two] - 1]))
+    return whose, total, index, where
 
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES, least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
@@ -242,17 +278,21 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES, least: float = LEAST, conf
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 texts, doc, number = units(part.column("text"))
-                g, unit, w = grams(texts)
-                n = len(texts)
-                count = np.diff(w.first)
-                total = np.maximum(count, 0) + np.maximum(count - 1, 0) + np.maximum(count - 2, 0)
-                p = c.score(unit, g, n, total)
+                w = Words(texts, fold=True)
+                kinds = [w.ngrams(n) for n in (1, 2, 3)]
+                whose, total, index, where = stretches(w, [at for _, at in kinds])
+                g = np.concatenate([x[i] * U64(2 * n + 1) for n, ((x, _), i) in enumerate(zip(kinds, index), 1)])
+                p = c.score(np.concatenate(where), g, len(whose), total)
                 best = p.argmax(1)
-                found = np.flatnonzero((best < len(FAMILIES) - 1) & (p[np.arange(n), best] >= least) & (count > 0))
-                names = [FAMILIES[k] for k in best[found]]
+                sure = p[np.arange(len(p)), best]
+                named = np.flatnonzero((best < len(FAMILIES) - 1) & (sure >= least) & (total > 0))
+                named = named[np.lexsort((named, -sure[named], whose[named]))]
+                named = named[np.concatenate([[True], whose[named][1:] != whose[named][:-1]])] if len(named) else named  # of a paragraph the surest
+                found, best, sure = whose[named], best[named], sure[named]
+                names = [FAMILIES[k] for k in best]
                 alike = [c.similarity(f, t) for f, t in zip(names, texts.take(pa.array(found)).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc[found])), pa.array(number[found].astype(np.int32)), pa.array(names, pa.string()), pa.array(p[found, best[found]].astype(float)), pa.array(alike, pa.float64()), pa.array([x >= confirm for x in alike], pa.bool_())],
+                    [part.column("doc_id").take(pa.array(doc[found])), pa.array(number[found].astype(np.int32)), pa.array(names, pa.string()), pa.array(sure.astype(float)), pa.array(alike, pa.float64()), pa.array([x >= confirm for x in alike], pa.bool_())],
                     names=["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"],
                 )
 
