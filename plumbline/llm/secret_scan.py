@@ -16,7 +16,7 @@ Defined cases: a null or empty text has no finding; a null id is kept as null;
 equal rows give equal findings each; partners are all listed, in order;
 a value of any length is taken whole, a private key without an END line with the
 base64 lines that follow; overlapping matches of one kind count once (the strong
-one, else the longer); an empty table gives no rows; extra columns are ignored by ``scan`` and kept by ``redact``.
+one, else the longer); an empty table gives no rows; extra columns are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -83,11 +84,13 @@ def parts(text: str) -> list[tuple[int, int, str, bool, str]]:
     if any(k != "endpoint" for _, _, k, _, _ in found):  # an endpoint alone is never reported
         found += [(*m.span(), "endpoint", False, "address") for m in _ENDPOINT.finditer(text)]
     found.sort(key=lambda x: (not x[3], x[0] - x[1], x[0]))
-    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}  # in order, disjoint
     out = []
     for x in found:
-        if all(x[1] <= a or b <= x[0] for a, b in taken[x[2]]):
-            taken[x[2]].append(x[:2])
+        spans = taken[x[2]]
+        at = bisect_left(spans, x[:2])
+        if (at == 0 or spans[at - 1][1] <= x[0]) and (at == len(spans) or x[1] <= spans[at][0]):
+            spans.insert(at, x[:2])
             out.append(x)
     return sorted(out)
 
