@@ -15,7 +15,7 @@ Defined cases: a null source is a source of its own; a null or negative
 ``n_chars`` has size 1; rows without an id share one random number; equal rows
 are ranked one after the other; a source with a weight and no documents gets
 nothing, its weight counting for none; an empty table gives no rows; extra
-columns are kept (names ``_pl_*`` are taken).
+columns are kept, whatever their names; ``sample`` replaces those named as its three.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import materialize, small_side
+from .kernels import materialize, own_names, small_side
 
 SEED = 20
 BUCKETS = 4096
@@ -54,6 +54,7 @@ def allocate(docs: DataFrame, weights: dict[str, float] | None = None, total: in
     return exact.withColumn("_pl_n", F.col("_pl_base") + F.when(rank <= more, 1).otherwise(0)).select("_pl_s", "_pl_n", "_pl_size")
 
 
+@own_names
 def sample(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` once a copy, with ``copy_no`` from 1, ``whole`` copies and the ``expected`` number."""
     shares = small_side(materialize(allocate(docs, weights, total)))
