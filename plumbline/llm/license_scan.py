@@ -77,7 +77,7 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal, public domain dedication."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.", "Licensed under the ISC License."],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 _DECOYS = (
     "the driver lost a licence after the third offence and had to walk", "a fishing license is required on the lake from april to september", "the city council granted a liquor license to the new restaurant",
@@ -138,8 +138,9 @@ class Classifier:
             bag = [vocabulary[int(x)] if rng.random() < 0.5 else noise[int(y)] for x, y in zip(rng.integers(0, len(vocabulary), 14), rng.integers(0, len(noise), 14))]
             texts.append(" ".join(bag) if j % 2 else _vary(rng, _DECOYS[j // 2 % len(_DECOYS)], noise))
             labels.append(len(TEMPLATES))
-        texts += negatives
-        labels += [len(TEMPLATES)] * len(negatives)
+        short = [" ".join(t.split()[: int(rng.integers(1, 9))]) for t in negatives]  # paragraphs of a few words too
+        texts += negatives + short
+        labels += [len(TEMPLATES)] * (len(negatives) + len(short))
         base, _, _ = grams(pa.array([t for ts in TEMPLATES.values() for t in ts] + list(_DECOYS)))
         self.features = np.unique(base)
         y = np.array(labels)
@@ -190,7 +191,13 @@ class Classifier:
         total = np.bincount(doc, minlength=len(texts))
         at = np.minimum(np.searchsorted(self.features, g), len(self.features) - 1)
         hit = self.features[at] == g
-        return doc[hit], at[hit], 1 / np.sqrt(total[doc[hit]])
+        row, at = self._once(doc[hit], at[hit])
+        return row, at, 1 / np.sqrt(total[row])
+
+    def _once(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each feature once a text, however often it is repeated."""
+        both = np.unique(row.astype(np.int64) * len(self.features) + at)
+        return both // len(self.features), both % len(self.features)
 
     def _logits(self, row, column, value, n) -> np.ndarray:
         out = np.zeros((n, len(FAMILIES)))
@@ -206,8 +213,8 @@ class Classifier:
         may = np.flatnonzero(self.table[(mix(g) & U64(_SIZE - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.features, g[may]), len(self.features) - 1)
         hit = self.features[at] == g[may]
-        row = unit[may][hit]
-        return self._softmax(self.temperature * self._logits(row, at[hit], 1 / np.sqrt(np.maximum(total[row], 1)), n))
+        row, at = self._once(unit[may][hit], at[hit])
+        return self._softmax(self.temperature * self._logits(row, at, 1 / np.sqrt(np.maximum(total[row], 1)), n))
 
     def similarity(self, family: str, text: str) -> float:
         """Share of a template's 1- to 3-grams in the text, of the closest one."""
