@@ -73,7 +73,7 @@ def roll_up(nodes: DataFrame) -> DataFrame:
     struct (status, reason) of why a leaf couldn't be measured.
     """
     fault = F.col("fault") if "fault" in nodes.columns else F.lit(None).cast("struct<status:string,reason:string>").alias("fault")
-    n = nodes.select("citation", "parent_citation", "direct", "own", "reserved", "xml_bytes", fault)
+    n = settle(nodes.select("citation", "parent_citation", "direct", "own", "reserved", "xml_bytes", fault))  # read several times below, measured once
     parents = n.filter("parent_citation is not null").groupBy("parent_citation").agg(F.count("*").alias("kids")).withColumnRenamed("parent_citation", "pc")
     n = n.join(parents, n["citation"] == parents["pc"], "left").drop("pc").withColumn("kids", F.coalesce("kids", F.lit(0)))
     none = F.struct(F.lit(None).cast("bigint").alias("words"), F.lit(False).alias("known"))

@@ -21,6 +21,7 @@ from .functions import text as T
 from .operators import diffs, jurisdiction, packing, series, tree
 from .plans import delta, reads
 from .sources import tables as K
+from .sources.shared import settle
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,8 +330,9 @@ def title_number(lang):
 def nodes_of(t) -> DataFrame:
     n = leaves(t).filter("doc_id % 97 <> 0 or lang = 'fr'")
     none = F.lit(None).cast("string")
-    a = n.groupBy(F.col("title").alias("citation"), "lang").agg(M.all_or_nothing(F.col("words")).alias("words")).withColumn("source", none)
-    b = n.groupBy(F.col("part").alias("citation"), "lang", "source").agg(M.all_or_nothing(F.col("words")).alias("words"))
+    b = settle(n.groupBy(F.col("part").alias("citation"), "title", "lang", "source").agg(M.all_or_nothing(F.col("words")).alias("words")))  # a row a part, measured once
+    a = b.groupBy(F.col("title").alias("citation"), "lang").agg(M.all_or_nothing(F.col("words")).alias("words")).withColumn("source", none)
+    b = b.drop("title")
     u = a.unionByName(b)
     number = title_number(F.col("lang"))
     return u.select("citation", F.when(F.col("source").isNull(), "title").otherwise("part").alias("node_type"), F.coalesce("source", number.cast("string")).alias("identifier"), number.alias("title"), none.alias("subtitle"), none.alias("chapter"), none.alias("subchapter"), F.col("source").alias("part"), "words")
@@ -612,7 +614,7 @@ def g30_file_budget(t):
     return t("pages").agg(F.count("*").alias("files")).withColumn("budget", F.when(F.col("files") > 18000, "over").when(F.col("files") > 16000, "warn").otherwise("ok"))
 
 
-@query()
+@query("select tag, count(*) as n from (select unnest(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(script|style)[^>]*>).*?(</(script|style)>)', '\\1\\3', 'gsi'), '<([A-Za-z][^ \\t\\n\\r/>]*)', 1), lambda x: lower(x))) as tag from pages) group by tag")
 def g31_tag_census(t):
     from .functions.xmltext import html_tags
 
@@ -651,7 +653,7 @@ def w05_w06_hunks(t):
     return diffs.hunks(x09_line_diff_of(t), "pair", 1).drop("edits")
 
 
-@query()
+@query("with recursive d as (select source, doc_id, n_chars::bigint as b, row_number() over (partition by source order by doc_id) as k from documents), r(source, doc_id, b, k, unit, size) as (select source, doc_id, b, k, 0, b from d where k = 1 union all select d.source, d.doc_id, d.b, d.k, case when r.size + d.b > 20000 then r.unit + 1 else r.unit end, case when r.size + d.b > 20000 then d.b else r.size + d.b end from r join d on d.source = r.source and d.k = r.k + 1) select source, unit, string_agg(doc_id::varchar, ',' order by doc_id) as ids, min(doc_id)::varchar as first, max(doc_id)::varchar as last, sum(b)::bigint as bytes, sum(b) > 15000 as oversized from r group by source, unit")
 def w07_w08_render_units(t):
     """Order-keeping packing of a part's documents into page units."""
     return packing.pack_siblings(t("documents"), "source", "doc_id", "n_chars", "doc_id", target=20_000, oversized=15_000).withColumn("ids", F.array_join("ids", ","))
@@ -949,7 +951,16 @@ def x06_to_html(t):
     return t("documents").filter("doc_id % 20 = 0").select("doc_id", rendered(document_xml()).alias("r")).select("doc_id", "r.*")
 
 
-@query()
+_PLAIN = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+for _skip in ("script", "style", "nav", "footer", "head"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '<{_skip}(\\s[^>]*)?>.*?</{_skip}>', chr(10), 'gsi')"
+_PLAIN = f"regexp_replace({_PLAIN}, '</?(p|div|h[1-6]|li|ul|ol|br|tr|td|th|table|article|section|blockquote|main|header)(\\s[^>]*)?/?>', chr(10), 'gsi')"
+_PLAIN = f"regexp_replace({_PLAIN}, '<[^>]*>', '', 'gs')"
+for _mark, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    _PLAIN = f"replace({_PLAIN}, '{_mark}', {_char})"
+
+
+@query(f"select page_id, {words_sql('t')} as words from (select page_id, {_PLAIN} as t from pages)")
 def x07_html_text(t):
     from .functions.xmltext import html_text
 
@@ -1017,7 +1028,7 @@ def i07_retention(t):
     return incremental.retention(t("events").select("event_id", F.to_date("ts").alias("day")), "day", "2024-01-30", 10).select("event_id")
 
 
-@query()
+@query("with recursive e as (select user_id, epoch(ts) as now, row_number() over (partition by user_id order by ts) as k from events), r(user_id, k, now, tokens, ok) as (select user_id, k, now, 1.0::double, true from e where k = 1 union all select x.user_id, x.k, x.now, case when x.t >= 1 then x.t - 1 else x.t end, x.t >= 1 from (select e.user_id, e.k, e.now, least(2.0::double, r.tokens + greatest(0.0::double, e.now - r.now) * (1.0::double / 86400)) as t from r join e on e.user_id = r.user_id and e.k = r.k + 1) x) select user_id, count(*) filter (ok) as granted, count(*) as asked from r group by user_id")
 def i08_rate_limit(t):
     e = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return incremental.rate_limited_batch(e, "user_id", "ts", 1 / 86400, 2).groupBy("user_id").agg(F.count_if("granted").alias("granted"), F.count("*").alias("asked"))
