@@ -7,6 +7,7 @@ loads. Batches are cut by bytes, so that memory doesn't follow the row count.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 from collections.abc import Iterator
@@ -143,6 +144,39 @@ def qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
+_written: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Yields a function that writes a table to be kept; all other tables written meanwhile are removed at the end."""
+    mine: list[str] = []
+    kept: set[str] = set()
+    spark: SparkSession | None = None
+    _written.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        nonlocal spark
+        spark = df.sparkSession
+        out = materialize(df)
+        kept.add(mine[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _written.remove(mine)
+        if spark is not None:
+            for path in mine:
+                if path not in kept:
+                    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -155,6 +189,8 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.set(rows, before)
+    for held in _written:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -190,10 +226,8 @@ def small_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Removes a written table that nothing reads any more."""
-    spark = table.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(table.sparkSession, path)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:

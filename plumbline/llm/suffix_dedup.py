@@ -8,8 +8,10 @@
 3. A shard's contexts are one text, whose suffixes are sorted by induction:
    S*-substrings are named by sorting, their order is found by recursion, and
    two passes of a monotone bucket queue carry (suffix, common prefix) tuples
-   from each suffix to the one before it. A queue beyond its memory limit
-   writes its far buckets to the shared folder and reads them back in turn.
+   from each suffix to the one before it. Many minimizers share a shard that fits
+   in memory; one whose contexts have more than ``memory_words`` words is a shard
+   of its own, which is never held: its text, substrings, names, queues, order and
+   common prefixes are files in the shared folder (``external_suffixes``).
 4. Suffixes with a common prefix of ``words`` words or more, of two documents
    or more, are repeats; they are joined to maximal spans of each document.
 
@@ -24,40 +26,38 @@ alone are none; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
-import uuid
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, lean, materialize, mix, shared_dir, whole_groups
+from .external_suffixes import Log, Sorter, Store, induced
+from .kernels import U64, Words, chunks, lean, materialize, mix, shared_dir
 
 WORDS = 50
 GRAM = 8
-#: Words of one sorted text, unless a single minimizer's contexts have more.
+#: Words of a text that is sorted in memory, about; and the most that one minimizer's contexts may have there.
 SHARD_WORDS = 400_000
-#: Tuples that a queue holds in memory.
-QUEUE_ITEMS = 8_000_000
+MEMORY_WORDS = 1_000_000
+#: Tuples that each queue or sorter of a shard on disk holds in memory.
+TUPLES = 100_000
+#: Windows whose minimizers are found at once; less than 2**24.
+STEP = 1 << 23
+#: Contexts that a task remembers to have sent the words of.
+SENT = 1_000_000
+#: Words of a shard on disk are greater than its ends.
+_FLOOR = 1 << 40
 
 
 class BucketQueue:
-    """A monotone priority queue of (suffix, common prefix) by first word, first in first out; spills to ``folder``.
+    """A monotone priority queue of (suffix, common prefix) by first word, first in first out."""
 
-    Keys are taken in order only, so the buckets farthest from the present
-    one are those written out.
-    """
-
-    def __init__(self, limit: int = QUEUE_ITEMS, folder: str | None = None, descending: bool = False):
-        self.limit, self.folder, self.descending = limit, folder, descending
+    def __init__(self):
         self.held: dict[int, list[int]] = {}
-        self.count = 0
-        self.files: dict[int, list[tuple[str, int, int]]] = {}
-        self.spills = 0
 
     def push(self, key: int, item: int) -> None:
         bucket = self.held.get(key)
@@ -65,54 +65,10 @@ class BucketQueue:
             self.held[key] = [item]
         else:
             bucket.append(item)
-        self.count += 1
-        if self.count > self.limit and self.folder:
-            self._spill(key)
-
-    def _fs(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (fs.LocalFileSystem(), self.folder)
-
-    def _spill(self, near: int) -> None:
-        """Writes half of the buckets, the farthest ones."""
-        filesystem, base = self._fs()
-        filesystem.create_dir(base, recursive=True)
-        path = f"{base}/{uuid.uuid4().hex}"
-        order = sorted(self.held, reverse=not self.descending)
-        left = self.count // 2
-        at = 0
-        with filesystem.open_output_stream(path, compression=None) as out:
-            for key in order:
-                if self.count <= left or key == near and len(order) > 1:
-                    break
-                items = array("q", self.held.pop(key))
-                self.count -= len(items)
-                out.write(items.tobytes())
-                self.files.setdefault(key, []).append((path, at, len(items) * 8))
-                at += len(items) * 8
-        self.spills += 1
 
     def take(self, key: int) -> list[int]:
         """What the bucket has now, in order; what is pushed into it later is taken by another call."""
-        out: list[int] = []
-        if key in self.files:
-            filesystem, _ = self._fs()
-            for path, at, size in self.files.pop(key):
-                with filesystem.open_input_file(path) as f:
-                    f.seek(at)
-                    out.extend(array("q", f.read(size)))
-        bucket = self.held.pop(key, None)
-        if bucket:
-            self.count -= len(bucket)
-            out = out + bucket if out else bucket
-        return out
-
-    def close(self) -> None:
-        if self.spills:
-            filesystem, base = self._fs()
-            with contextlib.suppress(OSError):
-                filesystem.delete_dir(base)
+        return self.held.pop(key)
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -128,7 +84,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     return less[nxt]
 
 
-def sort_suffixes(t: np.ndarray, cap: int = WORDS, limit: int = QUEUE_ITEMS, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(t: np.ndarray, cap: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common prefix of each with the one before it, at most ``cap``) of an array of naturals, by induction."""
     t = np.ascontiguousarray(t, dtype=np.int64)
     n = len(t)
@@ -136,15 +92,15 @@ def sort_suffixes(t: np.ndarray, cap: int = WORDS, limit: int = QUEUE_ITEMS, fol
         return np.arange(n), np.zeros(n, np.int64)
     small = _types(t)
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order, common = _order_stars(t, star, cap, limit, folder)
+    order, common = _order_stars(t, star, cap)
     text = t.tolist()
     kind = small.tolist()
     # the first word's run, for the common prefix of the last L and the first S suffix of a bucket
     left = np.full(n, n)
     left[:-1] = np.where(t[:-1] != t[1:], np.arange(1, n), n)
     run = np.minimum.accumulate(left[::-1])[::-1] - np.arange(n)
-    large, large_common = _induce(text, kind, order, common, run, cap, limit, folder, False)
-    tiny, tiny_common = _induce(text, kind, large, large_common, run, cap, limit, folder, True)
+    large, large_common = _induce(text, kind, order, common, run, cap, False)
+    tiny, tiny_common = _induce(text, kind, large, large_common, run, cap, True)
     # merge: of each first word the L suffixes, then the S suffixes
     large, tiny = np.asarray(large, np.int64), np.asarray(tiny, np.int64)[::-1]
     lc = np.asarray(large_common, np.int64)
@@ -160,7 +116,7 @@ def sort_suffixes(t: np.ndarray, cap: int = WORDS, limit: int = QUEUE_ITEMS, fol
     return sa, lcp
 
 
-def _order_stars(t: np.ndarray, star: np.ndarray, cap: int, limit: int, folder: str | None) -> tuple[list[int], list[int]]:
+def _order_stars(t: np.ndarray, star: np.ndarray, cap: int) -> tuple[list[int], list[int]]:
     """S* suffixes in order, with common prefixes: names of their substrings by sorting, then recursion where names repeat."""
     m = len(star)
     if m == 0:
@@ -177,7 +133,7 @@ def _order_stars(t: np.ndarray, star: np.ndarray, cap: int, limit: int, folder:
         rank[named] = np.arange(m)
         known = np.zeros(m, np.int64)
     else:
-        rank, known = sort_suffixes(named, cap, limit, folder)
+        rank, known = sort_suffixes(named, cap)
     pos = star[rank]
     # equal names span equal words: what the recursion has in common is a lower bound here
     base = np.zeros(m, np.int64)
@@ -194,13 +150,13 @@ def _order_stars(t: np.ndarray, star: np.ndarray, cap: int, limit: int, folder:
     return pos.tolist(), lcp.tolist()
 
 
-def _induce(text, kind, seeds, seed_common, run, cap, limit, folder, descending):
+def _induce(text, kind, seeds, seed_common, run, cap, descending):
     """One pass: from the seeds (S* ascending, or L descending) the suffixes of the other type.
 
     Returns them in the order taken, each with its common prefix with the one
     taken before it (first of a bucket: 0).
     """
-    queue = BucketQueue(limit, f"{folder}/{uuid.uuid4().hex}" if folder else None, descending)
+    queue = BucketQueue()
     want = descending  # S suffixes are induced in the descending pass
     out: list[int] = []
     out_common: list[int] = []
@@ -218,62 +174,58 @@ def _induce(text, kind, seeds, seed_common, run, cap, limit, folder, descending)
     heads = sorted({text[s] for s in seeds} | set(text), reverse=descending)
     at, total = 0, len(seeds)
     push, take, held = queue.push, queue.take, queue.held
-    pending = queue.files
-    try:
-        if not descending and kind[n - 1] == want:
-            push(text[n - 1], (n - 1) << 8)  # induced by the empty suffix
-            last_rank[text[n - 1]] = -1
-            ranks.append(-1)
-            lows.append(0)
-        for c in heads:
-            start = rank  # what was induced from before this bucket has one word in common, no more
-            previous = -1
-            common = 0
-            seeded = False
-            while True:
-                # the bucket's queue, then its seeds; each is (suffix, common prefix with the one before it)
-                if c in held or c in pending:
-                    items = take(c)
-                elif at < total and text[seeds[at]] == c:
-                    items, seeded = [], True
-                    i = seeds[at]
-                    items.append(i << 8 | (min(int(run[previous]), int(run[i]), cap) if previous >= 0 else 0))
+    if not descending and kind[n - 1] == want:
+        push(text[n - 1], (n - 1) << 8)  # induced by the empty suffix
+        last_rank[text[n - 1]] = -1
+        ranks.append(-1)
+        lows.append(0)
+    for c in heads:
+        start = rank  # what was induced from before this bucket has one word in common, no more
+        previous = -1
+        common = 0
+        seeded = False
+        while True:
+            # the bucket's queue, then its seeds; each is (suffix, common prefix with the one before it)
+            if c in held:
+                items = take(c)
+            elif at < total and text[seeds[at]] == c:
+                items, seeded = [], True
+                i = seeds[at]
+                items.append(i << 8 | (min(int(run[previous]), int(run[i]), cap) if previous >= 0 else 0))
+                at += 1
+                while at < total and text[seeds[at]] == c:
+                    items.append(seeds[at] << 8 | seed_common[at])
                     at += 1
-                    while at < total and text[seeds[at]] == c:
-                        items.append(seeds[at] << 8 | seed_common[at])
-                        at += 1
-                else:
-                    break
-                if not seeded and previous < 0:
-                    items[0] = items[0] >> 8 << 8
-                for item in items:
-                    i = item >> 8
-                    common = item & 255
-                    if not seeded:
-                        out.append(i)
-                        out_common.append(common)
-                    while lows and lows[-1] >= common:
-                        lows.pop()
-                        ranks.pop()
-                    ranks.append(rank)
-                    lows.append(common)
-                    if i and kind[i - 1] == want:
-                        b = text[i - 1]
-                        before = last_rank.get(b)
-                        if before is None:
-                            got = 0
-                        elif before < start:
-                            got = 1
-                        else:
-                            got = lows[bisect_right(ranks, before)] + 1
-                            if got > cap:
-                                got = cap
-                        last_rank[b] = rank
-                        push(b, (i - 1) << 8 | got)
-                    rank += 1
-                previous = items[-1] >> 8
-    finally:
-        queue.close()
+            else:
+                break
+            if not seeded and previous < 0:
+                items[0] = items[0] >> 8 << 8
+            for item in items:
+                i = item >> 8
+                common = item & 255
+                if not seeded:
+                    out.append(i)
+                    out_common.append(common)
+                while lows and lows[-1] >= common:
+                    lows.pop()
+                    ranks.pop()
+                ranks.append(rank)
+                lows.append(common)
+                if i and kind[i - 1] == want:
+                    b = text[i - 1]
+                    before = last_rank.get(b)
+                    if before is None:
+                        got = 0
+                    elif before < start:
+                        got = 1
+                    else:
+                        got = lows[bisect_right(ranks, before)] + 1
+                        if got > cap:
+                            got = cap
+                    last_rank[b] = rank
+                    push(b, (i - 1) << 8 | got)
+                rank += 1
+            previous = items[-1] >> 8
     return out, out_common
 
 
@@ -286,17 +238,18 @@ def minimizers(w: Words, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndarr
     g = w.hash[: len(w.hash) - gram + 1].copy()
     for j in range(1, gram):
         g = mix(g * U64(0x100000001B3) + w.hash[j : len(g) + j])
-    bits = U64(24)
-    assert len(g) < 1 << 24
-    key = (g >> bits << bits) | np.arange(len(g), dtype=U64)
-    have = 1
-    least = key
-    while have * 2 <= span:
-        least = np.minimum(least[: len(least) - have], least[have:])
-        have *= 2
-    least = np.minimum(least[:m], least[span - have : span - have + m])
     window = np.flatnonzero(w.doc[:m] == w.doc[words - 1 :])
-    at = (least[window] & U64((1 << 24) - 1)).astype(np.int64)
+    at = np.empty(m, np.int64)
+    for a in range(0, m, STEP):  # a place within a step fits beside 40 bits of the hash
+        some = g[a : a + STEP + span - 1]
+        least = (some >> U64(24) << U64(24)) | np.arange(len(some), dtype=U64)
+        n, have = len(some) - span + 1, 1
+        while have * 2 <= span:
+            least = np.minimum(least[: len(least) - have], least[have:])
+            have *= 2
+        least = np.minimum(least[:n], least[span - have : span - have + n])
+        at[a : a + n] = (least & U64((1 << 24) - 1)).astype(np.int64) + a
+    at = at[window]
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
     return g[at[new]], window[new], np.diff(np.append(new, len(at)))
 
@@ -316,9 +269,13 @@ def _minimizers(words: int, gram: int):
 
 
 def _contexts(words: int, gram: int):
-    """Of each kept minimizer the words of its windows, and their hash; ``m`` comes with its place."""
+    """Of each kept minimizer the words of its windows, and their hash; ``m`` comes with its place.
+
+    Of equal contexts a task sends the words with the first alone, ``again`` marks the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 w = Words(part.column("text"))
@@ -334,20 +291,29 @@ def _contexts(words: int, gram: int):
                 ends = np.concatenate([[0], np.cumsum(length)])
                 within = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
                 index = within + np.repeat(a, length)
-                body = token[index] if len(index) else token[:0]
                 whole = np.zeros(len(a), U64)
                 if len(a):
                     whole = mix(np.add.reduceat(mix(w.hash[index] + within.astype(U64) * U64(0x9E3779B97F4A7C15)), ends[:-1]))
-                blob = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+                both = mix(whole ^ m.to_numpy(zero_copy_only=False).astype(U64))
+                kinds, first_of = np.unique(both, return_index=True)
+                fresh = np.array([k not in sent for k in kinds.tolist()], dtype=bool)
+                if len(sent) > SENT:
+                    sent.clear()  # words are sent once more, no harm
+                sent.update(kinds[fresh].tolist())
+                send = np.zeros(len(a), dtype=bool)
+                send[first_of[fresh]] = True
+                body = token[index[np.repeat(send, length)]] if len(index) else token[:0]
+                bytes_ = np.concatenate([[0], np.cumsum(np.where(send, length, 0) * 4)]).astype(np.int32)
+                blob = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(bytes_.tobytes()), pa.py_buffer(body.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [m, pa.array(whole.astype(np.int64)), part.column("doc_id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array((a - first).astype(np.int32)), blob],
-                    names=["m", "ctx", "doc_id", "text_hash", "at", "tokens"],
+                    [m, pa.array(whole.astype(np.int64)), pa.array(~send), part.column("doc_id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array((a - first).astype(np.int32)), blob],
+                    names=["m", "ctx", "again", "doc_id", "text_hash", "at", "tokens"],
                 )
 
     return run
 
 
-def repeats(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, words: int, limit: int = QUEUE_ITEMS, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows met in two documents: (context, word, least document) from one suffix sort of all contexts.
 
     low, high: the least and the greatest document of each context.
@@ -360,7 +326,7 @@ def repeats(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, words: i
     is_end[start[1:] - 1] = True
     t[~is_end] = code + len(texts)
     t[is_end] = np.arange(len(texts))  # each end is a word of its own
-    sa, lcp = sort_suffixes(t, words, limit, folder)
+    sa, lcp = sort_suffixes(t, words)
     group = np.cumsum(lcp < words)
     which = np.searchsorted(start, sa, side="right") - 1
     full = start[which + 1] - 1 - sa >= words
@@ -374,7 +340,7 @@ def repeats(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, words: i
     return which[several], (sa - start[which])[several], np.repeat(least, length)[several]
 
 
-def _sorter(words: int, shard_words: int, limit: int, folder: str):
+def _sorter(words: int, shard_words: int, memory_words: int, tuples: int, folder: str):
     def shard(t: pa.Table) -> pa.RecordBatch | None:
         m, ctx = t.column("m").to_numpy(), t.column("ctx").to_numpy()
         doc, at, hashed = t.column("doc_id").to_numpy(), t.column("at").to_numpy(), t.column("text_hash").to_numpy()
@@ -388,7 +354,7 @@ def _sorter(words: int, shard_words: int, limit: int, folder: str):
         several = np.flatnonzero(kinds[group] > 1)
         rc, ra, rl, rb = alone, np.zeros(len(alone), np.int64), low[alone], np.array([len(texts[k]) for k in alone], np.int64)
         if len(several):
-            c, p, least = repeats([texts[k] for k in several], low[several], high[several], words, limit, folder)
+            c, p, least = repeats([texts[k] for k in several], low[several], high[several], words)
             order = np.lexsort((p, c))
             c, p, least = several[c[order]], p[order], least[order]
             # runs of windows with the same least document, once for each context
@@ -409,24 +375,169 @@ def _sorter(words: int, shard_words: int, limit: int, folder: str):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["m"], max(1, shard_words // (2 * words))):
-            out = shard(t)
-            if out is not None:
+        for t, long in _shards(batches, max(1, shard_words // (2 * words)), memory_words):
+            if long is not None:
+                yield from external_spans(long, words, tuples, folder)
+            elif (out := shard(t)) is not None:
                 yield out
 
     return run
 
 
-def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, queue_items: int = QUEUE_ITEMS) -> DataFrame:
+def _shards(batches: Iterator[pa.RecordBatch], rows: int, memory_words: int) -> Iterator[tuple[pa.Table | None, Iterator[pa.Table] | None]]:
+    """Of a stream sorted by ``m``: tables of about ``rows`` rows of whole minimizers, and, where one has more than ``memory_words`` words, the stream of its tables instead."""
+    stream = iter(batches)
+    held: list[pa.RecordBatch] = []
+    count, enough = 0, rows
+    for b in stream:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count < enough:
+            continue
+        t = pa.Table.from_batches(held)
+        m = t.column("m").to_numpy()
+        cut = np.flatnonzero(m[1:] != m[:-1])
+        if len(cut):
+            yield t.slice(0, int(cut[-1]) + 1), None
+            t = t.slice(int(cut[-1]) + 1)
+        if t.num_rows * 8 + pc.sum(pc.binary_length(t.column("tokens"))).as_py() // 4 > memory_words:
+            rest: list[pa.RecordBatch] = []
+
+            def long() -> Iterator[pa.Table]:
+                yield t
+                for more in stream:
+                    same = more.column("m").to_numpy() == m[-1]
+                    n = int(same.sum())
+                    if n:
+                        yield pa.Table.from_batches([more.slice(0, n)])
+                    if n < more.num_rows:
+                        rest.append(more.slice(n))
+                        return
+
+            yield None, long()
+            held, count, enough = rest, sum(x.num_rows for x in rest), rows
+            continue
+        held, count = t.combine_chunks().to_batches(), t.num_rows
+        enough = max(rows, min(2 * count, count + memory_words // 64 + 1))
+    if held:
+        yield pa.Table.from_batches(held), None
+
+
+def external_spans(tables: Iterator[pa.Table], words: int, tuples: int, folder: str, watch: list | None = None) -> Iterator[pa.RecordBatch]:
+    """What ``shard`` gives of one minimizer's rows, in files: nothing that follows their number is held. ``watch`` gets the store."""
+    store = Store(folder, tuples)
+    if watch is not None:
+        watch.append(store)
+    text, contexts, rows = Log(store), Log(store), Log(store)
+    try:
+        k, start, length, low, high, last = -1, 0, 0, 0, 0, None
+        for t in tables:
+            for ctx, doc, hashed, at, tokens in zip(*(t.column(c).to_pylist() for c in ("ctx", "doc_id", "text_hash", "at", "tokens"))):
+                if ctx == last:
+                    low, high = min(low, doc), max(high, doc)
+                else:
+                    if k >= 0:
+                        contexts.append((start, length, low, high))
+                        start += length + 1
+                    k, low, high, last = k + 1, doc, doc, ctx
+                    length = len(tokens) // 4
+                    for x in np.frombuffer(tokens, np.uint32).tolist():
+                        text.append(_FLOOR + x)
+                    text.append(k)  # an end is a word of its own, less than all words
+                rows.append((k, doc, hashed, at))
+        contexts.append((start, length, low, high))
+        for log in (text, contexts, rows):
+            log.done()
+        spans = ((k, 0, length, low) for k, (_, length, low, high) in enumerate(contexts) if low != high) if k == 0 else _windows(store, text, contexts, words)
+        yield from _occurrences(spans, rows)
+    finally:
+        store.close()
+
+
+def _windows(store: Store, text: Log, contexts: Log, words: int) -> Iterator[tuple[int, int, int, int]]:
+    """(context, first word, end, least document) of runs of windows met in two documents, in order."""
+    by_place = Sorter(store)
+    group = 0
+    for _, at, common in induced(store, text, words, _FLOOR):
+        group += common < words
+        by_place.push((at, group))
+    members = Sorter(store)
+    of = enumerate(contexts)
+    k, (start, length, low, high) = next(of)
+    for at, group in by_place:
+        while at > start + length:
+            k, (start, length, low, high) = next(of)
+        if at - start + words <= length:
+            members.push((group, k, at - start, low, high))
+    met, ends = Log(store), Log(store)
+    now, least, most = None, 0, 0
+    for group, k, p, low, high in members:
+        met.append((group, k, p))
+        if group != now:
+            if now is not None:
+                ends.append((now, least, most))
+            now, least, most = group, low, high
+        else:
+            least, most = min(least, low), max(most, high)
+    if now is not None:
+        ends.append((now, least, most))
+    met.done(), ends.done()
+    windows, of = Sorter(store), iter(ends)
+    now = None
+    for group, k, p in met:
+        if group != now:
+            now, least, most = next(of)
+        if least != most:
+            windows.push((k, p, least))
+    run = None  # context, first and last window, least document
+    for k, p, least in windows:
+        if run is not None and run[0] == k and run[2] + 1 == p and run[3] == least:
+            run[2] = p
+        else:
+            if run is not None:
+                yield run[0], run[1], run[2] + words, run[3]
+            run = [k, p, p, least]
+    if run is not None:
+        yield run[0], run[1], run[2] + words, run[3]
+
+
+def _occurrences(spans: Iterator[tuple[int, int, int, int]], rows: Log) -> Iterator[pa.RecordBatch]:
+    """Every row (context, document, its text's hash, place) with its context's spans; both in order of context."""
+    span = next(spans, None)
+    mine, k = [], -1  # a context's spans are within its words
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*out))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()))], names=["doc_id", "text_hash", "keep", "start_word", "end_word"])
+
+    for c, doc, hashed, at in rows:
+        if c != k:
+            k, mine = c, []
+            while span is not None and span[0] <= c:
+                if span[0] == c:
+                    mine.append(span)
+                span = next(spans, None)
+        out += [(doc, hashed, doc == least, at + a, at + b) for _, a, b, least in mine]
+        if len(out) >= 10_000:
+            yield batch()
+    if out:
+        yield batch()
+
+
+def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, memory_words: int = MEMORY_WORDS, tuples: int = TUPLES) -> DataFrame:
     """(doc_id, text_hash, keep, start_word, end_word) of every maximal repeated span, words counted from 0."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = materialize(keyed.mapInArrow(lean(_minimizers(words, gram)), "m long, doc_id long, text_hash long, at long"))
     shared = found.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("m")
     places = found.join(shared, "m").groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("m", "at"))).alias("places"))
     rows = keyed.join(places, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
-    contexts = rows.mapInArrow(lean(_contexts(words, gram)), "m long, ctx long, doc_id long, text_hash long, at int, tokens binary")
-    shards = contexts.repartition("m").sortWithinPartitions("m", "ctx")
-    spans = shards.mapInArrow(lean(_sorter(words, shard_words, queue_items, shared_dir(docs.sparkSession))), "doc_id long, text_hash long, keep boolean, start_word int, end_word int")
+    contexts = rows.mapInArrow(lean(_contexts(words, gram)), "m long, ctx long, again boolean, doc_id long, text_hash long, at int, tokens binary")
+    shards = contexts.repartition("m").sortWithinPartitions("m", "ctx", "again")
+    spans = shards.mapInArrow(lean(_sorter(words, shard_words, memory_words, tuples, shared_dir(docs.sparkSession))), "doc_id long, text_hash long, keep boolean, start_word int, end_word int")
     w = Window.partitionBy("doc_id", "text_hash", "keep").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") <= F.col("_reach"), 0).otherwise(1)).over(w)
