@@ -1,7 +1,16 @@
 """From documents to packed windows: quality rules, near copies, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's documents.
+written as Parquet and read again as the next one's documents. What a stage
+wrote besides, and its predecessor's table, are removed then.
+
+Defined cases: a document whose text is null, empty or blank goes with the first
+stage; a null language or source is one of its own; documents without an id are
+never copies of others, keep their rows in every stage and share a random number
+in the mixing; of equal rows the second stage keeps one; very long texts are read
+and packed whole, in as many windows as they need; ties go to the lesser id; an
+empty table gives an empty result; extra columns, whatever their names, are kept
+up to the last stage, which returns its own columns alone.
 """
 
 from __future__ import annotations
@@ -45,6 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = kernels.materialize(stage(spark, docs, sf_dir))
+        with kernels.scratch() as keep:
+            docs = keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            kernels.discard(before)
+        before = docs
     return docs
