@@ -71,6 +71,20 @@ def retry_after(value: Column, now: Column) -> Column:
     return F.when(seconds >= 0, seconds).when(at.isNotNull(), F.greatest(F.lit(0.0), (F.unix_timestamp(at) - F.unix_timestamp(now)).cast("double")))
 
 
+#: (attempts, base seconds, most seconds) of each kind of failure that is tried again.
+BUDGETS = {"rate_limited": (6, 1.0, 60.0), "server": (4, 2.0, 60.0), "network": (3, 0.5, 10.0)}
+
+
+def retry(kind: Column, attempt: Column, suggested: Column, seed: int | None = None, budgets: dict[str, tuple[int, float, float]] = BUDGETS) -> Column:
+    """(again, delay) after an attempt (from 1) that failed: what the server suggests, else jitter; no more beyond its kind's budget, or for another kind."""
+    delay = F.lit(None).cast("double")
+    again = F.lit(False)
+    for k, (attempts, base, cap) in budgets.items():
+        delay = F.when(kind == k, full_jitter(attempt, base, cap, seed)).otherwise(delay)
+        again = F.when(kind == k, attempt < attempts).otherwise(again)
+    return F.struct(again.alias("again"), F.when(again, F.coalesce(suggested.cast("double"), delay)).alias("delay"))
+
+
 def clamp_limit(asked: Column, most: int = 500, default: int = 50) -> Column:
     return F.greatest(F.lit(1), F.least(F.coalesce(asked, F.lit(default)), F.lit(most)))
 

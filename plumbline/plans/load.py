@@ -96,6 +96,7 @@ def _stats(t: dict[str, DataFrame]) -> DataFrame:
 
 def backfill(warehouse: Warehouse, inputs: Inputs, run: int) -> bool:
     """A full load. Nothing is published unless every check against the last published run holds."""
+    warehouse.record(run, "backfill", "running")
     if inputs.titles.filter("import_in_progress").head(1):
         warehouse.record(run, "backfill", "postponed")
         return False
@@ -107,6 +108,7 @@ def incremental(warehouse: Warehouse, inputs: Inputs, amended: DataFrame, run: i
     stored = warehouse.read("structure_node")
     if stored is None:
         return backfill(warehouse, inputs, run)
+    warehouse.record(run, "delta", "running")
     part = F.col("node_type") == "part"
     parts = inputs.structure.filter(part)
     sizes = delta.size_diff(stored.filter(part), parts)

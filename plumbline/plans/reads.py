@@ -146,5 +146,13 @@ def quality(t: Tables, sample: int = 50) -> DataFrame:
     return q.filter(F.col("k") <= sample).groupBy("status", "reason", "n").agg(F.array_sort(F.collect_list("citation")).alias("sample")).withColumn("truncated", F.col("n") > sample).orderBy(F.desc("n"), "status", "reason")
 
 
+def app_meta(t: Tables) -> DataFrame:
+    """One row: what is published, and since when; where nothing is, nulls and schema version 0."""
+    m = t["app_meta"].filter("id = 1")
+    default = m.sparkSession.range(1).select(F.lit(0).alias("none"))
+    names = [c for c in m.columns if c not in ("id", "schema_version")]
+    return default.join(m, F.lit(True), "left").select(*names, F.coalesce("schema_version", F.lit(0)).alias("schema_version"))
+
+
 def word_counts(t: Tables, limit: Column | int = 50, offset: int = 0) -> DataFrame:
     return titles(t).offset(offset).limit(limit)

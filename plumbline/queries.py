@@ -1179,3 +1179,35 @@ def g20_quality_page(t):
 @query(f"with {PUBLISHED_SQL} select claim.ref_key, citation, words, status, reason, coalesce(agency_count, 1) as agency_count from claim join node on citation = claim.ref_key left join shared on shared.ref_key = claim.ref_key where slug = 'n1'")
 def j02_agency_scopes(t):
     return reads.agency(published(t), "n1").drop("agency_slugs")
+
+
+# keys, meta, retries
+
+
+@query("with k as (select c_custkey, md5(c_custkey::varchar) as h from customer), r as (select c_custkey, 'pk_' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) as head, case when c_custkey % 5 = 0 then 'short_x' else h || '_' || c_custkey end as secret from k) select c_custkey, case when c_custkey % 5 <> 0 and c_custkey % 7 <> 0 then substr(head, 4) end as id, right(secret, 4) as suffix, sha256(head || '_' || secret) as hash, c_custkey % 3 <> 0 as same from r")
+def d18_keys(t):
+    from .functions import credentials
+
+    h = F.md5(F.col("c_custkey").cast("string"))
+    ident = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    secret = F.when(F.col("c_custkey") % 5 == 0, "short_x").otherwise(F.concat(h, F.lit("_"), F.col("c_custkey").cast("string")))
+    k = t("customer").select("c_custkey", credentials.new_key("pk", ident, secret).alias("k"))
+    shown = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("x"), F.col("k.plaintext"))).otherwise(F.col("k.plaintext"))
+    other = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("-"), F.expr("substring(k.hash, 2)"))).otherwise(F.col("k.hash"))
+    return k.select("c_custkey", credentials.parse_key(shown, "pk")["id"].alias("id"), "k.suffix", "k.hash", credentials.same_digest(F.col("k.hash"), other).alias("same"))
+
+
+@query("select r_name as source_date, 7 as schema_version, true as there from region where r_regionkey = 1 union all select null, 0, false")
+def i10_app_meta(t):
+    m = t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("source_date"), F.lit(7).alias("schema_version"))
+    return reads.app_meta({"app_meta": m}).withColumn("there", F.lit(True)).unionByName(reads.app_meta({"app_meta": m.limit(0)}).withColumn("there", F.lit(False)))
+
+
+@query("select o_orderkey, k, a, case k when 'rate_limited' then a < 6 when 'server' then a < 4 when 'network' then a < 3 else false end as again, case when s is not null and case k when 'rate_limited' then a < 6 when 'server' then a < 4 when 'network' then a < 3 else false end then s end as suggested, true as bounded from (select o_orderkey, case o_orderkey % 4 when 0 then 'rate_limited' when 1 then 'server' when 2 then 'network' else 'fatal' end as k, (o_orderkey % 8)::int as a, case when o_orderkey % 3 = 0 then (o_orderkey % 11)::double end as s from orders)")
+def i11_retry_decisions(t):
+    key = F.col("o_orderkey")
+    kind = F.when(key % 4 == 0, "rate_limited").when(key % 4 == 1, "server").when(key % 4 == 2, "network").otherwise("fatal")
+    o = t("orders").select("o_orderkey", kind.alias("k"), (key % 8).cast("int").alias("a"), F.when(key % 3 == 0, (key % 11).cast("double")).alias("s"))
+    o = o.withColumn("r", S.retry(F.col("k"), F.col("a"), F.col("s"), 5))
+    bounded = F.coalesce(F.col("s").isNotNull() | (F.col("r.delay") <= F.least(F.lit(60.0), 2 * F.pow(F.lit(2.0), F.col("a")))), ~F.col("r.again"))
+    return o.select("o_orderkey", "k", "a", "r.again", F.when(F.col("s").isNotNull(), F.col("r.delay")).alias("suggested"), bounded.alias("bounded"))

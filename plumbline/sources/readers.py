@@ -63,6 +63,14 @@ def xml_files(spark: SparkSession, path: str, limit: int = MAX_XML_BYTES) -> Dat
     return small.unionByName(f.filter(F.col("length") > limit).select("path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("too_large")))
 
 
+def xml_stream(spark: SparkSession, path: str, files_per_trigger: int = 16, limit: int = MAX_XML_BYTES) -> DataFrame:
+    """The same of files as they land, as a stream; a file is read once, whole."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    f = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    large = F.col("length") > limit
+    return f.select("path", F.when(~large, F.decode("content", "UTF-8")).alias("content"), large.alias("too_large"))
+
+
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all pages, with each page's claims about itself."""
     v = spark.read.schema(VERSIONS).json(path, multiLine=True, mode="FAILFAST")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = {
@@ -106,12 +106,15 @@ class Warehouse:
         self._fs.delete(self._path(f"{self.root}/versions/{run}"), True)
 
     def record(self, run: int, kind: str, status: str, **counters: int) -> None:
-        """Appends a row to the ledger of runs."""
+        """Appends a row to the ledger of runs; a run that dies leaves the one that opened it."""
         row = [(run, kind, status, {k: int(v) for k, v in counters.items()})]
         self.spark.createDataFrame(row, "id bigint, kind string, status string, counters map<string,bigint>").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/ledger")
 
     def ledger(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/ledger")
+        """Of each run its last row: ``running`` where it never ended."""
+        rows = self.spark.read.parquet(f"{self.root}/ledger")
+        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at"), (F.col("status") == "running").cast("int")))
+        return rows.withColumn("_r", last).filter("_r = 1").drop("_r")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

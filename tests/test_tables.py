@@ -127,3 +127,29 @@ def test_queries_equal_their_sql(spark, sf, part):
         order = sorted(names)
         want = sorted(tuple(cell(r[names.index(k)]) for k in order) for r in cur.fetchall())
         assert sorted(tuple(cell(r[k]) for k in order) for r in df.collect()) == want, name
+
+
+def test_xml_files_as_they_land(spark, tmp_path):
+    land = tmp_path / "xml"
+    land.mkdir()
+    (land / "1.xml").write_text("<A>é</A>")
+    (land / "2.xml").write_text("<B>" + "x" * 100 + "</B>")
+    q = readers.xml_stream(spark, str(land), limit=50).writeStream.format("memory").queryName("landed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.path.rsplit("/", 1)[1]: (r.content, r.too_large) for r in spark.table("landed").collect()}
+    assert got == {"1.xml": ("<A>é</A>", False), "2.xml": (None, True)}
+
+
+def test_ledger_keeps_runs_that_never_ended(spark, tmp_path):
+    w = tables.Warehouse(spark, str(tmp_path / "w"))
+    w.record(1, "backfill", "running")
+    w.record(1, "backfill", "published", tables=3)
+    w.record(2, "delta", "running")
+    assert [(r.id, r.status) for r in w.ledger().orderBy("id").collect()] == [(1, "published"), (2, "running")]
+
+
+def test_new_keys_are_random_and_parse(spark):
+    from plumbline.functions import credentials
+
+    rows = spark.range(50).select(credentials.new_key("pk").alias("k")).select("k.*", credentials.parse_key(F.col("k.plaintext"), "pk")["id"].alias("back")).collect()
+    assert all(r.id == r.back and len(r.hash) == 64 and r.plaintext.endswith(r.suffix) for r in rows) and len({r.plaintext for r in rows}) == 50
