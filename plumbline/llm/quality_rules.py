@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -39,6 +38,8 @@ ORDER = 5
 PAD = "\x02" * (ORDER - 1)
 #: N-grams of one array, which is broadcast; a model of more is cut into slices by hash, each for one pass over the documents.
 SLICE_NGRAMS = 4_000_000
+#: A lower order's table of at most so many n-grams is broadcast to the next one's, 24 bytes each.
+SMALL_KINDS = 250_000
 #: Orders finished a language at a time: a language has at most 2**24 kinds of 3 bytes, and in UTF-8 far fewer.
 LOW = 3
 _SCORES = "_pl_doc long, _pl_text long, lang string, blank boolean, n_bytes long, bits double"
@@ -117,10 +118,10 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
     return [0.0, *(min(max(k - (k + 1) * y * more / less, 0.05 * k), k - (0.05, 0.1, 0.1)[k - 1]) for k, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
 
 
-def _low_orders(key, pdf):
+def _low_orders(key: tuple[pa.Scalar, ...], counts: pa.Table) -> pa.Table:
     """(l, g, p) of one language's LOW-grams from their counts (g, n): interpolated, lower orders counting distinct left contexts."""
-    order = np.argsort(pdf["g"].to_numpy())
-    tables = {LOW: (pdf["g"].to_numpy()[order], pdf["n"].to_numpy()[order].astype(float))}
+    order = np.argsort(counts.column("g").to_numpy())
+    tables = {LOW: (counts.column("g").to_numpy()[order], counts.column("n").to_numpy()[order].astype(float))}
     for k in range(LOW - 1, 0, -1):
         kinds = np.unique(tables[k + 1][0] & ((1 << (8 * k)) - 1), return_counts=True)
         tables[k] = (kinds[0], kinds[1].astype(float))
@@ -133,7 +134,7 @@ def _low_orders(key, pdf):
         left = np.add.reduceat(taken, first) / total
         below = p[np.searchsorted(tables[k - 1][0], g & ((1 << (8 * (k - 1))) - 1))] if k > 1 else p
         p = (c - taken) / total[which] + left[which] * below
-    return pd.DataFrame({"l": key[0], "g": tables[LOW][0], "p": p})
+    return pa.table({"l": np.full(len(p), key[0].as_py()), "g": tables[LOW][0], "p": p})
 
 
 def model_table(counts: DataFrame) -> DataFrame:
@@ -143,14 +144,14 @@ def model_table(counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, LOW - 1, -1):
         up = tables[k + 1].groupBy("l", F.col("g").bitwiseAND(mask(k)).alias("g")).agg(F.count("*").alias("n"))
         tables[k] = materialize(up) if k > LOW else up
-    p = materialize(tables[LOW].groupBy("l").applyInPandas(_low_orders, "l long, g long, p double"))
+    p = materialize(tables[LOW].groupBy("l").applyInArrow(_low_orders, "l long, g long, p double"))
     for k in range(LOW + 1, ORDER + 1):
         kinds = tables[k].groupBy("l").agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]).collect()  # a row a language
         taken = counts.sparkSession.createDataFrame([(r["l"], *discounts(r["n1"], r["n2"], r["n3"], r["n4"])[1:]) for r in kinds], "l long, d1 double, d2 double, d3 double")
         w = Window.partitionBy("l", "c")
         t = tables[k].join(small_side(taken), "l").withColumn("c", F.shiftright("g", 8)).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         t = t.withColumn("total", F.sum("n").over(w)).withColumn("left", F.sum("d").over(w) / F.col("total"))
-        below = small_side(p.select(F.col("l").alias("pl"), F.col("g").alias("pg"), F.col("p").alias("below")))
+        below = small_side(p.select(F.col("l").alias("pl"), F.col("g").alias("pg"), F.col("p").alias("below")), SMALL_KINDS)
         t = t.join(below, (F.col("l") == F.col("pl")) & (F.col("g").bitwiseAND(mask(k - 1)) == F.col("pg")))
         now = (F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("below")
         before, p = p, materialize(t.select("l", "g", now.alias("p")))
