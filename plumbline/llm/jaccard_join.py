@@ -5,24 +5,30 @@ class has ``trees`` signatures of ``depth`` minhashes; a tree's signatures,
 sorted, are a prefix trie. One exchange brings all classes below a node of
 prefix length ``FLOOR`` together, sorted by signature, so that longer prefixes
 are runs within it: the candidates of all lengths from ``depth`` down to
-``FLOOR`` are read off at once, longest first. They are verified on the exact
-sets, and the share of true pairs found so far is estimated from those verified:
-a pair of Jaccard J shares a prefix of length d in one of l trees with
-probability ``1-(1-J^d)^l``. While that estimate is below ``recall``, the prefix
-is shortened by one more level, for the pairs that no longer one has.
+``FLOOR`` are told at once, longest first. Of each node the classes that have a
+candidate go on with their exact sets, as bits over the n-grams that two of them
+share, and their candidates are verified there. The share of true pairs found so
+far is estimated from those verified: a pair of Jaccard J shares a prefix of
+length d in one of l trees with probability ``1-(1-J^d)^l``. While that estimate
+is below ``recall``, the prefix is shortened by one more level, for the pairs that
+no longer one has.
 
 A node's members are all compared, in blocks where they are many; there is no
 cap on partners. A pair is taken up once, in the first tree that has it.
 
-``join`` returns pairs. Of a class of m documents these are its first document
-with each of the others (m-1 rows of Jaccard 1); of two near classes it is their
-first documents. What two documents have in common is thus that of their classes.
+``links`` returns a row for each document: the id of its class, by equal sets and
+near ones however linked, and the number of other documents that it has a link
+to. Pairs are counted where they are verified and never written, as their number
+grows as the square of a group's. ``join`` returns pairs: of a set that m documents
+have these are its first document with each of the others (m-1 rows of Jaccard 1);
+of two near sets it is their first documents.
 
 Defined cases: null ids and texts without words match nothing; a text of fewer
 than ``n`` words is one n-gram; rows with equal id and text are one document;
 rows with equal id and another text are documents of their own; an empty table
-gives no rows; extra columns are ignored by ``join`` and kept by ``deduplicate``,
-whatever their names. Case and punctuation of any script don't count, and letters
+gives no rows; extra columns are ignored by ``join`` and ``links`` and kept by
+``deduplicate``, whatever their names. In ``links`` a document without words is a
+class of its own; rows without an id are kept each, without a class or links. Case and punctuation of any script don't count, and letters
 of scripts without spaces are words of their own.
 """
 
@@ -44,7 +50,11 @@ TREES = 16
 DEPTH = 5
 #: The longest prefix at which the search may stop: at longer ones the estimate rests on the closest pairs alone.
 FLOOR = 3
-BLOCK = 1024
+#: A node's rows, and bytes of their sets, that are compared at once (with as many of another block).
+BLOCK = 4096
+BLOCK_BYTES = 64 << 20
+#: Cells of up to so many classes take all their pairs at once.
+FEW = 300
 _RNG = np.random.default_rng(7)
 _MUL = (_RNG.integers(1, 1 << 31, 256, dtype=np.uint64) * U64(2) + U64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -130,8 +140,8 @@ def _prefixes(trees: int, depth: int, d: int):
             if batch.num_rows:
                 node = _nodes(_matrix(batch.column("sig"), trees * depth).reshape(-1, trees, depth), d)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node.ravel().astype(np.int64)), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(node))), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), trees))],
-                    names=["node", "tree", "cls"],
+                    [pa.array(node.ravel().astype(np.int64)), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(node))), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), trees)), pa.array(np.repeat(batch.column("size").to_numpy(zero_copy_only=False), trees))],
+                    names=["node", "tree", "cls", "size"],
                 )
 
     return run
@@ -155,16 +165,17 @@ def _tries(trees: int, depth: int, d: int, above: int):
 
 
 def _candidates(trees: int, above: bool, least: float):
-    """Pairs below one node of a sorted trie whose first tree at this length is this one, and that no longer prefix of an earlier pass had."""
+    """The rows below one node of a sorted trie that are in a pair whose first tree at this length is this one, and that no longer prefix of an earlier pass had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["cell"]):
             cell, tree = t.column("cell").to_numpy(), t.column("tree").to_numpy()
-            cls, size = t.column("cls").to_numpy(), t.column("size").to_numpy().astype(float)
+            size = t.column("size").to_numpy().astype(float)
             block = t.column("block").to_numpy()
             low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
             both = _matrix(t.column("nodes"), 2 * trees)
             nodes, longer = both[:, :trees], both[:, trees:] if above else None
+            has = np.zeros(len(cell), dtype=bool)
             s = 1  # neighbours in the trie share the longest prefixes; each step looks one place farther
             alive = np.arange(len(cell))
             while True:
@@ -174,16 +185,18 @@ def _candidates(trees: int, above: bool, least: float):
                     break
                 for a in np.array_split(alive, max(1, len(alive) // 100_000)):
                     b = a + s
-                    ok = (low[a] == high[a]) | (block[a] != block[b])  # a cell of two blocks has only their cross pairs
-                    ok &= np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
+                    ok = ~(has[a] & has[b])
+                    ok &= (low[a] == high[a]) | (block[a] != block[b])  # a cell of two blocks has only their cross pairs
+                    a, b = a[ok], b[ok]
+                    ok = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
                     a, b = a[ok], b[ok]
                     ok = np.argmax(nodes[a] == nodes[b], axis=1) == tree[a]
                     if longer is not None:
                         ok &= ~(longer[a] == longer[b]).any(axis=1)
-                    a, b = a[ok], b[ok]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], names=["cell", "a", "b"])
+                    has[a[ok]] = has[b[ok]] = True
                 s += 1
+            if has.any():
+                yield from t.filter(pa.array(has)).combine_chunks().to_batches()
 
     return run
 
@@ -203,59 +216,153 @@ def _setter(n: int):
     return run
 
 
-def _verifier(threshold: float):
-    """Cogrouped by sort: of each cell first the sets (a null), then the pairs."""
+def _pairs(block: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a cell's rows, or of two blocks all that cross, some at a time."""
+    m = len(block)
+    if low != high:
+        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        step = max(1, 50_000 // max(1, len(q)))
+        for i in range(0, len(p) if len(q) else 0, step):
+            some = p[i : i + step]
+            yield np.repeat(some, len(q)), np.tile(q, len(some))
+    elif m <= FEW:
+        yield np.triu_indices(m, 1)
+    else:
+        for s in range(1, m):
+            yield np.arange(m - s), np.arange(s, m)
+
+
+def _bits(g: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """(m, words): the sets as bits; an n-gram that one row alone has is in no intersection and gets none."""
+    _, what, times = np.unique(g, return_inverse=True, return_counts=True)
+    keep = times > 1
+    place = (np.cumsum(keep) - 1)[what[keep[what]]]
+    row = row[keep[what]]
+    width = max(1, -(-int(keep.sum()) // 64))
+    out = np.zeros(m * width, dtype=U64)
+    np.bitwise_or.at(out, row * width + place // 64, U64(1) << (place % 64).astype(U64))
+    return out.reshape(m, width)
+
+
+def _link(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of components, the least row of each, after the links (a, b)."""
+    while True:
+        x, y = label[a], label[b]
+        ok = x != y
+        if not ok.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[ok], np.minimum(x, y)[ok])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _sums(depth: int) -> list[str]:
+    """Columns of the estimate: for each prefix length the sum of 1/p over the pairs."""
+    return [f"whole{d}" for d in range(1, min(FLOOR, depth) + 1)]
+
+
+def _verifier(trees: int, depth: int, above: bool, threshold: float, pairs: bool):
+    """Verifies each cell's candidates: true pairs; or of each class what it has there: a class that it is linked to by them, and its sums."""
+    sums = _sums(depth)
+    names = ["a", "b", "jaccard"] if pairs else ["cls", "root", "links", "n", *sums]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
-        for batch in batches:
-            a, b, j = [], [], []
-            for cell, x, y, blob in zip(*(batch.column(c).to_pylist() for c in ("cell", "a", "b", "shingles"))):
-                if cell != now:
-                    now, sets = cell, {}
-                if blob is not None:
-                    sets[x] = frozenset(np.frombuffer(blob, dtype=U64).tolist())
-                    continue
-                p, q = sets[x], sets[y]
-                both = len(p & q)
-                value = both / (len(p) + len(q) - both)
-                if value >= threshold:
-                    a.append(x), b.append(y), j.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+        held: list[list[np.ndarray]] = []
+
+        def out(least: int) -> Iterator[pa.RecordBatch]:
+            if held and sum(len(x[0]) for x in held) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=names)
+                held.clear()
+
+        for t in whole_groups(batches, ["cell"], 2000):
+            cells, trees_of, classes, docs, blocks, lows, highs = (t.column(c).to_numpy() for c in ("cell", "tree", "cls", "docs", "block", "low", "high"))
+            sizes, both = t.column("size").to_numpy().astype(np.int64), _matrix(t.column("nodes"), 2 * trees)
+            sets = t.column("shingles").cast(pa.large_binary()).combine_chunks()
+            ends = np.frombuffer(sets.buffers()[1], dtype=np.int64)[sets.offset : sets.offset + len(sets) + 1] // 8
+            grams = np.frombuffer(sets.buffers()[2], dtype=U64, count=ends[-1])
+            cut = np.flatnonzero(np.diff(cells)) + 1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(cells)]):
+                m, tree, cls, doc, size = y - x, trees_of[x], classes[x:y], docs[x:y], sizes[x:y]
+                nodes, longer = both[x:y, :tree], both[x:y, trees:]
+                bits = _bits(grams[ends[x] : ends[y]], np.repeat(np.arange(m), np.diff(ends[x : y + 1])), m)
+                label, links, n, whole = np.arange(m), np.zeros(m), np.zeros(m), np.zeros((len(sums), m))
+                for a, b in _pairs(blocks[x:y], lows[x], highs[x]):
+                    ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+                    a, b = a[ok], b[ok]
+                    if tree:
+                        ok = ~(nodes[a] == nodes[b]).any(axis=1)
+                        a, b = a[ok], b[ok]
+                    if above:
+                        ok = ~(longer[a] == longer[b]).any(axis=1)
+                        a, b = a[ok], b[ok]
+                    if not len(a):
+                        continue
+                    step = max(1, (1 << 17) // bits.shape[1])
+                    common = np.concatenate([np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), step)])
+                    value = common / (size[a] + size[b] - common)
+                    ok = value >= threshold
+                    a, b, value = a[ok], b[ok], value[ok]
+                    if not len(a):
+                        continue
+                    if pairs:
+                        held.append([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b]), value])
+                        yield from out(100_000)
+                        continue
+                    links += np.bincount(a, doc[b], m) + np.bincount(b, doc[a], m)
+                    n += np.bincount(a, minlength=m)
+                    for k in range(len(sums)):
+                        whole[k] += np.bincount(a, 1 / (1 - (1 - value ** (k + 1)) ** trees), m)
+                    label = _link(label, a, b)
+                if links.any():
+                    at = np.flatnonzero(links)
+                    held.append([cls[at], cls[label[at]], links[at].astype(np.int64), n[at].astype(np.int64), *whole[:, at]])
+            yield from out(1)
 
     return run
 
 
 class Forest:
-    """The join's parts: ``members`` (row to class) and ``pairs`` of classes with their exact Jaccard."""
+    """The join's parts: ``members`` (row to class of equal sets), and of these classes ``pairs`` with their exact Jaccard; or, without ``pairs``, their ``edges`` and ``totals``, which are as many as the classes times the trees at most."""
 
-    def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK):
+    def __init__(self, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, pairs: bool = True):
         signed = materialize(signatures(docs, n, trees, depth))
         one = Window.partitionBy("cls").orderBy("doc_id", "text_hash")
         self.members = materialize(signed.select("doc_id", "text_hash", "cls"))
         self.classes = materialize(signed.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r"))
         discard(signed)
+        #: (cls, docs): a class's documents
+        self.docs = None if pairs else materialize(self.members.distinct().groupBy("cls").agg(F.count("*").alias("docs")))
         #: (prefix length, pairs so far, share of all true pairs that these are by estimate)
         self.levels: list[tuple[int, int, float]] = []
-        found: list[DataFrame] = []
+        found: DataFrame | None = None
         above = depth
         for d in range(min(FLOOR, depth), 0, -1):
-            found.append(self._pass(docs, n, threshold, trees, depth, d, above, block))
+            new = self._pass(docs, n, threshold, trees, depth, d, above, block, pairs)
             above = d
-            p = 1 - F.pow(1 - F.pow("jaccard", F.lit(float(d))), F.lit(float(trees)))
-            self.pairs = found[0] if len(found) == 1 else self.pairs.unionByName(found[-1])
-            got = self.pairs.agg(F.count("*").alias("n"), F.sum(1 / p).alias("all")).first()
+            found = new if found is None else found.unionByName(new)
+            if pairs:
+                p = 1 - F.pow(1 - F.pow("jaccard", F.lit(float(d))), F.lit(float(trees)))
+                got = found.agg(F.count("*").alias("n"), F.sum(1 / p).alias("all")).first()
+            else:
+                got = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(f"whole{d}").alias("all")).first()
             self.levels.append((d, got["n"], got["n"] / got["all"] if got["n"] else 1.0))
             if self.levels[-1][2] >= recall:
                 break
-
-    def _pass(self, docs, n, threshold, trees, depth, d, above, block):
-        """True pairs with a common prefix of length ``d``; after the first pass, those that have none of length ``above``."""
+        if pairs:
+            self.pairs = found
+        else:
+            self.edges = found.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
+            self.totals = found.groupBy("cls").agg(F.sum("links").alias("links"))
+
+    def _pass(self, docs, n, threshold, trees, depth, d, above, block, pairs):
+        """True pairs with a common prefix of length ``d``, or their sums; after the first pass, those that have none of length ``above``."""
         first = not self.levels
-        narrow = self.classes.select("cls", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, tree int, cls long")
-        crowd = narrow.withColumn("m", F.count("*").over(Window.partitionBy("node"))).filter("m > 1")
-        # a node of many members is cut into blocks; each pair of blocks is a cell
-        at = crowd.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")).cast("int"))
+        schema = "a long, b long, jaccard double" if pairs else "cls long, root long, links long, n long" + "".join(f", {x} double" for x in _sums(depth))
+        narrow = self.classes.select("cls", "size", "sig").mapInArrow(lean(_prefixes(trees, depth, d)), "node long, tree int, cls long, size int")
+        node = Window.partitionBy("node")
+        crowd = narrow.withColumn("m", F.count("*").over(node)).withColumn("mb", 8 * F.sum("size").over(node)).filter("m > 1")
+        # a node of many members, or large ones, is cut into blocks; each pair of blocks is a cell
+        at = crowd.withColumn("nb", F.least("m", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("mb") / BLOCK_BYTES))).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("nb")).cast("int"))
         at = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         at = at.select("node", "tree", "cls", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
         at = at.withColumn("cell", F.xxhash64("node", "low", "high")).drop("node")
@@ -263,14 +370,14 @@ class Forest:
         width = 4 * (depth - d)
         leaf = F.substring("leaves", F.col("tree") * width + 1, F.lit(width)) if width else F.lit(None).cast("binary")
         wide = wide.select("cell", "tree", "cls", "block", "low", "high", "size", "nodes", leaf.alias("leaf")).repartition("cell").sortWithinPartitions("cell", "leaf", "cls").drop("leaf")
-        new = materialize(wide.mapInArrow(lean(_candidates(trees, not first, threshold)), "cell long, a long, b long"))
+        new = materialize(wide.mapInArrow(lean(_candidates(trees, not first, threshold)), wide.schema))
         if not new.head(1):
-            return new.select("a", "b", F.lit(1.0).alias("jaccard")).limit(0)
-        who = new.select("cell", F.col("a").alias("cls")).union(new.select("cell", F.col("b"))).distinct()
-        sets = self._sets(docs, n, who.select("cls").distinct())
-        left = who.join(sets, "cls").select("cell", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-        both = left.unionByName(new.withColumn("shingles", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
-        true = materialize(both.mapInArrow(lean(_verifier(threshold)), "a long, b long, jaccard double"))
+            discard(new)
+            return docs.sparkSession.createDataFrame([], schema)
+        sets = self._sets(docs, n, new.select("cls").distinct())
+        weighed = sets.withColumn("docs", F.lit(1).cast("long")) if pairs else sets.join(self.docs, "cls")
+        wide = new.join(weighed, "cls").select("cell", "tree", "cls", "block", "low", "high", "size", "docs", "nodes", "shingles").repartition("cell").sortWithinPartitions("cell", "cls")
+        true = materialize(wide.mapInArrow(lean(_verifier(trees, depth, not first, threshold, pairs)), schema))
         discard(sets)
         discard(new)
         return true
@@ -296,6 +403,18 @@ def join(docs: DataFrame, **parameters) -> DataFrame:
     return near.unionByName(same)
 
 
+def links(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, class_id, links) of each document: ``class_id`` is the least hash of the sets that its class has, ``links`` the number of other documents of a Jaccard of ``threshold`` at least."""
+    f = Forest(docs, pairs=False, **parameters)
+    each = f.docs.join(components(f.edges), "cls", "left").join(f.totals, "cls", "left")
+    each = each.select("cls", F.coalesce("root", "cls").alias("class_id"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    mine = f.members.distinct().join(each, "cls").select("doc_id", "text_hash", "class_id", "links")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    named = rows.filter("doc_id is not null").distinct().join(mine, ["doc_id", "text_hash"], "left")
+    named = named.select("doc_id", F.coalesce("class_id", F.xxhash64("doc_id", "text_hash")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return named.unionByName(rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cls, root): of each vertex of ``edges`` (a, b) the least vertex of its connected component.
 
@@ -320,8 +439,8 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
 
     Of equal rows one stays. Rows without an id or without words all stay.
     """
-    f = Forest(docs, **parameters)
-    root = components(f.pairs)
+    f = Forest(docs, pairs=False, **parameters)
+    root = components(f.edges)
     rows = f.members.select("doc_id", "text_hash", "cls").distinct().join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = Window.partitionBy("root").orderBy("doc_id", "text_hash")
     repeated = f.members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
@@ -341,4 +460,4 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -531,6 +531,48 @@ def test_jaccard_pairs_every_copy_with_the_first(spark):
     assert sorted((r.doc_id_a, r.doc_id_b, r.jaccard) for r in got) == [(k, i, 1.0) for k in range(2) for i in range(k + 2, 600, 2)]
 
 
+@pytest.mark.parametrize(("block", "trees"), [(4096, 16), (2, 16), (3, 2)])
+def test_jaccard_links_against_brute_force(spark, block, trees, monkeypatch):
+    """A row for each document, with all its links, whatever the blocks, the bytes of a block and the passes that they need."""
+    monkeypatch.setattr(jaccard_join, "FEW", 8)
+    rows = corpus() + [(100 + i, t) for i, t in corpus(9)] + [(200, "..."), (201, None), (0, prose(77, 50))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [*rows, rows[0], (None, rows[0][1])]], DOCS)
+    got = jaccard_join.links(docs, block=block, trees=trees, recall=0.98).collect()
+    assert Counter(r.doc_id for r in got) == Counter([i for i, _ in rows] + [None])
+    assert [(r.class_id, r.links) for r in got if r.doc_id is None] == [(None, 0)]
+    pairs = jaccard_join.join(docs, block=block, trees=trees, recall=0.98).collect()
+    near = linked(pairs)
+    sets = {i: shingles(t) for i, t in rows[:-3]}  # of id 0 the first text
+    want = {p for p in combinations(sets, 2) if 2 * len(sets[p[0]] & sets[p[1]]) >= len(sets[p[0]] | sets[p[1]])}
+    have = {p for p in combinations(sets, 2) if near(*p)}
+    first = lambda some: sum(max(p) < 100 for p in some)  # noqa: E731  of different texts: a pair that is missed counts once
+    assert have <= want and first(have) >= (0.95 if trees == 16 else 0.9) * first(want)
+    count = Counter(x for p in have for x in p)
+    assert {(r.doc_id, r.links) for r in got if r.doc_id is not None} == {(i, count[i]) for i in sets} | {(i, 0) for i in (200, 201, 0)}
+    cls = {r.doc_id: r.class_id for r in got if r.doc_id != 0 or r.links}
+    assert {p for p in combinations(sets, 2) if cls[p[0]] == cls[p[1]]} == closure(have)
+    assert len({r.class_id for r in got if r.doc_id is not None and not r.links}) == sum(not r.links for r in got) - 1
+
+
+def closure(pairs):
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return {p for p in combinations(sorted(root), 2) if root[p[0]] == root[p[1]]}
+
+
+def test_jaccard_query_rows_follow_the_documents(spark, tmp_path):
+    """A group of m near texts: m rows, not m squared."""
+    base = prose(3, 150).split()
+    rows = [(i, " ".join([*base[: i % 140], f"new{i}", *base[i % 140 :]]), "en", "s", 0) for i in range(400)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = jaccard_join.query(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert len({r.class_id for r in got}) == 1 and {r.links for r in got} == {399}
+    assert jaccard_join.links(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_jaccard_words_of_any_script(spark):
     rows = [
         (1, "l\u2019\u00e9t\u00e9 \u00ab vient \u00bb \u2014 dit\u00a0il, un soir de mai"), (2, "L'\u00c9T\u00c9 vient dit il un soir de mai"),
