@@ -533,7 +533,7 @@ def test_jaccard_pairs_every_copy_with_the_first(spark):
 
 @pytest.mark.parametrize(("block", "trees"), [(4096, 16), (2, 16), (3, 2)])
 def test_jaccard_links_against_brute_force(spark, block, trees, monkeypatch):
-    """A row for each document, with all its links, whatever the blocks, the bytes of a block and the passes that they need."""
+    """A row for each document, with all its links, whatever the blocks and the passes that they need."""
     monkeypatch.setattr(jaccard_join, "FEW", 8)
     rows = corpus() + [(100 + i, t) for i, t in corpus(9)] + [(200, "..."), (201, None), (0, prose(77, 50))]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [*rows, rows[0], (None, rows[0][1])]], DOCS)
@@ -573,6 +573,26 @@ def test_jaccard_query_rows_follow_the_documents(spark, tmp_path):
     assert jaccard_join.links(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_jaccard_counts_pairs_without_keeping_them(spark, monkeypatch):
+    """What a pass writes follows the classes and not their pairs, in blocks cut by bytes too."""
+    base = prose(3, 150).split()
+    docs = spark.createDataFrame([(i, " ".join([*base[: i % 140], f"new{i}", *base[i % 140 :]]), "en", "s", 0) for i in range(300)], DOCS)
+    for limit, blocks in ((jaccard_join.BLOCK_BYTES, 1), (150_000, 3)):  # 300 sets of 1,200 bytes or so
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", limit)
+        f = jaccard_join.Forest(docs, pairs=False)
+        assert f.levels[-1][1] == 300 * 299 // 2
+        assert f.totals.count() == 300 and {r.links for r in f.totals.collect()} == {299}
+        assert f.edges.count() <= 300 * jaccard_join.TREES * blocks
+
+
+def test_jaccard_bits_have_the_intersections():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 400, n).astype(np.uint64)) for n in (1, 30, 200, 200, 3)]
+    bits = jaccard_join._bits(np.concatenate(sets), np.repeat(np.arange(5), [len(x) for x in sets]), 5)
+    for a, b in combinations(range(5), 2):
+        assert np.bitwise_count(bits[a] & bits[b]).sum() == len(np.intersect1d(sets[a], sets[b]))
+
+
 def test_jaccard_words_of_any_script(spark):
     rows = [
         (1, "l\u2019\u00e9t\u00e9 \u00ab vient \u00bb \u2014 dit\u00a0il, un soir de mai"), (2, "L'\u00c9T\u00c9 vient dit il un soir de mai"),
