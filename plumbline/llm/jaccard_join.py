@@ -55,6 +55,9 @@ BLOCK = 4096
 BLOCK_BYTES = 64 << 20
 #: Cells of up to so many classes take all their pairs at once.
 FEW = 300
+#: In larger ones an n-gram that more than this share of the rows has is a bit of each row, any other a list of its rows; and so many pairs are taken at once.
+OFTEN = 1 / 16
+TILE = 1 << 16
 _RNG = np.random.default_rng(7)
 _MUL = (_RNG.integers(1, 1 << 31, 256, dtype=np.uint64) * U64(2) + U64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -79,8 +82,11 @@ def shingles(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
+    """Each document's n-grams once, sorted; ``doc`` is sorted already."""
+    g = g.copy()
+    cut = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(g)]):
+        g[a:b].sort()
     keep = np.ones(len(g), dtype=bool)
     keep[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
     return g[keep], doc[keep]
@@ -216,26 +222,14 @@ def _setter(n: int):
     return run
 
 
-def _pairs(block: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a cell's rows, or of two blocks all that cross, some at a time."""
-    m = len(block)
-    if low != high:
-        p, q = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        step = max(1, 50_000 // max(1, len(q)))
-        for i in range(0, len(p) if len(q) else 0, step):
-            some = p[i : i + step]
-            yield np.repeat(some, len(q)), np.tile(q, len(some))
-    elif m <= FEW:
-        yield np.triu_indices(m, 1)
-    else:
-        for s in range(1, m):
-            yield np.arange(m - s), np.arange(s, m)
-
-
 def _bits(g: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
     """(m, words): the sets as bits; an n-gram that one row alone has is in no intersection and gets none."""
     _, what, times = np.unique(g, return_inverse=True, return_counts=True)
-    keep = times > 1
+    return _set_bits(times > 1, what, row, m)
+
+
+def _set_bits(keep: np.ndarray, what: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """The rows' bits of the n-grams ``keep``; ``what`` is the n-gram of each place."""
     place = (np.cumsum(keep) - 1)[what[keep[what]]]
     row = row[keep[what]]
     width = max(1, -(-int(keep.sum()) // 64))
@@ -244,6 +238,80 @@ def _bits(g: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
     return out.reshape(m, width)
 
 
+class _Shared:
+    """Sizes of the intersections of a large cell's sets. Bits of all shared n-grams would be as many as the rows' changes, so that a pair's time followed the cell's rows."""
+
+    def __init__(self, g: np.ndarray, row: np.ndarray, m: int):
+        """row: of each n-gram, sorted."""
+        _, what, times = np.unique(g, return_inverse=True, return_counts=True)
+        often = times > max(1, int(m * OFTEN))
+        self.m, self.bits = m, np.ascontiguousarray(_set_bits(often, what, row, m).T)
+        rare = (~often & (times > 1))[what]
+        self.what, self.row = what[rare], row[rare]
+        self.first = np.searchsorted(self.row, np.arange(m + 1))
+        self.who = self.row[np.argsort(self.what, kind="stable")]
+        self.count = np.bincount(self.what, minlength=len(times))
+        self.start = np.cumsum(self.count) - self.count
+
+    def sizes(self, i: int, j: int, low: int) -> np.ndarray:
+        """(j - i, m - low): of the rows from i to j with those from low on."""
+        out = np.zeros((j - i, self.m - low), dtype=np.int32)
+        for x in self.bits:
+            out += np.bitwise_count(x[i:j, None] & x[None, low:])
+        here = slice(self.first[i], self.first[j])
+        what, row = self.what[here], self.row[here] - i
+        n = self.count[what]
+        if len(n):
+            at = np.repeat(self.start[what] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(np.repeat(row, n) * self.m + self.who[at], minlength=(j - i) * self.m).reshape(j - i, self.m)[:, low:].astype(np.int32)
+        return out
+
+
+def _small(grams, row, m: int, size, nodes, longer, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, Jaccard) of the true pairs of a cell of few rows. nodes, longer: (rows, trees); pairs that share one of these were met before."""
+    a, b = np.triu_indices(m, 1)
+    ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+    a, b = a[ok], b[ok]
+    for x in (nodes, longer):
+        if x.shape[1]:
+            ok = ~(x[a] == x[b]).any(axis=1)
+            a, b = a[ok], b[ok]
+    if not len(a):
+        return
+    bits = _bits(grams, row, m)
+    step = max(1, (1 << 17) // bits.shape[1])
+    common = np.concatenate([np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), step)])
+    value = common / (size[a] + size[b] - common)
+    ok = value >= threshold
+    if ok.any():
+        yield a[ok], b[ok], value[ok]
+
+
+def _large(grams, row, m: int, size, nodes, longer, threshold: float, within: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of many rows, tile by tile. within: the first so many rows are one block, and only pairs of both blocks count."""
+    if within in (0, m):
+        return
+    shared = _Shared(grams, row, m)
+    met = [np.ascontiguousarray(x.T) for x in (nodes, longer)]
+    i = 0
+    while i < (within or m):
+        low = within or i
+        j = min(within or m, i + max(1, TILE // (m - low)))
+        new = np.ones((j - i, m - low), dtype=bool) if within else np.arange(low, m)[None] > np.arange(i, j)[:, None]
+        for x in met:
+            for node in x:
+                new &= node[i:j, None] != node[None, low:]
+        if new.any():
+            common = shared.sizes(i, j, low)
+            value = common / (size[i:j, None] + size[None, low:] - common)
+            a, b = np.nonzero(new & (value >= threshold))
+            value, a, b = value[a, b], a + i, b + low
+            ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+            if ok.any():
+                yield a[ok], b[ok], value[ok]
+        i = j
+
+
 def _link(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels of components, the least row of each, after the links (a, b)."""
     while True:
@@ -283,27 +351,14 @@ def _verifier(trees: int, depth: int, above: bool, threshold: float, pairs: bool
             cut = np.flatnonzero(np.diff(cells)) + 1
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(cells)]):
                 m, tree, cls, doc, size = y - x, trees_of[x], classes[x:y], docs[x:y], sizes[x:y]
-                nodes, longer = both[x:y, :tree], both[x:y, trees:]
-                bits = _bits(grams[ends[x] : ends[y]], np.repeat(np.arange(m), np.diff(ends[x : y + 1])), m)
+                nodes, longer = both[x:y, :tree], both[x:y, trees:] if above else both[x:y, :0]
+                cell = grams[ends[x] : ends[y]], np.repeat(np.arange(m), np.diff(ends[x : y + 1])), m, size, nodes, longer, threshold
+                if lows[x] != highs[x]:
+                    found = _large(*cell, within=int((blocks[x:y] == lows[x]).sum()))
+                else:
+                    found = _small(*cell) if m <= FEW else _large(*cell)
                 label, links, n, whole = np.arange(m), np.zeros(m), np.zeros(m), np.zeros((len(sums), m))
-                for a, b in _pairs(blocks[x:y], lows[x], highs[x]):
-                    ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
-                    a, b = a[ok], b[ok]
-                    if tree:
-                        ok = ~(nodes[a] == nodes[b]).any(axis=1)
-                        a, b = a[ok], b[ok]
-                    if above:
-                        ok = ~(longer[a] == longer[b]).any(axis=1)
-                        a, b = a[ok], b[ok]
-                    if not len(a):
-                        continue
-                    step = max(1, (1 << 17) // bits.shape[1])
-                    common = np.concatenate([np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), step)])
-                    value = common / (size[a] + size[b] - common)
-                    ok = value >= threshold
-                    a, b, value = a[ok], b[ok], value[ok]
-                    if not len(a):
-                        continue
+                for a, b, value in found:
                     if pairs:
                         held.append([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b]), value])
                         yield from out(100_000)
@@ -376,7 +431,7 @@ class Forest:
             return docs.sparkSession.createDataFrame([], schema)
         sets = self._sets(docs, n, new.select("cls").distinct())
         weighed = sets.withColumn("docs", F.lit(1).cast("long")) if pairs else sets.join(self.docs, "cls")
-        wide = new.join(weighed, "cls").select("cell", "tree", "cls", "block", "low", "high", "size", "docs", "nodes", "shingles").repartition("cell").sortWithinPartitions("cell", "cls")
+        wide = new.join(weighed, "cls").select("cell", "tree", "cls", "block", "low", "high", "size", "docs", "nodes", "shingles").repartition("cell").sortWithinPartitions("cell", "block", "cls")
         true = materialize(wide.mapInArrow(lean(_verifier(trees, depth, not first, threshold, pairs)), schema))
         discard(sets)
         discard(new)

@@ -593,6 +593,40 @@ def test_jaccard_bits_have_the_intersections():
         assert np.bitwise_count(bits[a] & bits[b]).sum() == len(np.intersect1d(sets[a], sets[b]))
 
 
+def test_jaccard_large_cells_compare_what_their_sets_hold():
+    """What is compared of each pair follows the sets, and not the changes that all rows of the cell have."""
+    r = np.random.default_rng(4)
+    m, base = 600, np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, 90, replace=False), r.integers(1000, 5000, 20).astype(np.uint64)])) for _ in range(m)]
+    g, row, size = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets]), np.array([len(x) for x in sets])
+    shared = jaccard_join._Shared(g, row, m)
+    assert len(shared.bits) <= 16 * size.mean() / 64 + 1 < jaccard_join._bits(g, row, m).shape[1]
+    has = np.zeros((m, 5000), dtype=np.int64)
+    has[row, g.astype(int)] = 1
+    both = has @ has.T
+    for i, j, low in ((0, 7, 0), (300, 311, 300), (0, 50, 200), (599, 600, 599)):
+        other = np.arange(i, j)[:, None] != np.arange(low, m)[None]
+        assert (shared.sizes(i, j, low) == both[i:j, low:])[other].all()
+    nodes = r.integers(0, 9, (m, 3)).astype(np.uint32)
+    jaccard = both / (size[:, None] + size[None] - both)
+    new = (jaccard >= 0.6) & ~(nodes[:, None] == nodes[None]).any(axis=2)
+    for within in (None, 250):
+        want = {(a, b) for a, b in np.argwhere(new).tolist() if a < b and (within is None or a < within <= b)}
+        got = [(*p, v) for a, b, value in jaccard_join._large(g, row, m, size, nodes, nodes[:, :0], 0.6, within) for *p, v in zip(a.tolist(), b.tolist(), value)]
+        assert len(got) == len(want) and {x[:2] for x in got} == want and all(v == jaccard[a, b] for a, b, v in got)
+
+
+def test_folded_words_are_letters_and_digits_of_any_script():
+    r = random.Random(6)
+    texts = ["".join(r.choice("aB9z_ .,'\n\u00e9\u00df\u0130\u0301\u2019\u2014\u00a0\u00bd\u0431\U0001f600\u4eca\u0e01") for _ in range(40)) for _ in range(300)] + ["\u00e9t\u00e9, d'\u00e9t\u00e9", ""]
+    w = Words(pa.array(texts), fold=True)
+    for i, text in enumerate(texts):
+        want = re.sub("([\u4eca\u0e01])", r" \1 ", re.sub("[^0-9A-Za-z\u00e9\u00df\u0130\u0307\u0301\u00bd\u0431\u4eca\u0e01]", " ", text)).split()
+        words = list(zip(w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]]))
+        assert len(words) == len(want)
+        assert [len(bytes(w.bytes[a:b]).decode()) for a, b in words] == [len(x) for x in want]
+
+
 def test_jaccard_words_of_any_script(spark):
     rows = [
         (1, "l\u2019\u00e9t\u00e9 \u00ab vient \u00bb \u2014 dit\u00a0il, un soir de mai"), (2, "L'\u00c9T\u00c9 vient dit il un soir de mai"),
