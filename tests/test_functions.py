@@ -135,3 +135,8 @@ def test_xml_rendering_and_lines():
     assert r["heading"] == "PART 51" and r["authority"] == "5 U.S.C." and "<p>Own <em>wo</em>rds.</p>" in r["html"]
     assert xmltext.section_lines(XML, "51.1") == (["§ 51.1 Scope.", "One two.", "Three", "[1 FR 2]"], True, True)
     assert xmltext.section_lines(XML, "9")[1:] == (False, True) and xmltext.to_html("<x") is None
+
+
+def test_character_references_of_html_end_with_their_semicolon():
+    cases = {"a &quot b": "a &quot b", "a &quot; b": 'a " b', "R&amp": "R&amp", "&copy; &#65; &#x42; &#65 &notit; &no; & &&lt;": "© A B &#65 &notit; &no; & &<", "<p title='&lt'>x &lt</p>": "x &lt", "\ufdd0 &gt y": "\ufdd0 &gt y"}
+    assert {k: xmltext._Html(k) for k in cases} == cases
