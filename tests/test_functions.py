@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import citation as C
-from plumbline.functions import linediff, xmltext
+from plumbline.functions import batches, linediff, xmltext
 from plumbline.functions import measure as M
 from plumbline.functions import scalar as S
 from plumbline.functions import text as T
@@ -140,3 +140,34 @@ def test_xml_rendering_and_lines():
 def test_character_references_of_html_end_with_their_semicolon():
     cases = {"a &quot b": "a &quot b", "a &quot; b": 'a " b', "R&amp": "R&amp", "&copy; &#65; &#x42; &#65 &notit; &no; & &&lt;": "© A B &#65 &notit; &no; & &<", "<p title='&lt'>x &lt</p>": "x &lt", "\ufdd0 &gt y": "\ufdd0 &gt y"}
     assert {k: xmltext._Html(k) for k in cases} == cases
+
+
+def test_pieces_of_a_batch_are_small_and_whole():
+    import pyarrow as pa
+
+    b = pa.record_batch({"k": pa.array(range(5000)), "t": pa.array(["x" * (100_000 if k == 7 else 200) for k in range(5000)])})
+    parts = list(batches.slices(b, 50_000, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b]))
+    assert all(p.nbytes <= 50_000 or len(p) == 1 for p in parts) and [len(p) for p in parts if p.nbytes > 50_000] == [1]
+
+
+def test_python_yields_pieces_of_a_batch_and_not_the_batch():
+    """Before, all edits and all nodes of a batch of 10,000 rows were in memory at once."""
+    import pyarrow as pa
+
+    lines = pa.array([["a", "b"], None, ["c"], []] * 2000)
+    got = list(linediff.line_diff.func(iter([(lines, pa.array([["a"], ["b"], None, ["d"]] * 2000))])))
+    assert max(map(len, got)) <= batches.SLICE_ROWS and sum(map(len, got)) == 8000
+    e = lambda op, i, j, x: {"op": op, "old_index": i, "new_index": j, "text": x}
+    assert [x for a in got for x in a.to_pylist()] == [[e("equal", 0, 0, "a"), e("delete", 1, None, "b")], None, None, [e("insert", None, 0, "d")]] * 2000
+
+
+def test_nodes_of_a_batch_come_in_pieces():
+    import pyarrow as pa
+
+    docs = pa.record_batch({"k": pa.array(range(5000)), "x": pa.array([f"<DIV5 N='{k}'><P>one two</P></DIV5>" if k % 10 else None for k in range(5000)])})
+    got = list(xmltext.node_batches(iter([docs]), ["k"], "x", failures=True))
+    assert max(map(len, got)) <= batches.SLICE_ROWS
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["k"], r["node_type"], r["citation"]) for r in rows] == [(k, "part", f"part-{k}") if k % 10 else (k, "failed", None) for k in range(5000)]
+    assert {r["text"].split()[0] for r in rows if r["citation"]} == {"one"}
