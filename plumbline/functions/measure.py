@@ -6,6 +6,8 @@ the status is an unknown one, and then there is a reason.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,14 @@ def unknown(status: str, reason: Column | str) -> Column:
     return F.struct(F.lit(None).cast("bigint").alias("words"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("method"), reason.alias("reason"))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once a row: the optimizer copies an expression to wherever a CASE or a filter names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def counted(words: Column) -> Column:
     """A count; a negative one raises."""
-    return known("counted", F.when(words < 0, F.raise_error(F.lit("negative count"))).otherwise(words))
+    return known("counted", once(words, lambda w: F.when(w < 0, F.raise_error(F.lit("negative count"))).otherwise(w)))
 
 
 def reserved_empty() -> Column:
@@ -76,13 +83,14 @@ def rolled_up(words: Column, parts: Column, absent: Column) -> Column:
 
 def violations(df: DataFrame) -> DataFrame:
     """Rows of (words, status, method, reason) that break an invariant, and which; it must be empty."""
-    rule = (
-        F.when(~F.col("status").isin(*KNOWN, *UNKNOWN), "status")
-        .when(F.col("words").isNull() & is_known(F.col("status")), "known without words")
-        .when(F.col("words").isNotNull() & ~is_known(F.col("status")), "unknown with words")
-        .when(F.col("words") < 0, "negative")
-        .when(F.col("words").isNull() & F.col("reason").isNull(), "unknown without reason")
-        .when(F.col("words").isNotNull() & F.col("reason").isNotNull(), "known with reason")
+    rule = once(
+        F.struct("words", "status", "reason"),
+        lambda m: F.when(~m["status"].isin(*KNOWN, *UNKNOWN), "status")
+        .when(m["words"].isNull() & is_known(m["status"]), "known without words")
+        .when(m["words"].isNotNull() & ~is_known(m["status"]), "unknown with words")
+        .when(m["words"] < 0, "negative")
+        .when(m["words"].isNull() & m["reason"].isNull(), "unknown without reason")
+        .when(m["words"].isNotNull() & m["reason"].isNotNull(), "known with reason"),
     )
     return df.withColumn("violation", rule).filter("violation is not null")
 
